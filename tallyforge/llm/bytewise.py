@@ -89,14 +89,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+class Spans:
+    """Hashes of any pieces of one array, from a running sum and the multiplier's inverse powers."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        up, self.down = _powers(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, U)
+        np.cumsum(BYTE[data] * up[: len(data)], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(U))
+
+
 def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each data[start:end], by one running sum and the multiplier's inverse powers."""
-    if not len(starts):
-        return np.zeros(0, U)
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    """A hash of each data[start:end]."""
+    return Spans(data)(starts, ends) if len(starts) else np.zeros(0, U)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
