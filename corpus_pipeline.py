@@ -1,16 +1,61 @@
-"""Stages of the corpus pipeline."""
+"""The corpus pipeline: toxic documents go, then near duplicates, repeated passages and benchmark leaks; the rest is packed.
+
+Each stage works on all rows that its predecessor kept and returns the columns of ``documents``; the last returns the
+packed pieces.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyforge.llm.decontaminate import without_leaks
+from tallyforge.llm.packing import pack
 from tallyforge.llm.shared import table, written
+from tallyforge.llm.simhash import without_near_duplicates
+from tallyforge.llm.suffix_dedup import suffix_dedup
+from tallyforge.llm.toxicity import fit, without_toxic
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored toxic go; the classifier learns from all labels of documents that came in."""
+    return without_toxic(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents with linked fingerprints, the least doc_id stays."""
+    return without_near_duplicates(docs)
+
+
+def cut_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings of 200 bytes that start more than once go from every document; the document stays with the rest."""
+    columns = [c for c in docs.columns if c not in ("text", "n_chars")]
+    cut = suffix_dedup(docs, keep=tuple(columns))
+    return cut.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents left, in sequences of 2048 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("suffix_dedup", cut_repeated_text),
+    ("benchmark_decontamination", drop_leaks),
+    ("best_fit_packing", pack_sequences),
+]
 
-#: A trained classifier and similarity by hashes have no SQL form; the tests hold each stage against brute force.
+#: A trained classifier, similarity by hashes and a tokenizer have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

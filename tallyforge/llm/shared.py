@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows whose doc_id is null get this one where a key is needed.
@@ -76,22 +76,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], tag: str, blocks: int = 64) -> DataFrame:
-    """Adds ``rank`` (long, gapless from 0 within a group) without gathering a group in one task.
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int, share: int = 1000) -> DataFrame:
+    """left join-inner right on keys whose number of rows in ``left`` is ``right[n]``, however unevenly they are spread.
 
-    Rows of a group are dealt over hashed blocks; each block numbers its own, and a small table of
-    block sizes (groups x blocks) gives every block its first number. ``df`` has to be a written table.
-    ``order`` must determine a row up to exact repeats; repeats may swap numbers.
+    Keys with at least 1/``share`` of the ``total`` rows number at most ``share``; they are broadcast, and only the
+    rows of the other keys are dealt by key. ``right`` should be a written table.
     """
-    from pyspark.sql import Window
+    heavy = F.broadcast(right.where(F.col(n) * share >= total))
+    few = left.join(heavy, on)
+    rest = left.join(heavy.select(*on), on, "left_anti").join(right.where(F.col(n) * share < total), on)
+    return few.unionByName(rest)
+
 
-    block = F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int")
-    rows = df.withColumn("_block", block)
+def ranked(df: DataFrame, group: list[str], order: list[str], tag: str, per_block: int = 1_000_000) -> DataFrame:
+    """Adds ``rank`` (long, gapless from 0 within a group) without gathering a group in one task.
+
+    Rows of a group are dealt over hashed blocks; each block numbers its own, and a small table of block sizes gives
+    every block its first number. ``df`` has to be a written table and the group columns must not be null. ``order``
+    must determine a row up to exact repeats; repeats may swap numbers.
+    """
+    blocks = max(64, -(-df.count() // per_block))
+    rows = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
     sizes = rows.groupBy(*group, "_block").agg(F.count("*").alias("_n"))
-    first = F.sum("_n").over(Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.withColumn("_first", F.coalesce(first, F.lit(0))).drop("_n")
-    starts = written(starts, f"{tag}-starts")
+    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(sizes.select(*group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")), f"{tag}-starts")
     numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_block").orderBy(*order)) - 1)
-    on = [F.col(f"n.{g}").eqNullSafe(F.col(f"s.{g}")) for g in [*group, "_block"]]
-    out = numbered.alias("n").join(starts.alias("s"), on, "inner")
-    return out.select("n.*", (F.col("_r") + F.col("_first")).cast("long").alias("rank")).drop("_block", "_r")
+    out = numbered.join(starts, [*group, "_block"])
+    return out.select(*df.columns, (F.col("_r") + F.col("_first")).cast("long").alias("rank"))

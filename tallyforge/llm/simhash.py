@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import bytewise as B
 from tallyforge.llm.components import components
-from tallyforge.llm.shared import batches, discard, text_or_empty, written
+from tallyforge.llm.shared import batches, discard, spread_join, text_or_empty, written
 
 DISTANCE = 3
 WORDS = 3
 SEED = 42
 BITS = 64
+#: Rows whose doc_id is null come after all others.
+LAST_ID = 2**63 - 1
 
 
 def fingerprint(text: str, width: int = WORDS) -> int:
@@ -230,17 +232,37 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return dealt.mapInPandas(_verify(distance), "a long, b long")
 
 
+def _rooted(marked: DataFrame, distance: int) -> DataFrame:
+    """A written table (fp, root, least, n) of all distinct fingerprints of a written table (doc_id, fp)."""
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    root = components(links(distinct, distance))
+    out = written(distinct.join(root, distinct.fp == root.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"), "roots")
+    discard(distinct)
+    return out
+
+
 def simhash_components(docs: DataFrame, distance: int = DISTANCE, width: int = WORDS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``; component_id is the least doc_id of its component.
 
-    A null text counts as empty: fingerprint zero, linked like any other. Null ids stay and count for the least only
-    if a component has no other; repeated rows stay; an empty table gives no rows; other columns do not matter.
+    A null text counts as empty: fingerprint zero, linked like any other. Null ids stay; component_id is null only
+    where a component has no other. Repeated rows stay; an empty table gives no rows; other columns do not matter.
     """
     marked = written(fingerprints(docs, width), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = components(links(distinct, distance))
-    rooted = written(distinct.join(root, distinct.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    rooted = _rooted(marked, distance)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(least, "root").select("fp", "component_id"), "named")
-    discard(rooted, distinct)
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(rooted.join(least, "root").select("fp", "component_id", "n"), "named")
+    discard(rooted)
+    return spread_join(marked, named, ["fp"], "n", marked.count()).select("doc_id", "fp", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = WORDS) -> DataFrame:
+    """One row of ``docs`` for each component: the least doc_id (a null one last, then the least text hash), all columns."""
+    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_th": F.xxhash64(text_or_empty())}
+    keyed = docs.withColumns(keys)
+    marks = keyed.select("_id", "_th", text_or_empty().alias("text")).mapInPandas(_fingerprints(width), "_id long, _th long, fp long")
+    marked = written(marks.withColumn("doc_id", F.col("_id")), "fingerprints")
+    rooted = _rooted(marked, distance)
+    first = marked.groupBy("fp").agg(F.min(F.struct("_id", "_th")).alias("first"))
+    best = written(first.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._th"), "kept")
+    discard(marked, rooted)
+    return keyed.join(best, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select(*docs.columns)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -242,6 +243,19 @@ def score(docs: DataFrame, net: TextNet | None, keep: tuple[str, ...] = ("doc_id
     return docs.select(*keep, text_or_empty().alias("text")).mapInPandas(_score(net), f"{names}, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, net: TextNet | None) -> DataFrame:
+    """The rows of ``docs`` whose text scores below 0.5, all columns as they were; all rows if there is no net."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = part.column("text")
+            for a in range(0, part.num_rows, 256):
+                some = [(t or "").encode() for t in texts[a : a + 256].to_pylist()]
+                yield part.slice(a, 256).filter(pa.array(net.scores(some) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema) if net else docs
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``; learns from labelled rows that are not held out.
 
