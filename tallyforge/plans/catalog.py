@@ -1,5 +1,6 @@
 """All query modules, imported so that they register."""
 
+from tallyforge.plans import projections  # noqa: F401
 from tallyforge.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
