@@ -54,6 +54,21 @@ def featurised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return feature, word.reshape(-1), np.searchsorted(ends, a)
 
 
+def featurised_in_parts(texts: list[bytes], most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``featurised``, with the memory of about ``most`` bytes at a time; a word may be listed once for each part."""
+    out, a, known = [], 0, 0
+    while a < len(texts):
+        b, size = a + 1, len(texts[a])
+        while b < len(texts) and size + len(texts[b]) <= most:
+            size += len(texts[b])
+            b += 1
+        feature, word, doc = featurised(texts[a:b])
+        out.append((feature, (word + known).astype(np.int32), (doc + a).astype(np.int32)))
+        known += len(feature)
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else featurised([])
+
+
 @dataclass
 class TextNet:
     embed: np.ndarray  # BUCKETS x EMBED
@@ -100,7 +115,7 @@ class TextNet:
 def train(texts: list[bytes], label: np.ndarray, lang: list[str], visits: int = 12_000, rate: float = 0.01, seed: int = 5) -> TextNet:
     """Adam on the class-balanced log loss of three quarters of the rows; the rest sets the thresholds by language."""
     rng = np.random.default_rng(seed)
-    feature, word, doc = featurised(texts)
+    feature, word, doc = featurised_in_parts(texts)
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     order = rng.permutation(len(texts))
     fitted, spare = np.sort(order[len(order) // 4 :]), np.sort(order[: len(order) // 4])
@@ -199,7 +214,8 @@ def calibrated(net: TextNet, texts: list[bytes], label: np.ndarray) -> TextNet:
     net.filters = [[p.astype(np.float32) for p in parts] for parts in net.filters]
     if not len(texts):
         return net
-    z, lang = net.logits(texts)
+    found = [net.logits(texts[a : a + 64]) for a in range(0, len(texts), 64)]
+    z, lang = (np.concatenate(x) for x in zip(*found, strict=True))
     for k in range(len(net.threshold)):
         own, is_one = z[lang == k], label[lang == k]
         if len(own) < 5 or is_one.min() == is_one.max():
