@@ -84,7 +84,7 @@ def train(windows: np.ndarray, label: np.ndarray, classes: list[str], epochs: in
     weights = [net.embed, *net.filters, *net.bias, net.out, net.out_bias]
     m, v = [np.zeros_like(x) for x in weights], [np.zeros_like(x) for x in weights]
     members = [np.flatnonzero(label == c) for c in range(k)]
-    step, each = 0, max(1, min(1500, int(np.median([len(x) for x in members]))))
+    step, each = 0, max(400, min(1500, int(np.median([len(x) for x in members]))))
     for _ in range(epochs):
         drawn = rng.permutation(np.concatenate([rng.choice(x, each) for x in members]))
         for a in range(0, len(drawn), batch):
