@@ -252,10 +252,10 @@ def frequencies(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.coalesce("r_name", F.lit("all")).alias("suite"), F.coalesce("l_linestatus", F.lit("all")).alias("api"), "n", "lines", "least", "most")
 
 
-@query("agg18_small_groups", RECORDS_SQL + f", g AS ({_slice_sql()}) SELECT dimension, value, n FROM g WHERE n < 10")
+@query("agg18_small_groups", RECORDS_SQL + "SELECT model, kernel, direction, count(*) AS n FROM rec GROUP BY 1, 2, 3 HAVING count(*) < 10")
 def small_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups too small to report."""
-    return slices(eligible(records(spark, d))).where("n < 10").select("dimension", "value", "n")
+    """Groups of model, kernel and direction too small to report."""
+    return eligible(records(spark, d)).groupBy("model", "kernel", "direction").agg(F.count("*").alias("n")).where("n < 10")
 
 
 @query("agg20_units_with_lineage", RECORDS_SQL + OLD_SQL + """

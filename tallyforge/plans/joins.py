@@ -311,12 +311,12 @@ def model_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("set04_bag_difference", """
-SELECT l_returnflag AS literal, greatest(0, n - m) AS uncovered FROM (SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1)
- JOIN (SELECT l_returnflag, count(*) AS m FROM lineitem WHERE l_linenumber > 2 GROUP BY 1) USING (l_returnflag) WHERE n > m""")
+SELECT l_returnflag AS literal, greatest(0, n - m) AS uncovered FROM (SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1)
+ JOIN (SELECT l_returnflag, count(*) AS m FROM lineitem WHERE l_linenumber > 3 GROUP BY 1) USING (l_returnflag) WHERE n > m""")
 def bag_difference(spark: SparkSession, d: str) -> DataFrame:
     """A literal rendered n times needs n covering entries: bag difference, with counts in place of expanded copies."""
     li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("literal"), "l_linenumber")
-    have = F.count_if(F.col("l_linenumber") <= 4) - F.count_if(F.col("l_linenumber") > 2)
+    have = F.count_if(F.col("l_linenumber") <= 5) - F.count_if(F.col("l_linenumber") > 3)
     return li.groupBy("literal").agg(have.alias("uncovered")).where("uncovered > 0")
 
 
