@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import bytewise as B
-from tallyforge.llm.shared import batches, text_or_empty
+from tallyforge.llm.shared import batches, text_or_empty, through_pandas
 
 WORDS = 5
 LITERALS = 3
@@ -161,7 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WORDS, similarity:
     fewer than ``width`` words, and null ones, name nothing. Null texts hold nothing; rows with null ids are found too,
     under a null id; repeated rows give repeated results; empty tables give no rows; other columns do not matter.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for block_items in _blocks(benchmark, width, block):
         items = docs.sparkSession.sparkContext.broadcast(block_items)
@@ -172,7 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WORDS, similarity:
                 if found:
                     yield pd.DataFrame(found, columns=["doc_id", "item_id", "similarity", "slots", "reparameterised"])
 
-        found = rows.mapInPandas(find, "doc_id long, item_id long, similarity double, slots int, reparameterised boolean")
+        found = through_pandas(rows, ("doc_id",), find, "item_id long, similarity double, slots int, reparameterised boolean", text=text_or_empty())
         out = found if out is None else out.unionByName(found)
     return out
 

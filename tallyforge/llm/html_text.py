@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import batches
+from tallyforge.llm.shared import batches, through_pandas
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -305,6 +305,4 @@ def html_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> D
     A null or empty page has an empty text; null and repeated ids stay; an empty table gives no rows; other columns do
     not matter, one named ``text`` among them.
     """
-    kinds = dict(pages.dtypes)
-    names = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    return pages.select(*keep, F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).mapInPandas(_render_all, f"{names}, text string")
+    return through_pandas(pages, keep, _render_all, "text string", html=F.coalesce(F.col("html").cast("string"), F.lit("")))

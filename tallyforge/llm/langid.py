@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import batches, text_or_empty
+from tallyforge.llm.shared import batches, text_or_empty, through_pandas
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -193,9 +193,7 @@ def _predict(net: ByteNet | None):
 
 def predict(docs: DataFrame, net: ByteNet | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds lang_pred (``und`` for a null text or one without letters) and score to the kept columns."""
-    kinds = dict(docs.dtypes)
-    names = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    return docs.select(*keep, text_or_empty().alias("text")).mapInPandas(_predict(net), f"{names}, lang_pred string, score double")
+    return through_pandas(docs, keep, _predict(net), "lang_pred string, score double", text=text_or_empty())
 
 
 def language_id(docs: DataFrame, mod: int = 3, held: int = 1) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import batches, ranked, text_or_empty, written
+from tallyforge.llm.shared import batches, ranked, text_or_empty, through_pandas, written
 from tallyforge.llm.tokens import word_encoder
 
 CAPACITY = 2048
@@ -75,17 +75,15 @@ def _pieces(path: str, capacity: int):
                     part = ids[a : a + 4 * capacity]
                     for k, v in zip(out, (i, piece, a // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         out[k].append(v)
-            made = pd.DataFrame(out)
-            made["doc_id"] = made.doc_id.astype("Int64") if frame.doc_id.isna().any() else made.doc_id
-            yield made
+            yield pd.DataFrame(out)
 
     return run
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and a closing 0, cut into pieces."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInPandas(_pieces(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return through_pandas(rows, ("doc_id",), _pieces(tokenizer, capacity), "piece int, start long, length long, ids_crc32 long", text=text_or_empty())
 
 
 def placed(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -99,20 +97,19 @@ def placed(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = [c for c in ("doc_id", "piece", "ids_crc32") if c in made.columns] or made.columns
     rows = ranked(made, ["length"], order, "pack")
     known = spark.sparkContext.broadcast(tables)  # plan lines: bounded by lengths squared, see plan()
-    kinds = ", ".join(f"`{c}` {t}" for c, t in made.dtypes)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in frames:
             sequence, offset = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
-            length, rank = part.length.to_numpy(), part["rank"].to_numpy()
+            length, rank = part["_length"].to_numpy(), part["_rank"].to_numpy()
             for x in np.unique(length):
                 i = np.flatnonzero(length == x)
                 t = known.value[int(x)]
                 k = np.searchsorted(t[:, 0], rank[i], side="right") - 1
                 sequence[i], offset[i] = t[k, 2] + rank[i] - t[k, 0], t[k, 3]
-            yield part.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+            yield part.drop(columns=["_length", "_rank"]).assign(sequence_id=sequence, offset=offset)
 
-    return rows.mapInPandas(place, f"{kinds}, sequence_id long, offset long")
+    return through_pandas(rows, tuple(made.columns), place, "sequence_id long, offset long", _length=F.col("length"), _rank=F.col("rank"))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

@@ -6,7 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,6 +72,19 @@ def batches(frames: Iterator[pd.DataFrame], text: str = "text", most: int = 1 <<
             a = b
 
 
+def through_pandas(df: DataFrame, keep: tuple[str, ...], run: Callable, made: str, **extra: Column) -> DataFrame:
+    """The kept columns and those that ``run`` adds (``made``, as a schema), by batches of kept and ``extra`` columns.
+
+    Whole numbers pass as text: pandas would turn those of a batch with a null into floats and lose large ids.
+    """
+    kinds = dict(df.dtypes)
+    whole = [c for c in keep if kinds[c] in ("tinyint", "smallint", "int", "bigint")]
+    chosen = df.select(*[F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in keep], *[v.alias(k) for k, v in extra.items()])
+    names = [f"`{c}` {'string' if c in whole else kinds[c]}" for c in keep]
+    out = chosen.mapInPandas(run, ", ".join([*names, made]))
+    return out.select(*[F.col(c).cast(kinds[c]).alias(c) if c in whole else F.col(c) for c in keep], *out.columns[len(keep) :])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import bytewise as B
 from tallyforge.llm.components import components
-from tallyforge.llm.shared import batches, discard, spread_join, text_or_empty, written
+from tallyforge.llm.shared import batches, discard, spread_join, text_or_empty, through_pandas, written
 
 DISTANCE = 3
 WORDS = 3
@@ -62,7 +62,7 @@ def _fingerprints(width: int):
 
 def fingerprints(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """(doc_id, fp long) for every row of ``docs``."""
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(_fingerprints(width), f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return through_pandas(docs, ("doc_id",), _fingerprints(width), "fp long", text=text_or_empty())
 
 
 def _bits(values: np.ndarray) -> np.ndarray:

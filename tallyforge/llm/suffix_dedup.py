@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import bytewise as B
-from tallyforge.llm.shared import NO_ID, batches, discard, text_or_empty, written
+from tallyforge.llm.shared import NO_ID, batches, discard, text_or_empty, through_pandas, written
 
 WIDTH = 200
 LEAD = 32
@@ -237,7 +237,7 @@ def _cut(width: int, digest: bool):
                 removed = len(data) - len(left)
                 rows.append((len(data), removed, len(spans), hashlib.sha256(left).hexdigest() if digest else left.decode(errors="ignore")))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-            yield pd.concat([frame.drop(columns=["text", "ranges", "id", "th"]).reset_index(drop=True), out], axis=1)
+            yield pd.concat([frame.drop(columns=["text", "ranges"]).reset_index(drop=True), out], axis=1)
 
     return cut
 
@@ -251,12 +251,8 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, digest: bool = False, keep
     ends within a character, the remaining text goes without that character's loose bytes.
     """
     found = written(repeated_ranges(docs, width), "ranges")
-    chosen = docs.select("doc_id", *[c for c in keep if c != "doc_id"], text_or_empty().alias("text"))
-    keyed = chosen.withColumns({"id": F.coalesce("doc_id", F.lit(NO_ID)).cast("long"), "th": F.xxhash64("text")})
-    rows = keyed.join(found, ["id", "th"], "left")
-    kinds = dict(docs.dtypes)
-    names = ", ".join(f"`{c}` {kinds[c]}" for c in ["doc_id", *[c for c in keep if c != "doc_id"]])
-    out = rows.select("doc_id", *[c for c in keep if c != "doc_id"], "text", "ranges", "id", "th").mapInPandas(
-        _cut(width, digest), f"{names}, n_bytes long, n_removed long, n_spans long, kept string"
-    )
-    return out
+    kept = ("doc_id", *[c for c in keep if c != "doc_id"])
+    carried = F.struct(*kept).alias("_row")  # under one name, whatever the columns are called
+    keyed = docs.select(carried, F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), text_or_empty().alias("text"))
+    rows = keyed.withColumn("th", F.xxhash64("text")).join(found, ["id", "th"], "left").select("_row.*", F.col("text").alias("_text"), "ranges")
+    return through_pandas(rows.withColumnRenamed("ranges", "_ranges"), kept, _cut(width, digest), "n_bytes long, n_removed long, n_spans long, kept string", text=F.col("_text"), ranges=F.col("_ranges"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import batches
+from tallyforge.llm.shared import batches, through_pandas
 
 RULES = ("first", "last", "most")
 
@@ -109,5 +109,4 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str, rule: str = "fir
             at = at + F.length(p) + 1
             begins.append(at)
         begins = F.array(*begins).cast("array<int>")
-    rows = docs.select(F.col(key).alias(key), text.alias("text"), begins.alias("begins"))
-    return rows.mapInPandas(_count(tokenizer, pattern, rule), f"`{key}` {dict(docs.dtypes)[key]}, section int, n_chars long, n_tokens long")
+    return through_pandas(docs, (key,), _count(tokenizer, pattern, rule), "section int, n_chars long, n_tokens long", text=text, begins=begins)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import bytewise as B
 from tallyforge.llm.langid import fold
-from tallyforge.llm.shared import batches, text_or_empty
+from tallyforge.llm.shared import batches, text_or_empty, through_pandas
 
 BUCKETS = 1 << 16
 EMBED = 8
@@ -254,9 +254,7 @@ def _score(net: TextNet | None):
 
 def score(docs: DataFrame, net: TextNet | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, score and predicted (score >= 0.5) of every row, from the whole text alone."""
-    kinds = dict(docs.dtypes)
-    names = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    return docs.select(*keep, text_or_empty().alias("text")).mapInPandas(_score(net), f"{names}, score double, predicted int")
+    return through_pandas(docs, keep, _score(net), "score double, predicted int", text=text_or_empty())
 
 
 def without_toxic(docs: DataFrame, net: TextNet | None) -> DataFrame:

@@ -593,5 +593,17 @@ def test_pipeline(spark, data):
     check_packing(docs.collect(), kept, 2048)
 
 
+def test_large_ids_beside_nulls_stay_exact(spark, small):
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(big, "die der und das ist nicht"), (None, "the and of to"), (big + 2, None)], DOCS).coalesce(1)
+    path, pattern = byte_vocabulary()
+    made = [
+        packing.pack(docs, vocabulary()), sharding.shard(docs), langid.predict(docs, langid.fit(small)), toxicity.score(docs, None), suffix_dedup.suffix_dedup(docs), simhash.simhash_components(docs),
+        token_counts.token_counts(docs, path, pattern), minhash.document_fingerprints(docs), simhash.without_near_duplicates(docs),
+    ]
+    for df in made:
+        assert {r.doc_id for r in df.collect()} == {big, big + 2, None}
+
+
 def test_ten_queries_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
