@@ -86,6 +86,33 @@ def chi2_p(x: Column, dof: Column | int) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(dof % 2 == 0, even).otherwise(odd)))
 
 
+def student_two_sided(t: Column, dof: Column) -> Column:
+    """The two-sided tail of Student's t for whole degrees of freedom: up to 400 by the finite sum of its cosine powers,
+    beyond by the normal tail of a transformed t (error below 1e-6), so no sum grows with the sample."""
+    t, many = _double(t), _double(dof)
+    normal = normal_two_sided(F.sqrt(many * F.log1p(t * t / many)) * (8 * many + 1) / (8 * many + 3))
+    dof = F.least(dof, F.lit(400)).cast("int")
+    angle = F.atan(F.abs(_double(t)) / F.sqrt(_double(dof)))
+    c2 = F.cos(angle) * F.cos(angle)
+    odd = dof % 2 == 1
+    steps = F.when(dof >= 4, F.sequence(F.lit(1), F.greatest(F.lit(1), F.when(odd, ((dof - 1) / 2).cast("int") - 1).otherwise((dof / 2).cast("int") - 1)))).otherwise(F.array().cast("array<int>"))
+    ratio = lambda k: F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+    total = F.aggregate(
+        F.when(odd & (dof < 5), F.array().cast("array<int>")).otherwise(steps),
+        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
+        lambda a, k: F.struct((a["term"] * c2 * ratio(k)).alias("term"), (a["sum"] + a["term"] * c2 * ratio(k)).alias("sum")),
+        lambda a: a["sum"],
+    )
+    inside = F.when(dof == 1, 2 / math.pi * angle).when(odd, 2 / math.pi * (angle + F.sin(angle) * F.cos(angle) * total)).otherwise(F.sin(angle) * total)
+    return F.when(many > 400, normal).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - inside)))
+
+
+def pearson_p(r: Column, n: Column) -> Column:
+    """STA-10: the p of a correlation r of n pairs, null below three."""
+    t = r * F.sqrt((n - 2) / F.greatest(1 - r * r, F.lit(1e-300)))
+    return F.when(n >= 3, student_two_sided(t, n - 2))
+
+
 def cohens_h(p1: Column, p2: Column) -> Column:
     """STA-03."""
     held = lambda p: F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
@@ -121,9 +148,13 @@ def log_choose(n: Column, k: Column) -> Column:
 
 
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """STA-05: the two-sided p of a 2 x 2 table: all tables no likelier than the observed one."""
+    """STA-05: the two-sided p of a 2 x 2 table with any count: all tables no likelier than the observed one."""
     row, col, n = a + b, a + c, a + b + c + d
     low, high = F.greatest(F.lit(0).cast("long"), row + col - n), F.least(row, col)
+    # tables more than 40 standard deviations away weigh nothing in double precision; the sum grows as the root of n
+    mean, r, k, m = _double(row) * _double(col) / _double(n), _double(row), _double(col), _double(n)
+    reach = 40 * F.sqrt(r * k * (m - r) * (m - k) / (m * m * F.greatest(m - 1, F.lit(1.0)))) + 10
+    low, high = F.greatest(low, F.floor(mean - reach)), F.least(high, F.ceil(mean + reach))
     chance = lambda x: F.exp(log_choose(col, x) + log_choose(n - col, row - x) - log_choose(n, row))
     seen = chance(a) * (1 + 1e-7)
     tables = F.transform(F.sequence(low, high), chance)

@@ -215,6 +215,22 @@ def latex_rows(spark: SparkSession, d: str) -> DataFrame:
     return g.select(S.latex_row([F.col("model"), F.col("n"), F.format_string("%.1f", rate), S.p_value(F.lit(0.0001))]).alias("line"))
 
 
+@query("snk03_04_report_files", """
+SELECT 'markdown' AS kind, 5 AS lines, '| model | n |' AS first UNION ALL SELECT 'latex', 9, '\\begin{tabular}{ll}'""")
+def report_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same aggregate as a Markdown and as a LaTeX file, read back as lines."""
+    path = S.workspace(spark, "tables")
+    g = eligible(records(spark, d)).groupBy("model").agg(F.count("*").alias("n"))
+    out = None
+    for kind, write in (("markdown", S.markdown_table), ("latex", S.latex_table)):
+        write(g, ["model", "n"], [F.col("model")], f"{path}/{kind}")
+        text = spark.read.text(f"{path}/{kind}", wholetext=True)
+        lines = F.split(F.regexp_replace("value", r"\n$", ""), "\n")
+        found = text.select(F.lit(kind).alias("kind"), F.size(lines).alias("lines"), lines[0].alias("first"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("snk05_heatmap_data", RECORDS_SQL + "SELECT kernel, count(*) FILTER (WHERE model = 'm0' AND passed) AS m0, count(*) FILTER (WHERE model = 'm1' AND passed) AS m1, count(*) FILTER (WHERE model = 'm2' AND passed) AS m2 FROM rec GROUP BY 1")
 def heatmap(spark: SparkSession, d: str) -> DataFrame:
     """The numbers behind the kernel heat map; explicit pivot values need no extra pass."""

@@ -146,10 +146,11 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
     return ranked.groupBy("direction").agg(F.round(F.when(n >= 3, F.nanvl(F.corr("x", "y"), F.lit(None))), 4).alias("rho"), n.alias("n"))
 
 
-@query("sta10_pearson", RECORDS_SQL + "SELECT model, round(corr(prompt_tokens, completion_tokens), 6) AS r, count(*) AS n FROM rec GROUP BY 1")
+@query("sta10_pearson", RECORDS_SQL + "SELECT model, round(corr(prompt_tokens, completion_tokens), 6) AS r, count(*) AS n, true AS p_in_range FROM rec GROUP BY 1")
 def pearson(spark: SparkSession, d: str) -> DataFrame:
     """Pearson's correlation of prompt and completion tokens."""
-    return eligible(records(spark, d)).groupBy("model").agg(F.round(F.corr("prompt_tokens", "completion_tokens"), 6).alias("r"), F.count("*").alias("n"))
+    g = eligible(records(spark, d)).groupBy("model").agg(F.corr("prompt_tokens", "completion_tokens").alias("r"), F.count("*").alias("n"))
+    return g.select("model", F.round("r", 6).alias("r"), "n", stats.pearson_p(F.col("r"), F.col("n")).between(0.0, 1.0).alias("p_in_range"))
 
 
 @query("sta11_12_suite_asymmetry", RECORDS_SQL + CELLS_SQL + PAIR_SQL + f"""

@@ -183,6 +183,26 @@ def latex_row(columns: list[Column]) -> Column:
     return F.concat(F.concat_ws(" & ", *[c.cast("string") for c in columns]), F.lit(r" \\"))
 
 
+def write_lines(head: list[str], rows: DataFrame, line: Column, order: list[Column], path: str, tail: list[str] | None = None) -> None:
+    """SNK-03, SNK-04: a report of aggregated rows as one text file, its head first, then rows in order, then its tail."""
+    fixed = lambda lines, at: rows.sparkSession.createDataFrame([(at, i, x) for i, x in enumerate(lines)], "part int, at long, value string")
+    body = rows.select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("at"), line.alias("value"))
+    whole = body.unionByName(fixed(head, 0)) if head else body
+    whole = whole.unionByName(fixed(tail, 2)) if tail else whole
+    whole.coalesce(1).sortWithinPartitions("part", "at").select("value").write.text(path)
+
+
+def markdown_table(df: DataFrame, columns: list[str], order: list[Column], path: str) -> None:
+    """SNK-03: a Markdown table of an aggregate."""
+    write_lines(["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)], df, markdown(df, columns), order, path)
+
+
+def latex_table(df: DataFrame, columns: list[str], order: list[Column], path: str) -> None:
+    """SNK-04: a LaTeX table of an aggregate."""
+    head = [rf"\begin{{tabular}}{{{'l' * len(columns)}}}", r"\toprule", " & ".join(c.replace("_", r"\_") for c in columns) + r" \\", r"\midrule"]
+    write_lines(head, df, latex_row([F.col(c) for c in columns]), order, path, [r"\bottomrule", r"\end{tabular}"])
+
+
 def upsert(df: DataFrame, path: str, key: list[str], order: str) -> DataFrame:
     """SNK-01: new rows over stored ones by key, written by model as a new version and returned.
 

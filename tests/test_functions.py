@@ -36,13 +36,18 @@ def test_log_factorial(spark):
         assert one(spark, stats.log_factorial(F.lit(n))) == pytest.approx(math.lgamma(n + 1), rel=1e-12, abs=1e-11)
 
 
+@pytest.mark.parametrize("t, dof, want", [(12.7062, 1, 0.05), (4.30265, 2, 0.05), (3.18245, 3, 0.05), (2.77645, 4, 0.05), (2.57058, 5, 0.05), (2.44691, 6, 0.05), (2.36462, 7, 0.05), (2.04227, 30, 0.05), (1.98422, 99, 0.05), (1.96593, 400, 0.05), (1.96592, 401, 0.05), (1.96234, 1000, 0.05), (1.95996, 10**9, 0.05), (0.0, 5, 1.0)])
+def test_student_tail(spark, t, dof, want):
+    assert one(spark, stats.student_two_sided(F.lit(t), F.lit(dof))) == pytest.approx(want, abs=2e-5)
+
+
 def brute_fisher(a, b, c, d):
     r, k, n = a + b, a + c, a + b + c + d
     p = {x: math.comb(k, x) * math.comb(n - k, r - x) / math.comb(n, r) for x in range(max(0, r + k - n), min(r, k) + 1)}
     return min(1, sum(v for v in p.values() if v <= p[a] * (1 + 1e-7)))
 
 
-@pytest.mark.parametrize("t", [(8, 2, 1, 5), (0, 5, 5, 0), (3, 3, 3, 3), (0, 0, 2, 3), (40, 60, 55, 45)])
+@pytest.mark.parametrize("t", [(8, 2, 1, 5), (0, 5, 5, 0), (3, 3, 3, 3), (0, 0, 2, 3), (40, 60, 55, 45), (400, 600, 550, 450), (4000, 10, 3900, 40)])
 def test_fisher(spark, t):
     assert one(spark, stats.fisher(*[F.lit(x).cast("long") for x in t])) == pytest.approx(brute_fisher(*t), abs=1e-9)
 
