@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.decontaminate import without_leaks
 from tallyforge.llm.packing import pack
-from tallyforge.llm.shared import table, written
+from tallyforge.llm.shared import discard, scratch, table, written
 from tallyforge.llm.simhash import without_near_duplicates
 from tallyforge.llm.suffix_dedup import suffix_dedup
 from tallyforge.llm.toxicity import fit, without_toxic
@@ -62,8 +62,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again for the next."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        before = docs
+        with scratch():
+            docs = written(stage(spark, before, sf_dir), name, keep=True)
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,11 +7,14 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Tables written inside of each open ``scratch``.
+_OPEN: list[list[DataFrame]] = []
 #: Rows whose doc_id is null get this one where a key is needed.
 NO_ID = -(2**63)
 
@@ -34,17 +37,32 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: the lineage ends there and any executor may be lost."""
+def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Writes the rows to the shared folder and reads them back: the lineage ends there and any executor may be lost.
+
+    ``keep`` spares the table from an enclosing ``scratch``.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tallyforge-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyforge_path = path
+    if _OPEN and not keep:
+        _OPEN[-1].append(out)
     release(spark)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes, at its end, the tables written inside; for steps whose result is written outside of it."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        discard(*_OPEN.pop())
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that later steps, written themselves, no longer need."""
     for df in tables:
