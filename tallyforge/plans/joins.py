@@ -171,9 +171,8 @@ def band_match(spark: SparkSession, d: str) -> DataFrame:
     found = table(spark, d, "orders").select(F.col("o_orderkey").alias("number"), F.round(F.col("o_totalprice") / 100, 2).alias("v"))
     cell = F.floor(F.col("w") / width)
     near = known.select("claim", "w", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    j = found.withColumn("cell", F.floor(F.col("v") / width)).join(near, "cell")
-    hit = j.where(F.abs(F.col("v") - F.col("w")) < width).groupBy("number").agg(F.min("claim").alias("claim"))
-    return found.select("number").join(hit, "number", "left")
+    j = found.withColumn("cell", F.floor(F.col("v") / width)).join(near, "cell", "left")
+    return j.groupBy("number").agg(F.min(F.when(F.abs(F.col("v") - F.col("w")) < width, F.col("claim"))).alias("claim"))
 
 
 @query("joi15_containment", """
