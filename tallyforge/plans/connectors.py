@@ -148,10 +148,10 @@ def commented(spark: SparkSession, d: str) -> DataFrame:
     return S.commented_jsonl(spark, path, "p_partkey long, p_name string")
 
 
-@query("src17_path_resolution", "SELECT p_partkey, '/proj/hec/' || p_brand || '/a.cu,/proj/hec/' || p_brand || '/b.h' AS paths FROM part")
+@query("src17_path_resolution", "SELECT p_partkey, '/proj/s9/' || p_brand || '/a.cu,/proj/s9/' || p_brand || '/b.h' AS paths FROM part")
 def path_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Listed files as absolute paths under a configured root."""
-    root = S.resolved({"hec_root": "hec"}, "/proj")["hec_root"]
+    root = S.resolved({"suite_root": "s9"}, "/proj")["suite_root"]
     listed = F.array(F.lit("a.cu"), F.lit("b.h"))
     return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(listed, lambda f: F.concat_ws("/", F.lit(root), "p_brand", f)), ",").alias("paths"))
 

@@ -72,10 +72,10 @@ def test_pass_at_k(spark, n, c, k, small, want):
 
 
 def test_ids(spark):
-    assert one(spark, ids.kernel_of(F.lit("rod-a-b-cuda"))) == "a-b"
-    assert one(spark, ids.kernel_of(F.lit("rod-cuda"))) == "rod-cuda"
+    assert one(spark, ids.kernel_of(F.lit("sx-a-b-cuda"))) == "a-b"
+    assert one(spark, ids.kernel_of(F.lit("sx-cuda"))) == "sx-cuda"
     assert one(spark, ids.kernel_of(F.lit(None).cast("string"))) == "unknown"
-    assert one(spark, ids.api_of(F.lit("rod-lud-omp_target"))) == "omp_target"
+    assert one(spark, ids.api_of(F.lit("sx-ky-omp_target"))) == "omp_target"
     assert one(spark, ids.direction_of(F.lit(None).cast("string"), F.lit(""), F.lit("a-b-omp"))) == "unknown"
     assert one(spark, ids.level_of_stem(F.lit("x-L3-s2"))) == 3 and one(spark, ids.level_of_stem(F.lit("x-s2"))) == 0
     assert one(spark, ids.sample_of_stem(F.lit("x-L3"))) is None
