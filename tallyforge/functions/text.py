@@ -140,16 +140,19 @@ def cpu_seconds(s: Column) -> Column:
     return part("user") + part("sys")
 
 
-#: Name and pattern of output that tells of an error, in order.
-ERROR_SIGNS = (
-    ("nan", r"(?i)(?<![\w])-?nan(?![\w])"), ("mismatch", r"(?i)\bmismatch(?:es)?\b(?!\s*[:=]?\s*0\b)"), ("failed", r"(?i)\b(?:test|verification)\s+failed\b"),
-    ("error", r"(?i)\berror:"), ("crash", r"(?i)segmentation fault|core dumped"),
-)
+# Reasons to reject an output, in order, with their patterns (case does not matter).
+ERROR_SIGNS = {
+    "OpenCL kernel build failure": r"clBuildProgram\s*\(\)\s*=>\s*-\d+",
+    "OpenCL kernel compile failure": r"clCompileProgram\s*\(\)\s*=>\s*-\d+",
+    "Segfault in stdout": r"Segmentation fault",
+    "CUDA runtime error": r"CUDA error:",
+    "CUDA error": r"cudaError(?!Success)\w*:",
+}
 
 
 def error_sign(s: Column) -> Column:
     """PRJ-29: "reason: match" of the first sign found, else null."""
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(ERROR_SIGNS):
-        out = F.when(s.rlike(pattern), F.concat(F.lit(f"{name}: "), F.regexp_extract(s, f"({pattern})", 1))).otherwise(out)
+    for name, pattern in reversed(ERROR_SIGNS.items()):
+        out = F.when(s.rlike(f"(?i){pattern}"), F.concat(F.lit(f"{name}: "), F.regexp_extract(s, f"(?i)({pattern})", 1))).otherwise(out)
     return out

@@ -83,12 +83,12 @@ def head_tail(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("prj26_27_29_commands_and_output", """
-SELECT p_partkey, 'make CC=' || p_brand || ' ARCH=${ARCH}' AS command, CASE WHEN p_size % 2 = 0 THEN round(1.25 + p_size, 6) END AS cpu, CASE p_size % 3 WHEN 0 THEN 'mismatch: mismatch' WHEN 1 THEN NULL ELSE 'error: Error:' END AS sign FROM part""")
+SELECT p_partkey, 'make CC=' || p_brand || ' ARCH=${ARCH}' AS command, CASE WHEN p_size % 2 = 0 THEN round(1.25 + p_size, 6) END AS cpu, CASE p_size % 3 WHEN 0 THEN 'OpenCL kernel build failure: clBuildProgram() => -11' WHEN 1 THEN NULL ELSE 'CUDA error: cudaErrorInvalidValue:' END AS sign FROM part""")
 def commands(spark: SparkSession, d: str) -> DataFrame:
     """Variables in commands, CPU time in logs, signs of error in output."""
     p = table(spark, d, "part")
     log = F.concat(F.lit("real 9.0\nuser 1.25\n"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("sys "), "p_size", F.lit("\n"))).otherwise(""))
-    out = F.when(F.col("p_size") % 3 == 0, "found mismatch at 7").when(F.col("p_size") % 3 == 1, "mismatches: 0, all fine").otherwise("Error: bad")
+    out = F.when(F.col("p_size") % 3 == 0, "ERROR: clBuildProgram() => -11\nok").when(F.col("p_size") % 3 == 1, "cudaErrorSuccess: fine").otherwise("got cudaErrorInvalidValue: bad")
     command = T.substituted(F.lit("make CC=${CC} ARCH=${ARCH}"), F.create_map(F.lit("CC"), F.col("p_brand")))
     return p.select("p_partkey", command.alias("command"), F.round(T.cpu_seconds(log), 6).alias("cpu"), T.error_sign(out).alias("sign"))
 
@@ -96,42 +96,69 @@ def commands(spark: SparkSession, d: str) -> DataFrame:
 def snippets() -> Column:
     """A build log by record number."""
     logs = (
-        "fatal error: omp.h: No such file or directory", "main.o: undefined reference to `f'\nmake: *** [all] Error 1", "error: 'x' was not declared in this scope\nerror: expected ';' before '}'",
-        "nvcc fatal: unsupported gpu architecture 'compute_1'", "something else",
+        "fatal error: omp.h: No such file or directory", "main.o: undefined reference to `f'\nmain.c: redefinition of 'g'", "error: 'x' was not declared in this scope\nerror: expected ';' before '}'",
+        "error: cudaMalloc is undeclared", "something else", "error: unknown type name 'cl_mem'",
     )
-    return F.element_at(F.array(*map(F.lit, logs)), (F.col("record_id") % 5 + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, logs)), (F.col("record_id") % 6 + 1).cast("int"))
 
 
-@query("cls01_build_taxonomy", RECORDS_SQL + """
-SELECT model, CASE record_id % 5 WHEN 0 THEN 'missing_header' WHEN 1 THEN 'linker_error' WHEN 2 THEN 'undeclared' WHEN 3 THEN 'arch_error' ELSE 'other_build' END AS category,
- CASE record_id % 5 WHEN 1 THEN 'make_error' WHEN 2 THEN 'syntax_error' ELSE '' END AS also, count(*) AS n FROM rec WHERE overall_status = 'BUILD_FAIL' GROUP BY 1, 2, 3""")
+def translated() -> Column:
+    """Files of a translation: every seventh lacks its target's constructs, every eleventh has none."""
+    sign = F.when(F.col("target_api") == "omp", "#pragma omp parallel for").when(F.col("target_api") == "opencl", "__kernel void k()").otherwise("k<<<1, 1>>>();")
+    made = F.create_map(F.lit("a.c"), F.lit("int a;"), F.lit("b.c"), F.when(F.col("record_id") % 7 == 0, "int b;").otherwise(sign))
+    return F.when(F.col("record_id") % 11 == 0, F.create_map().cast("map<string,string>")).otherwise(made)
+
+
+_BUILD_SQL = """
+, k AS (SELECT *, record_id % 7 = 0 AND record_id % 11 <> 0 AS lacks FROM rec WHERE overall_status = 'BUILD_FAIL'),
+ c AS (SELECT *, CASE record_id % 6
+   WHEN 3 THEN CASE WHEN target_api <> 'cuda' THEN 'retained_cuda_api' WHEN lacks THEN 'missing_target_api' ELSE 'undeclared_identifier' END
+   WHEN 5 THEN CASE WHEN target_api <> 'opencl' THEN 'retained_opencl_api' WHEN lacks THEN 'missing_target_api' ELSE 'undeclared_identifier' END
+   ELSE CASE WHEN lacks THEN 'missing_target_api' ELSE ['missing_header', 'linker_error', 'undeclared_identifier', '', 'other_build'][(record_id % 6 + 1)::INT] END END AS category,
+  CASE record_id % 6 WHEN 0 THEN CASE WHEN lacks THEN 'missing_header' ELSE '' END WHEN 1 THEN CASE WHEN lacks THEN 'linker_error,redefinition' ELSE 'redefinition' END
+   WHEN 2 THEN CASE WHEN lacks THEN 'undeclared_identifier,syntax_error' ELSE 'syntax_error' END WHEN 4 THEN ''
+   ELSE CASE WHEN target_api <> (CASE record_id % 6 WHEN 3 THEN 'cuda' ELSE 'opencl' END) THEN CASE WHEN lacks THEN 'missing_target_api,' ELSE '' END || 'undeclared_identifier'
+        WHEN lacks THEN 'undeclared_identifier' ELSE '' END END AS also FROM k)"""
+
+
+@query("cls01_build_taxonomy", RECORDS_SQL + _BUILD_SQL + " SELECT model, category, also, count(*) AS n FROM c GROUP BY 1, 2, 3")
 def build_taxonomy(spark: SparkSession, d: str) -> DataFrame:
-    """Build failures by category, with the other categories that apply."""
-    r = eligible(records(spark, d)).where("overall_status = 'BUILD_FAIL'").withColumn("log", snippets())
-    also = F.array_join(X.secondaries(F.col("log"), X.BUILD_RULES), ",")
-    return r.groupBy("model", X.primary(F.col("log"), X.BUILD_RULES, "other_build").alias("category"), also.alias("also")).agg(F.count("*").alias("n"))
+    """Build failures by category, with the other categories that apply; some rules depend on the direction or the code."""
+    r = eligible(records(spark, d)).where("overall_status = 'BUILD_FAIL'").withColumns({"log": snippets(), "files": translated()})
+    rules = X.build_rules(F.col("log"), F.col("direction"), F.col("files"))
+    return r.groupBy("model", X.primary(rules, "other_build").alias("category"), F.array_join(X.secondaries(rules), ",").alias("also")).agg(F.count("*").alias("n"))
 
 
-@query("cls02_run_taxonomy", RECORDS_SQL + "SELECT CASE WHEN record_id % 3 = 0 THEN 'timeout' WHEN record_id % 3 = 1 THEN 'segfault' ELSE 'wrong_exit_code' END AS category, count(*) AS n FROM rec WHERE overall_status = 'RUN_FAIL' GROUP BY 1")
+@query("cls02_run_taxonomy", RECORDS_SQL + """
+SELECT ['timeout', 'segfault', 'abort', 'wrong_args', 'gpu_memory_error', 'wrong_exit_code', 'wrong_checksum', 'other_runtime'][(record_id % 8 + 1)::INT] AS category,
+ CASE record_id % 8 WHEN 3 THEN 'data_file_missing' ELSE '' END AS also, count(*) AS n FROM rec WHERE overall_status = 'RUN_FAIL' GROUP BY 1, 2""")
 def run_taxonomy(spark: SparkSession, d: str) -> DataFrame:
-    """Run failures by category; the exit code alone is what remains."""
-    err = F.element_at(F.array(F.lit("Timed out after 60 s"), F.lit("Segmentation fault (core dumped)"), F.lit("")), (F.col("record_id") % 3 + 1).cast("int"))
-    return eligible(records(spark, d)).where("overall_status = 'RUN_FAIL'").groupBy(X.primary(err, X.RUN_RULES, "wrong_exit_code").alias("category")).agg(F.count("*").alias("n"))
+    """Run failures by category; an exit code alone is never a secondary."""
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("record_id") % 8 + 1).cast("int"))
+    err = pick("killed by timeout", "Segmentation fault", "", "usage: a <b>", "GPUassert: x", "", "", "")
+    out = pick("", "", "", "cannot open data", "", "", "invalid checksum", "fine")
+    code = pick(-9, 1, -6, 1, 1, 3, 1, 0)
+    rules = X.run_rules(code, err, out)
+    r = eligible(records(spark, d)).where("overall_status = 'RUN_FAIL'")
+    return r.groupBy(X.primary(rules, "other_runtime").alias("category"), F.array_join(X.secondaries(rules, ("wrong_exit_code",)), ",").alias("also")).agg(F.count("*").alias("n"))
 
 
-@query("cls03_extraction_taxonomy", RECORDS_SQL + "SELECT CASE record_id % 4 WHEN 0 THEN 'empty_response' WHEN 1 THEN 'no_code_block' WHEN 2 THEN 'truncated' ELSE 'malformed_output' END AS category, count(*) AS n FROM rec WHERE overall_status = 'EXTRACTION_FAIL' GROUP BY 1")
+@query("cls03_extraction_taxonomy", RECORDS_SQL + "SELECT CASE record_id % 3 WHEN 0 THEN 'no_code_blocks' WHEN 1 THEN 'missing_files' ELSE 'malformed_output' END AS category, count(*) AS n FROM rec WHERE overall_status = 'EXTRACTION_FAIL' GROUP BY 1")
 def extraction_taxonomy(spark: SparkSession, d: str) -> DataFrame:
     """Extraction failures by category."""
-    said = F.element_at(F.array(F.lit(" "), F.lit("I cannot"), F.lit("```c\nint"), F.lit("```c\nint x;\n```")), (F.col("record_id") % 4 + 1).cast("int"))
+    said = F.element_at(F.array(F.lit("Response did not contain parseable code"), F.lit("Expected file a.cu"), F.lit("odd")), (F.col("record_id") % 3 + 1).cast("int"))
     return eligible(records(spark, d)).where("overall_status = 'EXTRACTION_FAIL'").groupBy(X.extraction_category(said).alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("cls04_verify_taxonomy", RECORDS_SQL + "SELECT CASE record_id % 4 WHEN 0 THEN 'oracle_error' WHEN 1 THEN 'missing_output' WHEN 2 THEN 'non_finite' ELSE 'wrong_output' END AS category, count(*) AS n FROM rec WHERE overall_status = 'VERIFY_FAIL' GROUP BY 1")
+@query("cls04_verify_taxonomy", RECORDS_SQL + """
+SELECT ['wrong_numerical_output', 'missing_output', 'verification_error', 'pass_overall_mislabel', 'other_verify'][(record_id % 5 + 1)::INT] AS category, record_id % 5 = 0 AS data_file_error, count(*) AS n FROM rec WHERE overall_status = 'VERIFY_FAIL' GROUP BY 1, 2""")
 def verify_taxonomy(spark: SparkSession, d: str) -> DataFrame:
-    """Verification failures by category."""
-    k = F.col("record_id") % 4
-    out = F.when(k == 1, " \n").when(k == 2, "sum = nan").otherwise("sum = 3")
-    return eligible(records(spark, d)).where("overall_status = 'VERIFY_FAIL'").groupBy(X.verify_category(F.when(k == 0, "ERROR").otherwise("FAIL"), out).alias("category")).agg(F.count("*").alias("n"))
+    """Verification failures by category, and whether a data file was the trouble."""
+    k = (F.col("record_id") % 5 + 1).cast("int")
+    status = F.element_at(F.array(*map(F.lit, ("fail", "fail", "error", "pass", "skip"))), k)
+    out = F.element_at(F.array(*map(F.lit, ("Cannot open x", " \n", "1", "2", "3"))), k)
+    r = eligible(records(spark, d)).where("overall_status = 'VERIFY_FAIL'")
+    return r.groupBy(X.verify_category(status, out).alias("category"), X.data_file_error(out).alias("data_file_error")).agg(F.count("*").alias("n"))
 
 
 @query("cls05_expected_errors", "SELECT event_type = 'error' AS expected, count(*) AS n FROM events GROUP BY 1")
@@ -140,13 +167,12 @@ def expected_errors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(X.expected_error(F.col("event_type"), ("err", "warning:")).alias("expected")).agg(F.count("*").alias("n"))
 
 
-@query("agg19_failure_rollup", RECORDS_SQL + """
-, c AS (SELECT model, suite, direction, CASE record_id % 5 WHEN 0 THEN 'missing_header' WHEN 1 THEN 'linker_error' WHEN 2 THEN 'undeclared' WHEN 3 THEN 'arch_error' ELSE 'other_build' END AS category FROM rec WHERE overall_status = 'BUILD_FAIL')
+@query("agg19_failure_rollup", RECORDS_SQL + _BUILD_SQL + """
 SELECT 'model' AS dimension, model AS value, category, count(*) AS n FROM c GROUP BY 2, 3 UNION ALL SELECT 'suite', suite, category, count(*) FROM c GROUP BY 2, 3 UNION ALL SELECT 'direction', direction, category, count(*) FROM c GROUP BY 2, 3""")
 def failure_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Build failure categories by model, suite and direction, by grouping sets."""
     dims = ("model", "suite", "direction")
-    c = eligible(records(spark, d)).where("overall_status = 'BUILD_FAIL'").withColumn("category", X.primary(snippets(), X.BUILD_RULES, "other_build")).groupBy(*dims, "category").agg(F.count("*").alias("n"))
+    c = eligible(records(spark, d)).where("overall_status = 'BUILD_FAIL'").withColumn("category", X.primary(X.build_rules(snippets(), F.col("direction"), translated()), "other_build")).groupBy(*dims, "category").agg(F.count("*").alias("n"))
     g = c.groupingSets([[F.col(k), F.col("category")] for k in dims], *dims, "category")
     name, value = F.coalesce(*[F.when(F.grouping(k) == 0, F.lit(k)) for k in dims]), F.coalesce(*[F.when(F.grouping(k) == 0, F.col(k)) for k in dims])
     return g.agg(name.alias("dimension"), value.alias("value"), F.sum("n").alias("n")).select("dimension", "value", "category", "n")
