@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import bytewise as B
-from tallyforge.llm.shared import NO_ID, batches, discard, text_or_empty, through_pandas, written
+from tallyforge.llm.shared import NO_ID, batches, discard, spread_join, text_or_empty, through_pandas, written
 
 WIDTH = 200
 LEAD = 32
@@ -195,14 +195,14 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, lead: int = LEAD, split
     long_enough = ids.where(F.octet_length("text") >= width)
     schema = "lead long, id long, th long, at int, lo int, hi int"
     found = written(long_enough.mapInPandas(_find_anchors(width, lead), schema), "anchors")
-    often = found.groupBy("lead").agg(F.count("*").alias("n")).where("n > 1")
+    often = written(found.groupBy("lead").agg(F.count("*").alias("n")).where("n > 1"), "leads")
     salt = F.when(F.col("n") > split, F.pmod(F.xxhash64("id", "th", "at"), F.ceil(F.col("n") / split)).cast("int")).otherwise(-1)
-    again = found.join(often, "lead").select("id", "th", F.struct("at", "lo", "hi", salt.alias("salt")).alias("x"))
+    again = spread_join(found, often, ["lead"], "n", found.count()).select("id", "th", F.struct("at", "lo", "hi", salt.alias("salt")).alias("x"))
     lists = written(again.groupBy("id", "th").agg(F.collect_set("x").alias("found")), "candidates")
     # repeated rows stay repeated here, as they should: each is a place where the string starts
     rows = long_enough.join(lists, ["id", "th"])
     contexts = written(rows.mapInPandas(_fetch(width, lead), "first binary, salt int, id long, th long, lo int, context binary"), "contexts")
-    discard(found, lists)
+    discard(found, often, lists)
     dealt = contexts.repartitionByRange("first", "salt").sortWithinPartitions("first", "salt")
     seen = written(dealt.mapInPandas(_bucket(width), "id long, th long, a int, b int, h long, open byte"), "compared")
     discard(contexts)
