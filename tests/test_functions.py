@@ -125,3 +125,32 @@ def test_transforms_keep_opaque_text_and_are_deterministic():
         assert 'puts("NULL i++;")' in out and "/* i++; */" in out
     assert transforms.transformed(code, 0, "s") == (code, [])
     assert len(transforms.candidates(code)) == 5
+
+
+def test_taxonomy_order_direction_and_secondaries(spark):
+    from tallyforge.operators import taxonomy as X
+
+    def build(log, direction, files):
+        made = F.map_from_arrays(F.array(*[F.lit(k) for k in files]), F.array(*[F.lit(v) for v in files.values()])) if files else F.create_map().cast("map<string,string>")
+        rules = X.build_rules(F.lit(log), F.lit(direction), made)
+        return one(spark, X.primary(rules, "other_build")), one(spark, X.secondaries(rules))
+
+    assert build("CUDAMALLOC undeclared", "cuda-to-omp", {"a.c": "#pragma omp parallel"}) == ("retained_cuda_api", ["undeclared_identifier"])
+    assert build("cudaMalloc undeclared", "omp-to-cuda", {"a.cu": "k<<<1, 1>>>()"}) == ("undeclared_identifier", [])
+    assert build("cudaMalloc undeclared", "omp-to-cuda", {"a.cu": "int a;"}) == ("missing_target_api", ["undeclared_identifier"])
+    assert build("what", "cuda-to-omp", {}) == ("other_build", [])
+    assert build(None, "cuda-to-omp_target", {"a.c": "#pragma omp parallel"})[0] == "missing_target_api"
+
+    def run(code, err, out):
+        rules = X.run_rules(F.lit(code).cast("int"), F.lit(err), F.lit(out))
+        return one(spark, X.primary(rules, "other_runtime")), one(spark, X.secondaries(rules, ("wrong_exit_code",)))
+
+    assert run(-11, "", "") == ("segfault", [])
+    assert run(1, "Aborted", "Usage: x") == ("wrong_args", ["abort"])
+    assert run(2, None, None) == ("wrong_exit_code", [])
+    assert run(None, None, None) == ("other_runtime", [])
+
+
+def test_error_signs(spark):
+    for said, want in [("x clBuildProgram() => -11 y", "OpenCL kernel build failure: clBuildProgram() => -11"), ("cudaErrorSuccess:", None), ("segmentation FAULT", "Segfault in stdout: segmentation FAULT"), ("", None)]:
+        assert one(spark, text.error_sign(F.lit(said))) == want
