@@ -126,7 +126,7 @@ def physical_sloc(s: Column) -> Column:
 def head_and_tail(s: Column, most: int = 1500) -> Column:
     """PRJ-16."""
     half = most // 2
-    return F.when(F.length(s) > most, F.concat(F.left(s, F.lit(half)), F.lit("\n... [truncated] ...\n"), F.right(s, F.lit(half)))).otherwise(s)
+    return F.when(F.length(s) > most, F.concat(F.left(s, F.lit(half)), F.lit("\n...[truncated]...\n"), F.right(s, F.lit(half)))).otherwise(s)
 
 
 def substituted(s: Column, variables: Column) -> Column:

@@ -301,7 +301,7 @@ def levels_by_direction(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("agg26_oracle_shape_rates", RECORDS_SQL + f"""
-, g AS (SELECT CASE regexp_extract(kernel, '[0-9]+')::INT % 4 WHEN 0 THEN 'numeric' WHEN 1 THEN 'self-checking' ELSE 'banner-only' END AS shape, count(*) AS n, count(*) FILTER (WHERE passed) AS c FROM rec WHERE augment_level = 0 GROUP BY 1) SELECT shape, n, c, {wilson_sql()} FROM g""")
+, g AS (SELECT CASE WHEN regexp_extract(kernel, '[0-9]+')::INT % 5 IN (0, 3) THEN 'numeric/hash' WHEN regexp_extract(kernel, '[0-9]+')::INT % 5 = 1 THEN 'self-checking' ELSE 'banner-only' END AS shape, count(*) AS n, count(*) FILTER (WHERE passed) AS c FROM rec WHERE augment_level = 0 GROUP BY 1) SELECT shape, n, c, {wilson_sql()} FROM g""")
 def shape_rates(spark: SparkSession, d: str) -> DataFrame:
     """Level-0 rates by the shape of the target's oracle."""
     rec = eligible(records(spark, d)).where("augment_level = 0")

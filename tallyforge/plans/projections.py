@@ -98,9 +98,16 @@ def derivations(spark: SparkSession, d: str) -> DataFrame:
     return entries.select(F.size("e").cast("long").alias("len"), F.round(F.array_max(rates) - F.array_min(rates), 6).alias("diff"), F.round(F.array_max(F.transform(rates, lambda r: F.abs(r - F.col("e")[0]["rate"]))), 6).alias("max_abs_gap"))
 
 
+def token_bound(size: Column, messages: int, bytes_per_token: float = 1.0, overhead: int = 8) -> Column:
+    """PRJ-20: no fewer tokens than a prompt of so many UTF-8 bytes can have; a token covers a byte at least."""
+    if not 0 < bytes_per_token <= 1 or overhead < 8:
+        raise ValueError("more than one byte a token, or less than 8 tokens a message, is no upper bound")
+    return F.ceil(size / bytes_per_token).cast("long") + overhead * messages
+
+
 @query("prj19_20_usage_and_budget", """
 SELECT event_id, event_id % 4096 + 1 AS prompt, CAST(round(value * 100) AS BIGINT) AS completion, event_id % 4096 + 1 + CAST(round(value * 100) AS BIGINT) AS total,
-       CAST(ceil(strlen(props) / 3.0) AS BIGINT) + 16 AS bound, greatest(0, least(2048, 4096 - (event_id % 4096 + 1))) AS cap FROM events""")
+       strlen(props) + 16 AS bound, greatest(0, least(2048, 4096 - (event_id % 4096 + 1))) AS cap FROM events""")
 def usage(spark: SparkSession, d: str) -> DataFrame:
     """Three providers' usage fields as one shape; token bound of a request and cap of its completion."""
     e = table(spark, d, "events")
@@ -111,7 +118,7 @@ def usage(spark: SparkSession, d: str) -> DataFrame:
     first = lambda *names: F.coalesce(*[F.try_element_at("usage", F.lit(x)) for x in names])
     u = u.select("event_id", "props", first("prompt_tokens", "input_tokens", "promptTokenCount").alias("prompt"), first("completion_tokens", "output_tokens", "candidatesTokenCount").alias("completion"))
     checked = F.when((F.col("prompt") < 0) | F.col("prompt").isNull(), F.raise_error(F.lit("unknown usage shape")).cast("long")).otherwise(F.col("prompt"))
-    bound = F.ceil(F.octet_length("props") / 3.0).cast("long") + 16
+    bound = token_bound(F.octet_length("props"), 2)
     return u.select("event_id", checked.alias("prompt"), "completion", (F.col("prompt") + F.col("completion")).alias("total"), bound.alias("bound"), F.greatest(F.lit(0).cast("long"), F.least(F.lit(2048).cast("long"), 4096 - F.col("prompt"))).alias("cap"))
 
 
@@ -189,26 +196,36 @@ def strategies(key: Column) -> Column:
     """An oracle's strategies, by a number."""
     made = lambda kind, pattern: F.struct(F.lit(kind).alias("type"), F.lit(pattern).alias("pattern"))
     return (
-        F.when(key % 4 == 0, F.array(made("exit_code", None), made("numeric_comparison", r"err=([\d.]+)")))
-        .when(key % 4 == 1, F.array(made("exit_code", None), made("stdout_pattern", "(?i)test passed")))
-        .when(key % 4 == 2, F.array(made("stdout_pattern", "Kernel time"))).otherwise(F.array(made("exit_code", None)))
+        F.when(key % 5 == 0, F.array(made("exit_code", None), made("numeric_comparison", r"err=([\d.]+)")))
+        .when(key % 5 == 1, F.array(made("exit_code", None), made("stdout_pattern", "(?i)test passed")))
+        .when(key % 5 == 2, F.array(made("stdout_exclude_pattern", "PASSED"), made("stdout_pattern", "Kernel time")))
+        .when(key % 5 == 3, F.array(made("file_hash", None))).otherwise(F.array(made("exit_code", None)))
     )
 
 
+#: Fixed value: what a pattern says where a program judges itself.
+SELF_CHECK = r"(?i)\bpass\b|passed|verif|correct|match|\bok\b|success"
+
+
 def oracle_shape(s: Column) -> Column:
-    """PRJ-25: numbers or hashes, a program that checks itself, or a banner at most."""
+    """PRJ-25: numbers or hashes, a program that checks itself (by its first positive pattern), or a banner at most."""
+    pattern = F.filter(s, lambda x: (x["type"] == "stdout_pattern") & (x["pattern"] != ""))
+    checks = F.coalesce(F.try_element_at(pattern, F.lit(1))["pattern"].rlike(SELF_CHECK), F.lit(False))
+    return F.when(F.exists(s, lambda x: x["type"].isin("numeric_comparison", "file_hash")), "numeric/hash").when(checks, "self-checking").otherwise("banner-only")
+
+
+def oracle_strength(s: Column) -> Column:
+    """PRJ-25: an independent comparison, a number that the program reports, or less."""
     has = lambda *kinds: F.exists(s, lambda x: x["type"].isin(*kinds))
-    checks = F.exists(s, lambda x: (x["type"] == "stdout_pattern") & x["pattern"].rlike(r"(?i)pass|correct|success|verif"))
-    return F.when(has("numeric_comparison", "file_hash", "file_diff"), "numeric").when(checks, "self-checking").otherwise("banner-only")
+    return F.when(has("file_hash", "file_diff"), "strong").when(has("numeric_comparison"), "medium").otherwise("weak")
 
 
-@query("prj25_oracle_shape", "SELECT CASE p_partkey % 4 WHEN 0 THEN 'numeric' WHEN 1 THEN 'self-checking' ELSE 'banner-only' END AS shape, CASE p_partkey % 4 WHEN 0 THEN 'strong' WHEN 3 THEN 'weak' ELSE 'medium' END AS strength, count(*) AS n FROM part GROUP BY 1, 2")
+@query("prj25_oracle_shape", """
+SELECT CASE WHEN p_partkey % 5 IN (0, 3) THEN 'numeric/hash' WHEN p_partkey % 5 = 1 THEN 'self-checking' ELSE 'banner-only' END AS shape, CASE p_partkey % 5 WHEN 3 THEN 'strong' WHEN 0 THEN 'medium' ELSE 'weak' END AS strength, count(*) AS n FROM part GROUP BY 1, 2""")
 def oracle_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Shape and strength of every oracle."""
     s = table(spark, d, "part").select(strategies(F.col("p_partkey")).alias("s"))
-    has = lambda *kinds: F.exists("s", lambda x: x["type"].isin(*kinds))
-    strength = F.when(has("numeric_comparison", "file_hash", "file_diff"), "strong").when(has("stdout_pattern"), "medium").otherwise("weak")
-    return s.groupBy(oracle_shape(F.col("s")).alias("shape"), strength.alias("strength")).agg(F.count("*").alias("n"))
+    return s.groupBy(oracle_shape(F.col("s")).alias("shape"), oracle_strength(F.col("s")).alias("strength")).agg(F.count("*").alias("n"))
 
 
 @query("prj30_31_rates_with_provenance", RECORDS_SQL + "SELECT 'pass_rate.' || model AS claim, round(avg(passed::INT), 4) AS value, 'events' AS source, 'count_if(PASS) / count' AS derivation, count(*) AS n FROM rec GROUP BY model")

@@ -218,17 +218,25 @@ def consecutive(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("win05_level_patterns", RECORDS_SQL + """
-, g AS (SELECT model, suite, kernel, direction, list_transform(range(5), lambda l: coalesce(list_contains(list(augment_level) FILTER (WHERE passed), l::INT), false)) AS v FROM rec GROUP BY 1, 2, 3, 4)
-SELECT CASE WHEN v = [true, true, true, true, true] THEN 'stable_pass' WHEN v = [false, false, false, false, false] THEN 'stable_fail' WHEN v[1] AND NOT v[5] THEN 'degradation' WHEN NOT v[1] AND v[5] THEN 'improvement' ELSE 'other' END AS pattern, count(*) AS n FROM g GROUP BY 1""")
+, f AS (SELECT model, suite, kernel, direction, augment_level AS l, overall_status AS s, count(*) AS k, min(record_id) AS first FROM rec GROUP BY ALL),
+ w AS (SELECT *, row_number() OVER (PARTITION BY model, suite, kernel, direction, l ORDER BY s = 'PASS' DESC, k DESC, first) AS r FROM f),
+ g AS (SELECT model, suite, kernel, direction, coalesce(max(s) FILTER (WHERE l = 0), 'UNKNOWN') AS a, coalesce(max(s) FILTER (WHERE l = 1), 'UNKNOWN') AS b, coalesce(max(s) FILTER (WHERE l = 2), 'UNKNOWN') AS c,
+   coalesce(max(s) FILTER (WHERE l = 3), 'UNKNOWN') AS d, coalesce(max(s) FILTER (WHERE l = 4), 'UNKNOWN') AS e FROM w WHERE r = 1 GROUP BY 1, 2, 3, 4)
+SELECT CASE WHEN a = 'PASS' AND b = 'PASS' AND c = 'PASS' AND d = 'PASS' AND e = 'PASS' THEN 'stable_pass' WHEN a = 'PASS' THEN 'degradation' WHEN 'PASS' IN (b, c, d, e) THEN 'improvement'
+ WHEN a = b AND b = c AND c = d AND d = e THEN 'stable_fail' ELSE 'other' END AS pattern, count(*) AS n FROM g GROUP BY 1""")
 def level_patterns(spark: SparkSession, d: str) -> DataFrame:
-    """Tasks by how they go from level 0 to level 4; a missing level counts as not passing."""
-    levels = [F.coalesce(F.bool_or(F.when(F.col("augment_level") == k, F.col("passed"))), F.lit(False)) for k in range(5)]
-    g = eligible(records(spark, d)).groupBy("model", "suite", "kernel", "direction").agg(F.array(*levels).alias("v"))
+    """Tasks by how their collapsed status goes from level 0 to level 4; a missing level is UNKNOWN, which is no pass."""
+    key = ["model", "suite", "kernel", "direction"]
+    by = eligible(records(spark, d)).groupBy(*key, "augment_level", "overall_status").agg(F.count("*").alias("k"), F.min("record_id").alias("first"))
+    rank = F.struct((F.col("overall_status") == "PASS").cast("int"), "k", -F.col("first"))
+    level = [F.coalesce(F.max_by(F.when(F.col("augment_level") == n, F.col("overall_status")), F.when(F.col("augment_level") == n, rank)), F.lit("UNKNOWN")) for n in range(5)]
+    v = F.col("v")
+    good = lambda x: x == "PASS"
     kind = (
-        F.when(F.forall("v", lambda x: x), "stable_pass").when(F.forall("v", lambda x: ~x), "stable_fail")
-        .when(F.col("v")[0] & ~F.col("v")[4], "degradation").when(~F.col("v")[0] & F.col("v")[4], "improvement").otherwise("other")
+        F.when(F.forall(v, good), "stable_pass").when(good(v[0]), "degradation").when(F.exists(v, good), "improvement")
+        .when(F.size(F.array_distinct(v)) == 1, "stable_fail").otherwise("other")
     )
-    return g.groupBy(kind.alias("pattern")).agg(F.count("*").alias("n"))
+    return by.groupBy(*key).agg(F.array(*level).alias("v")).groupBy(kind.alias("pattern")).agg(F.count("*").alias("n"))
 
 
 @query("win06_07_last_wins", RECORDS_SQL + "SELECT kernel, model, arg_max(overall_status, record_id) AS status, max(record_id) AS record_id FROM rec GROUP BY 1, 2")

@@ -75,7 +75,7 @@ def document_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.non_blank_lines(F.col("text")).cast("long").alias("n"))
 
 
-@query("prj16_head_and_tail", "SELECT doc_id, length(CASE WHEN length(text) > 1500 THEN left(text, 750) || chr(10) || '... [truncated] ...' || chr(10) || right(text, 750) ELSE text END) AS n, md5(CASE WHEN length(text) > 1500 THEN left(text, 750) || chr(10) || '... [truncated] ...' || chr(10) || right(text, 750) ELSE text END) AS h FROM documents")
+@query("prj16_head_and_tail", "SELECT doc_id, length(CASE WHEN length(text) > 1500 THEN left(text, 750) || chr(10) || '...[truncated]...' || chr(10) || right(text, 750) ELSE text END) AS n, md5(CASE WHEN length(text) > 1500 THEN left(text, 750) || chr(10) || '...[truncated]...' || chr(10) || right(text, 750) ELSE text END) AS h FROM documents")
 def head_tail(spark: SparkSession, d: str) -> DataFrame:
     """Long logs cut to head and tail."""
     cut = T.head_and_tail(F.col("text"))
