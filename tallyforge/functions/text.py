@@ -16,22 +16,25 @@ def stripped(s: Column) -> Column:
 
 
 def strip_reasoning(s: Column, tag: str = "think") -> Column:
-    """PRJ-11: without whole <think> blocks, then without what precedes a lone closing tag or follows a lone opening one."""
-    whole = F.regexp_replace(s, rf"(?s)<{tag}>.*?</{tag}>", "")
-    dangling = F.when(whole.contains(f"<{tag}>"), whole).otherwise(F.regexp_replace(whole, rf"(?s)^.*</{tag}>", ""))
-    return stripped(F.regexp_replace(dangling, rf"(?s)<{tag}>.*$", ""))
+    """PRJ-11: without whole <think> blocks; then, if only a closing tag is left, without all up to the first one; if
+    only an opening one is left, without all from it on."""
+    opening, closing = f"<{tag}>", f"</{tag}>"
+    whole = F.regexp_replace(s, f"(?s){opening}.*?{closing}", "")
+    lone_end = whole.contains(closing) & ~whole.contains(opening)
+    lone_start = whole.contains(opening) & ~whole.contains(closing)
+    return stripped(F.when(lone_end, F.regexp_replace(whole, rf"(?s)\A.*?{closing}\s*", "")).when(lone_start, F.substring_index(whole, opening, 1)).otherwise(whole))
 
 
 def fenced_named(s: Column) -> Column:
     """PRJ-12, first two tiers: file name -> body of fences that name their file as ``filename=x`` or after a blank."""
-    pattern = r"(?s)```[\w+#-]*[ \t]+(?:filename=)?[\"']?(?:[\w./-]*/)?([\w.-]+\.\w+)[\"']?[^\n]*\n(.*?)\n?```"
+    pattern = r"(?s)```[\w+#-]*[ \t]+(?:filename=)?[\"']?(?:[\w./-]*/)?([\w.-]+\.\w+)[\"']?[^\n]*\n(.*?)```"
     names, bodies = F.regexp_extract_all(s, F.lit(pattern), 1), F.regexp_extract_all(s, F.lit(pattern), 2)
     pairs = F.arrays_zip(names.alias("name"), bodies.alias("body"))
     first = F.filter(pairs, lambda x, i: F.array_position(names, x["name"]) == i + 1)
     return F.map_from_entries(F.transform(first, lambda x: F.struct(x["name"], x["body"])))
 
 
-_FENCE = re.compile(r"```[^\n]*\n(.*?)\n?```", re.S)
+_FENCE = re.compile(r"```\w*[^\n]*\n(.*?)```", re.S)
 
 
 @F.pandas_udf(MapType(StringType(), StringType()))
@@ -48,8 +51,9 @@ def fenced_for_targets(texts: pd.Series, targets: pd.Series) -> pd.Series:
                 if re.search(rf"(?<![\w.]){re.escape(base)}(?![\w])", text[max(0, at - 500) : at]):
                     out[base] = body
                     break
-        if not out and names is not None and len(names) == 1 and len(blocks) == 1:
-            out[names[0].rsplit("/", 1)[-1]] = blocks[0][1]
+        left = [n for n in (x.rsplit("/", 1)[-1] for x in (names if names is not None else ())) if n not in out]
+        if len(left) == 1 and len(blocks) == 1:
+            out[left[0]] = blocks[0][1]
         return out
 
     return pd.Series([find(t, n) for t, n in zip(texts, targets, strict=True)])
@@ -61,7 +65,8 @@ def renamed(files: Column, names: dict[str, str]) -> Column:
 
     def body(_: Column, v: Column) -> Column:
         for old, new in names.items():
-            v = F.replace(v, F.lit(f'"{old}"'), F.lit(f'"{new}"'))
+            for quote in "\"'":
+                v = F.replace(v, F.lit(f"{quote}{old}{quote}"), F.lit(f"{quote}{new}{quote}"))
         return F.regexp_replace(v, r"(?m)^make \w+\n?", "")
 
     return F.transform_values(keys, body)

@@ -29,14 +29,14 @@ def strip_reasoning(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d).select("conv_id", "turn", T.strip_reasoning(wrapped).alias("answer"))
 
 
-@query("prj12_fenced_blocks", "SELECT conv_id, turn, 'main.cu' AS name, 'int x' || turn || ';' AS body FROM conversations UNION ALL SELECT conv_id, turn, 'util.h', '#pragma once' FROM conversations")
+@query("prj12_fenced_blocks", "SELECT conv_id, turn, 'main.cu' AS name, 'int x' || turn || ';' || chr(10) AS body FROM conversations UNION ALL SELECT conv_id, turn, 'util.h', '#pragma once' || chr(10) FROM conversations")
 def fenced(spark: SparkSession, d: str) -> DataFrame:
     """Files of a response: named fences; of a name given twice the first counts."""
     said = F.concat(F.lit("Here:\n```cpp filename=src/main.cu\nint x"), "turn", F.lit(";\n```\nand\n```cpp util.h\n#pragma once\n```\n```cpp main.cu\nlater\n```\n"))
     return messages(spark, d).select("conv_id", "turn", F.explode(T.fenced_named(said)).alias("name", "body"))
 
 
-@query("prj12_fenced_near_names", "SELECT conv_id, turn, 'k.cl' AS name, 'kernel ' || turn AS body FROM conversations")
+@query("prj12_fenced_near_names", "SELECT conv_id, turn, 'k.cl' AS name, 'kernel ' || turn || chr(10) AS body FROM conversations")
 def fenced_near(spark: SparkSession, d: str) -> DataFrame:
     """Files of a response whose names stand before their fences, or where one block answers for one target."""
     said = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("File `k.cl`:\n```\nkernel "), "turn", F.lit("\n```\n"))).otherwise(F.concat(F.lit("```\nkernel "), "turn", F.lit("\n```\n")))

@@ -83,7 +83,7 @@ def test_ids(spark):
 
 @pytest.mark.parametrize(
     "said, want",
-    [("<think>a</think> b", "b"), ("a</think>b", "b"), ("b<think>c", "b"), ("<think>x</think>y<think>z</think>", "y"), ("<think>x</think>y</think>z", "z"), ("plain", "plain")],
+    [("<think>a</think> b", "b"), ("a</think>b", "b"), ("b<think>c", "b"), ("<think>x</think>y<think>z</think>", "y"), ("<think>x</think>y</think>z", "z"), ("a</think>b</think>c", "b</think>c"), ("a</think>b<think>c", "a</think>b<think>c"), ("plain", "plain")],
 )
 def test_strip_reasoning(spark, said, want):
     assert one(spark, text.strip_reasoning(F.lit(said))) == want
