@@ -25,22 +25,24 @@ def _power(m: np.uint64, n: int) -> np.uint64:
     return U(pow(int(m), n, 1 << 64))
 
 
-def doubled(data: np.ndarray, upto: int) -> dict[int, np.ndarray]:
-    """Polynomial hashes of all strings of 1, 2, 4, ... ``upto`` bytes; entry w has len - w + 1 values."""
-    out = {1: BYTE[data]}
-    w = 1
-    while w < upto and len(out[w]) > w:
-        out[2 * w] = out[w][:-w] * _power(_MUL, w) + out[w][w:]
+def doubled(data: np.ndarray, widths: int) -> dict[int, np.ndarray]:
+    """Polynomial hashes of all strings of the powers of two in ``widths``; entry w has len - w + 1 values."""
+    out, w, now = {}, 1, BYTE[data]
+    while w <= widths:
+        if widths & w:
+            out[w] = now
+        if 2 * w <= widths and len(now) > w:
+            now = now[:-w] * _power(_MUL, w) + now[w:]
         w *= 2
     return out
 
 
-def strings(data: np.ndarray, width: int, parts: dict[int, np.ndarray] | None = None) -> np.ndarray:
+def strings(data: np.ndarray, width: int) -> np.ndarray:
     """A hash of every string of ``width`` bytes, from its binary parts."""
     n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, U)
-    parts = parts or doubled(data, 1 << (width.bit_length() - 1))
+    parts = doubled(data, width)
     out, at = None, 0
     for bit in reversed(range(width.bit_length())):
         w = 1 << bit

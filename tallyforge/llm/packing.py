@@ -76,6 +76,7 @@ def _pieces(path: str, capacity: int):
                     for k, v in zip(out, (i, piece, a // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         out[k].append(v)
             yield pd.DataFrame(out)
+        encode.forget()  # the worker serves other stages next
 
     return run
 

@@ -34,7 +34,7 @@ LEAD = 32
 #: Anchors with the same leading bytes beyond which they are dealt over more than one bucket.
 SPLIT = 4096
 #: Bytes of one document looked at together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def anchors(data: np.ndarray, width: int, lead: int) -> tuple[np.ndarray, ...]:
@@ -58,7 +58,7 @@ def anchors(data: np.ndarray, width: int, lead: int) -> tuple[np.ndarray, ...]:
 
 def _find_anchors(width: int, lead: int):
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames):
+        for frame in batches(frames, most=CHUNK):
             texts = [t.encode() for t in frame.text]
             rows = [i for i, t in enumerate(texts) if len(t) >= width]
             if not rows:
@@ -88,7 +88,7 @@ def _find_anchors(width: int, lead: int):
 
 def _fetch(width: int, lead: int):
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames, most=1 << 19):
+        for frame in batches(frames, most=CHUNK):
             out: dict[str, list] = {k: [] for k in ("first", "salt", "id", "th", "lo", "context")}
             for text, i, th, found in zip(frame.text, frame.id, frame.th, frame.found, strict=True):
                 data = text.encode()
@@ -131,7 +131,7 @@ def _hashes(context: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, n
     return B.strings(data, width)[begin[row] + place], row, place
 
 
-def _bucket(width: int, rows_at_once: int = 4096):
+def _bucket(width: int, rows_at_once: int = 1024):
     """For a partition sorted by leading bytes: ranges of repeated starts, and hashes for other buckets where needed."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:

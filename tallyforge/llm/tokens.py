@@ -10,7 +10,7 @@ from functools import cache
 import numpy as np
 
 #: Words whose ids are remembered, at most.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: The vocabulary's own split, for text of the Basic Latin and Latin-1 letters in lower case.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
 #: Text outside of this takes the general way.
@@ -22,7 +22,7 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """texts -> the ids of each as little-endian unsigned 32-bit numbers, exactly as the tokenizer gives them.
 
     The vocabulary splits a text into words before it merges, and each word's last token is marked as an end, so a
-    word's ids do not depend on its neighbours and are remembered; new words of a batch are encoded together. Text
+    word's ids do not depend on its neighbours and are remembered (until ``forget()``); new words of a batch are encoded together. Text
     with other characters, which normalisation might join, is encoded as a whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,4 +56,5 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             learn(sorted(every))
         return [ids_of(t).tobytes() if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split, strict=True)]
 
+    encode.forget = known.clear
     return encode
