@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.decontaminate import without_leaks
+from tallyforge.llm.jaccard import without_similar
 from tallyforge.llm.packing import pack
 from tallyforge.llm.shared import discard, scratch, table, written
 from tallyforge.llm.simhash import without_near_duplicates
@@ -30,6 +31,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return without_near_duplicates(docs)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by a Jaccard similarity of 0.8 or more over runs of five words, the least doc_id stays."""
+    return without_similar(docs)
+
+
 def cut_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings of 200 bytes that start more than once go from every document; the document stays with the rest."""
     columns = [c for c in docs.columns if c not in ("text", "n_chars")]
@@ -50,6 +56,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
     ("simhash_near_dedup", drop_near_duplicates),
+    ("jaccard_near_dedup", drop_similar),
     ("suffix_dedup", cut_repeated_text),
     ("benchmark_decontamination", drop_leaks),
     ("best_fit_packing", pack_sequences),

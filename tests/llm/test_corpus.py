@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from tallyforge.llm import bytewise, decontaminate, html_text, langid, minhash, packing, queries, sharding, simhash, suffix_dedup, token_counts, tokens, toxicity
+from tallyforge.llm import jaccard as similarity
 from tallyforge.llm.components import components
 
 DOCS = "doc_id long, text string"
@@ -398,6 +399,64 @@ def test_one_of_each_component_stays(spark, small, odd):
     assert simhash.without_near_duplicates(odd).count() == len(set(brute_components(prints, list(range(len(prints))))))
 
 
+# Jaccard similarity
+
+
+def brute_similar(rows):
+    """Places in ``rows`` of the least document of each component of 5-word Jaccard >= 0.8."""
+    words = [t.encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split() for _, t in rows]
+    runs = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, x in enumerate(runs):
+        for j, y in enumerate(runs[:i]):
+            if x == y or 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        r = find(i)
+        if r not in least or (d is not None and (rows[least[r]][0] is None or d < rows[least[r]][0])):
+            least[r] = i
+    return sorted(least.values())
+
+
+def similar_copies(small, rng):
+    rows = texts_of(small)
+    for k, (_, t) in enumerate(rows[:60]):
+        w = t.split()
+        for _ in range(rng.randint(0, max(1, len(w) // 30))):  # similarity on both sides of 0.8
+            w[rng.randrange(len(w))] = rng.choice(["other", "words", "here"])
+        rows.append((5000 + k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("frequent", [similarity.FREQUENT, 2])
+def test_similar_documents_go(spark, small, odd, empty, frequent, monkeypatch):
+    monkeypatch.setattr(similarity, "FREQUENT", frequent)
+    rows = similar_copies(small, random.Random(11))
+    got = {r.doc_id for r in similarity.without_similar(spark.createDataFrame([(i, t, i) for i, t in rows], DOCS + ", th long")).collect()}
+    assert got == {rows[k][0] for k in brute_similar(rows)} and len(got) < len(rows) - 20
+    assert similarity.without_similar(odd).count() == len(brute_similar(texts_of(odd))) and similarity.without_similar(empty).count() == 0
+
+
+def test_pipeline_keeps_no_similar_documents(spark, small, data):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    rows = similar_copies(small, random.Random(12))
+    docs = spark.createDataFrame(rows, DOCS)
+    for name in ("simhash_near_dedup", *[n for n in stages if n == "jaccard_near_dedup"]):
+        docs = stages[name](spark, docs, data)
+    left = texts_of(docs)
+    assert len(brute_similar(left)) == len(left)
+
+
 # benchmark leaks
 
 
