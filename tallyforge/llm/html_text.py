@@ -25,6 +25,8 @@ HIDDEN = frozenset("head script style title template noscript iframe noembed nof
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre search section summary table ul xmp optgroup option".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu dir xmp".split())
 CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "legend"} | {"hr"}
+#: Start tags that leave an open head open.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script template noscript noframes".split())
 _SCOPE = frozenset("html body table td th caption button object template".split())
 _LIST = frozenset("ul ol menu dir".split())
 _ROWS = frozenset("thead tbody tfoot".split())
@@ -50,6 +52,15 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         while len(stack) > depth:
             yield "close", stack.pop(), {}
 
+    def close_head():
+        while stack and stack[-1] == "head":
+            yield "close", stack.pop(), {}
+
+    def text(source: str):
+        if source.strip(" \t\n\f\r"):
+            yield from close_head()
+        yield "text", unescape(source), {}
+
     def nearest(tags, limit) -> int:
         for k in range(len(stack) - 1, -1, -1):
             if stack[k] in tags:
@@ -72,6 +83,8 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             yield from close_to(k)
         if tag == "body" and (k := nearest(("head",), ())) >= 0:
             yield from close_to(k)
+        if tag not in IN_HEAD:
+            yield from close_head()
         if tag in ("td", "th") and nearest(("tr",), {"table"}) < 0 and nearest(("table",), ()) >= 0:
             stack.append("tr")
             yield "open", "tr", {}
@@ -81,7 +94,7 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         if m is None:
             break
         if m.start() > at:
-            yield "text", unescape(html[at : m.start()]), {}
+            yield from text(html[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -91,6 +104,7 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                 yield "open", "p", {}
                 yield "close", "p", {}
             elif tag == "br":
+                yield from close_head()
                 yield "open", "br", {}
                 yield "close", "br", {}
             elif (k := nearest((tag,), () if tag in ("table", "html", "body") else {"table"} if tag in _ROWS or tag in ("tr", "caption") else {"tr", "table"} if tag in ("td", "th") else {"td", "th", "caption", "table"})) >= 0:
@@ -111,7 +125,7 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             at = end.end() if end else size
             yield from close_to(len(stack) - 1)
     if at < size:
-        yield "text", unescape(html[at:]), {}
+        yield from text(html[at:])
     yield from close_to(0)
 
 

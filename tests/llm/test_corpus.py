@@ -548,6 +548,17 @@ def test_rendering(html, want):
     assert html_text.render(html) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<html><head><title>T</title><h1>Hi</h1><p>text", "Hi\n\ntext"), ("<head><meta charset=x><link rel=a>\n<style>p{}</style>plain text", "plain text"),
+        ("<head><script>x()</script><noscript>no</noscript><template><p>no</template><p>yes</p>", "yes"), ("<html><head><title>T</title></head>\n<h1>Hi</h1>", "Hi"), ("<head><title>T</title><body><p>b", "b"),
+    ],
+)
+def test_an_open_head_ends_at_content(html, want):
+    assert html_text.render(html) == want
+
+
 def test_rendering_survives_anything():
     rng = random.Random(9)
     parts = ["<p>", "</p>", "<table>", "</table>", "<tr>", "<td>", "<li>", "<ul>", "</ul>", "<pre>", "</pre>", "x", " y ", "<br>", "<caption>", "<div hidden>", "</div>", "<", "&lt;", "<script>", "</script>", "<b", "<blockquote>", "<dd>", "</tr>", "</li>", "<select><option>"]
