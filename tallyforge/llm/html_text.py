@@ -21,7 +21,13 @@ from tallyforge.llm.shared import batches, through_pandas
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas svg math select textarea".split())
+HIDDEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas desc metadata annotation annotation-xml".split())
+#: Of a drawing only these are shown; its definitions are not.
+DRAWN = frozenset("text foreignobject".split())
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+#: Start tags that end a drawing or formula, and where they do not.
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre search section summary table ul xmp optgroup option".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu dir xmp".split())
 CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "legend"} | {"hr"}
@@ -31,8 +37,10 @@ _SCOPE = frozenset("html body table td th caption button object template".split(
 _LIST = frozenset("ul ol menu dir".split())
 _ROWS = frozenset("thead tbody tfoot".split())
 
-_MARKUP = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_VALUE = r"""(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^ \t\n\f\r>"'][^ \t\n\f\r>]*)"""
+#: A quote delimits directly after "=" alone; a tag that the page's end cuts off has an empty last group.
+_MARKUP = re.compile(rf"<(?:!--.*?(?:-->|$)|[!?][^>]*>?|(/?)([a-zA-Z][^ \t\n\f\r/>]*)((?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+{_VALUE}?+)?+)*+)(>|\Z))", re.S)
+_ATTRIBUTE = re.compile(rf"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+({_VALUE})?+)?+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 
@@ -47,10 +55,14 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """("open" | "close" | "text", tag or text, attributes), properly nested."""
     stack: list[str] = []
     at, size = 0, len(html)
+    special = dict.fromkeys(("svg", "math", "select"), 0)  # how many are open
 
     def close_to(depth: int):
         while len(stack) > depth:
-            yield "close", stack.pop(), {}
+            tag = stack.pop()
+            if tag in special:
+                special[tag] -= 1
+            yield "close", tag, {}
 
     def close_head():
         while stack and stack[-1] == "head":
@@ -71,6 +83,10 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
 
     def implied(tag: str):
         """End tags that an opening ``tag`` implies."""
+        if special["select"] and tag in ("select", "input", "textarea") and (k := nearest(("select",), ())) >= 0:
+            yield from close_to(k)
+        if (special["svg"] or special["math"]) and tag in BREAKS_OUT and (k := nearest(("svg", "math"), _INTEGRATION)) >= 0:
+            yield from close_to(k)
         for tags, limit in {
             "li": [(("li",), _LIST | _SCOPE)], "dt": [(("dt", "dd"), {"dl"} | _SCOPE)], "dd": [(("dt", "dd"), {"dl"} | _SCOPE)],
             "option": [(("option",), {"select", "datalist"})], "optgroup": [(("optgroup", "option"), {"select"})],
@@ -96,7 +112,7 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         if m.start() > at:
             yield from text(html[at : m.start()])
         at = m.end()
-        if not m[2]:
+        if not m[2] or not m[4]:
             continue
         tag = m[2].lower()
         if m[1]:
@@ -117,11 +133,17 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             yield "close", tag, {}
             continue
         stack.append(tag)
+        if tag in special:
+            special[tag] += 1
+            if m[3].endswith("/") and tag != "select":  # foreign elements may close themselves
+                yield from close_to(len(stack) - 1)
+        elif m[3].endswith("/") and (special["svg"] or special["math"]) and tag not in RAW:
+            yield from close_to(len(stack) - 1)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             body = html[at : end.start() if end else size]
             if tag not in HIDDEN and body:
-                yield "text", body, {}
+                yield "text", re.sub(r"^\r?\n", "", unescape(body)) if tag == "textarea" else body, {}
             at = end.end() if end else size
             yield from close_to(len(stack) - 1)
     if at < size:
@@ -205,8 +227,8 @@ def render(html: str) -> str:
     """All visible text of a page."""
     frames = [Frame("root")]
     lists: list[tuple[str, int]] = []
-    hidden = 0
-    open_: list[tuple[str, bool]] = []
+    hidden = 0  # 1: nothing is shown, 2: nothing but a drawing's texts
+    open_: list[int] = []
     for kind, name, found in events(html):
         top = frames[-1]
         if kind == "text":
@@ -218,10 +240,18 @@ def render(html: str) -> str:
             continue
         if kind == "open":
             unseen = name in HIDDEN or "hidden" in found or bool(_UNSEEN.search(found.get("style", ""))) or (name == "input" and found.get("type", "").lower() == "hidden")
-            open_.append((name, unseen))
-            hidden += unseen
+            open_.append(hidden)
+            drawn = hidden == 2
+            if unseen or (drawn and name in UNDRAWN):
+                hidden = 1
+            elif not hidden and name == "svg":
+                hidden = 2
+            elif drawn and name in DRAWN:
+                hidden = 0
             if hidden:
                 continue
+            if drawn:
+                top.text(" ")
             if name == "br":
                 top.end(keep=True) if top.kind != "table" else None
             elif name == "hr":
@@ -257,6 +287,19 @@ def render(html: str) -> str:
                 made = Frame(name, top.preformatted)
                 made.marker = "  "
                 frames.append(made)
+            elif name == "select":
+                made = Frame("select")
+                size = found.get("size", "")
+                made.number = int("multiple" in found or (size.isdecimal() and int(size) > 1))
+                frames.append(made)
+            elif name == "optgroup" and top.kind == "select":
+                top.marker = "disabled" if "disabled" in found else ""
+            elif name == "option" and top.kind == "select":
+                made = Frame("option")
+                made.rows = [found.get("label", ""), "selected" in found, bool(top.marker) or "disabled" in found]
+                frames.append(made)
+            elif name == "textarea":
+                top.preformatted += 1
             elif name in ("pre", "xmp"):
                 top.block(True)
                 top.preformatted += 1
@@ -265,10 +308,11 @@ def render(html: str) -> str:
             continue
         if not open_:
             continue
-        _, unseen = open_.pop()
-        was, hidden = hidden, hidden - unseen
+        was, hidden = hidden, open_.pop()
         if was:
             continue
+        if hidden == 2:
+            top.text(" ")
         if name == "table" and top.kind == "table":
             if top.cells:
                 top.rows.append(top.cells)
@@ -294,6 +338,19 @@ def render(html: str) -> str:
             lines, mark = top.done(), top.marker
             frames[-1].add([(mark if k == 0 else " " * len(mark)) + x if x else x for k, x in enumerate(lines)])
             frames[-1].block(name == "blockquote")
+        elif name == "select" and top.kind == "select":
+            frames.pop()
+            chosen = [x for x, selected, _ in top.rows if selected][-1:] or [x for x, _, disabled in top.rows if not disabled][:1]
+            at = frames[-2] if frames[-1].kind == "table" else frames[-1]
+            at.text(" ".join([x for x, _, _ in top.rows] if top.number else chosen))
+        elif name == "optgroup" and top.kind == "select":
+            top.marker = ""
+        elif name == "option" and top.kind == "option":
+            frames.pop()
+            label, selected, disabled = top.rows
+            frames[-1].rows.append((label or " ".join(top.done()), selected, disabled))
+        elif name == "textarea":
+            top.preformatted = max(0, top.preformatted - 1)
         elif name in ("pre", "xmp"):
             top.end()
             top.preformatted = max(0, top.preformatted - 1)

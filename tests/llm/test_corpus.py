@@ -559,6 +559,19 @@ def test_an_open_head_ends_at_content(html, want):
     assert html_text.render(html) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<p title=it's>Hello</p><p>isn't</p>", "Hello\n\nisn't"), ("<p it's \"x>Hello</p>it's", "Hello\n\nit's"), ("<a title = 'x > y' href=a/b>z</a>", "z"), ("<p title=>x", "x"), ("<p style='display:none'>no</p><p style=color:red>x", "x"),
+        ("a <textarea rows=2>\nb &amp; <b>\n  c\nd</textarea>", "a b & <b>\n  c\nd"), ("<select><option>one<option selected>two<option>three</select> x", "two x"), ("<select><option disabled>one<option>two</select>", "two"),
+        ("<select multiple><option>one<option>two</select>", "one two"), ("<svg><title>no</title><defs><text>no</text></defs><g><text x=1>A<tspan>B</tspan></text><path d=m /><text>C</text></g></svg>d", "AB C d"),
+        ("<svg><path d=m><p>out", "out"), ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1"), ("<svg><foreignObject><p>in</p></foreignObject></svg>", "in"), ("<div hidden><svg><text>no</text></svg></div>x", "x"),
+    ],
+)
+def test_all_that_browsers_show(html, want):
+    assert html_text.render(html) == want
+
+
 def test_rendering_survives_anything():
     rng = random.Random(9)
     parts = ["<p>", "</p>", "<table>", "</table>", "<tr>", "<td>", "<li>", "<ul>", "</ul>", "<pre>", "</pre>", "x", " y ", "<br>", "<caption>", "<div hidden>", "</div>", "<", "&lt;", "<script>", "</script>", "<b", "<blockquote>", "<dd>", "</tr>", "</li>", "<select><option>"]
