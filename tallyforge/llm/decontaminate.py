@@ -1,12 +1,16 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are runs of letters and digits. Numbers, units after a number, and names (capitalised words inside a sentence)
-become typed placeholders; what remains is lower-cased. An item's template windows are its runs of five canonical
-words; windows with fewer than three literal words name nothing and do not count. A document's windows meet the items'
-in a hash join; an item whose windows a document holds to 0.8 or more is a candidate, and its slots must then be filled
+Words are runs of letters and digits. Numbers, units after a number, and names (capitalised words) become typed
+placeholders; what remains is lower-cased. A capitalised word at the start of a sentence or line may be a name or not,
+so texts are read in four ways. An item's template windows are its runs of five canonical words; windows with fewer
+than three literal words name nothing and do not count. A document's windows meet the items' in a hash join; an item
+whose windows, in one reading, a document holds to 0.8 or more is a candidate, and its slots must then be filled
 consistently: one value of the item's always stands for one value of the document's, along the alignment on which most
 windows meet. Equal fillings are copies, other consistent ones re-parameterised questions.
 
+A document also holds an item if it holds 0.8 of the item's runs of five plain words, whatever their case, line breaks
+and kinds.
+
 The items are a query set: their windows go to the scan of the documents in blocks of bounded size.
 """
 
@@ -27,7 +31,7 @@ from tallyforge.llm.shared import batches, text_or_empty, through_pandas
 WORDS = 5
 LITERALS = 3
 SIMILARITY = 0.8
-#: Item windows that one scan of the documents carries.
+#: Item words that one scan of the documents carries; each begins a window in up to five readings.
 BLOCK = 1 << 20
 #: Words that are units where they follow a number.
 UNITS = """
@@ -50,7 +54,11 @@ def _unit_hashes() -> np.ndarray:
 
 
 def canonical(texts: list[bytes]):
-    """Of all words in turn: start, end, document, kind and canonical hash; and the bytes they are places in."""
+    """Of all words in turn: start, end, document, hash and kind in each of the readings; and the bytes they are places in.
+
+    The readings differ in what a capitalised word may be where a sentence or line starts: none a name; those at a
+    line's start inside a sentence; also those that stand capitalised inside a sentence of the text elsewhere; all.
+    """
     raw, ends = B.joined(texts)
     data = B.lowered(raw)
     a, b = B.runs(_WORD[data])
@@ -58,7 +66,7 @@ def canonical(texts: list[bytes]):
     h = B.spans(data, a, b)
     kind = np.zeros(len(a), np.int8)
     if not len(a):
-        return raw, a, b, doc, kind, h
+        return raw, a, b, doc, h, [kind]
     digit = (data[a] >= 48) & (data[a] <= 57)
     number = digit & (data[b - 1] >= 48) & (data[b - 1] <= 57)
     kind[number] = NUMBER
@@ -66,48 +74,56 @@ def canonical(texts: list[bytes]):
     units = _unit_hashes()
     at = np.minimum(np.searchsorted(units, h), len(units) - 1)
     kind[after & ~number & (units[at] == h)] = UNIT
-    # a capital followed by a small letter, not at a sentence's start: before it stand only blanks, and then a word's end or a comma
+    # a capital followed by a small letter; inside a sentence if before it stand only blanks, and then a word's end or a comma
     solid = np.where(_SPACE[data], 0, np.arange(len(data)))
     np.maximum.accumulate(solid, out=solid)
     before = np.where(a > 0, solid[np.maximum(a - 1, 0)], 0)
     inside = np.concatenate(([False], doc[1:] == doc[:-1])) & (_WORD[data[before]] | (data[before] == ord(",")) | (data[before] == ord(";")))
     line = np.zeros(len(data) + 1, np.int64)
     np.cumsum(raw == 10, out=line[1:])
-    inside &= line[a] == line[before]
     upper = (raw[a] >= 65) & (raw[a] <= 90) & (b - a > 1)
     small = raw[np.minimum(a + 1, len(raw) - 1)]
-    kind[upper & inside & (((small >= 97) & (small <= 122)) | (small >= 128)) & (kind == LITERAL)] = NAME
-    out = np.where(kind == LITERAL, h, _PLACEHOLDER[kind])
-    return raw, a, b, doc, kind, out
+    capital = upper & (((small >= 97) & (small <= 122)) | (small >= 128)) & (kind == LITERAL)
+    inside &= capital
+    own = B.mix(h ^ doc.astype(np.uint64))
+    elsewhere = capital & np.isin(own, own[inside])
+    return raw, a, b, doc, h, [np.where(names, np.int8(NAME), kind) for names in (inside & (line[a] == line[before]), inside, elsewhere, capital)]
 
 
-def windows(h: np.ndarray, doc: np.ndarray, kind: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the template windows that count, and the word each begins with."""
+def windows(h: np.ndarray, doc: np.ndarray, kind: np.ndarray | None, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the template windows that count, and the word each begins with; without kinds, all literal windows."""
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    run = h[:n].copy()
+    out = h if kind is None else np.where(kind == LITERAL, h, _PLACEHOLDER[kind])
+    run = out[:n].copy()
     for i in range(1, width):
-        run = run * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    literal = np.concatenate(([0], np.cumsum(kind == LITERAL)))
-    ok = (doc[:n] == doc[width - 1 :]) & (literal[width:] - literal[:-width] >= min(LITERALS, width))
+        run = run * np.uint64(0x9E3779B97F4A7C15) + out[i : i + n]
+    ok = doc[:n] == doc[width - 1 :]
+    if kind is not None:
+        literal = np.concatenate(([0], np.cumsum(kind == LITERAL)))
+        ok &= literal[width:] - literal[:-width] >= min(LITERALS, width)
     at = np.flatnonzero(ok)
     return B.mix(run[at]), at
 
 
 class Items:
-    """A block of benchmark items, ready for lookups."""
+    """A block of benchmark items, each in its readings and as plain words, ready for lookups."""
 
     def __init__(self, ids: list[int], texts: list[bytes], width: int) -> None:
-        raw, a, b, doc, kind, h = canonical(texts)
-        w, at = windows(h, doc, kind, width)
+        raw, a, b, doc, h, kinds = canonical(texts)
+        self.ids, self.kinds = ids, kinds
+        self.first, self.count = np.searchsorted(doc, np.arange(len(ids))), np.bincount(doc, minlength=len(ids))
+        self.values = [raw[x:y].tobytes().lower() if k else b"" for x, y, k in zip(a, b, kinds[-1], strict=True)]
+        found = [(r, *windows(h, doc, kind, width)) for r, kind in enumerate(kinds)] + [(len(kinds), *windows(h, doc, None, width))]
+        w, at = np.concatenate([x for _, x, _ in found]), np.concatenate([x for _, _, x in found])
+        reading = np.concatenate([np.full(len(x), r) for r, x, _ in found])
         order = np.argsort(w, kind="stable")
-        self.ids, self.hashes, self.item = ids, w[order], doc[at][order]
-        first = np.searchsorted(doc, np.arange(len(ids)))
-        self.place = (at - first[doc[at]])[order]
-        self.total = np.array([len(np.unique(w[doc[at] == k])) for k in range(len(ids))])
-        self.kind, self.first, self.count = kind, first, np.bincount(doc, minlength=len(ids))
-        self.values = [raw[x:y].tobytes().lower() if k else b"" for x, y, k in zip(a, b, kind, strict=True)]
+        self.hashes, self.reading, self.item = w[order], reading[order], doc[at][order]
+        self.place = (at - self.first[doc[at]])[order]
+        distinct = np.unique(np.rec.fromarrays([self.item, self.reading, self.hashes]))
+        self.total = np.zeros((len(ids), len(kinds) + 1), np.int64)
+        np.add.at(self.total, (distinct.f0, distinct.f1), 1)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.hashes >> np.uint64(44)] = True
 
@@ -119,28 +135,32 @@ def consistent(pairs: list[tuple[int, bytes, bytes]]) -> bool:
 
 
 def matches(known: Items, texts: list[bytes], width: int, similarity: float) -> Iterator[tuple[int, int, float, int, bool]]:
-    """(text, item, similarity, slots, whether a slot differs) for each text that holds an item."""
-    raw, a, b, doc, kind, h = canonical(texts)
-    w, at = windows(h, doc, kind, width)
-    maybe = np.flatnonzero(known.filter[w >> np.uint64(44)])
-    lo, hi = np.searchsorted(known.hashes, w[maybe], "left"), np.searchsorted(known.hashes, w[maybe], "right")
-    maybe, lo, hi = maybe[hi > lo], lo[hi > lo], hi[hi > lo]
-    met: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-    for i, x, y in zip(maybe, lo, hi, strict=True):
-        word = int(at[i])
-        for k in range(x, y):
-            met[int(doc[word]), int(known.item[k])].append((int(w[i]), word, int(known.place[k])))
-    for (d, item), hits in met.items():
-        share = len({x for x, _, _ in hits}) / known.total[item]
-        if share < similarity:
+    """(text, item, similarity, slots, whether a slot differs) for each text that holds an item, by the first reading that does."""
+    raw, a, b, doc, h, kinds = canonical(texts)
+    met: dict[tuple[int, int, int], set[tuple[int, int, int]]] = defaultdict(set)
+    asked = [windows(h, doc, kind, width) for kind in [*kinds, None]]
+    for w, at in asked:
+        maybe = np.flatnonzero(known.filter[w >> np.uint64(44)])
+        lo, hi = np.searchsorted(known.hashes, w[maybe], "left"), np.searchsorted(known.hashes, w[maybe], "right")
+        maybe, lo, hi = maybe[hi > lo], lo[hi > lo], hi[hi > lo]
+        for i, x, y in zip(maybe, lo, hi, strict=True):
+            word = int(at[i])
+            for k in range(x, y):
+                met[int(doc[word]), int(known.item[k]), int(known.reading[k])].add((int(w[i]), word, int(known.place[k])))
+    plain, done = len(known.kinds), set()
+    for (d, item, reading), hits in sorted(met.items(), key=lambda x: x[0]):
+        share = len({x for x, _, _ in hits}) / known.total[item, reading]
+        if share < similarity or (d, item) in done:
             continue
-        shift = Counter(word - place for _, word, place in hits).most_common(1)[0][0]
+        shift = min(Counter(word - place for _, word, place in hits).items(), key=lambda x: (-x[1], x[0]))[0]
+        kind = known.kinds[reading if reading < plain else 0]
         pairs = []
         for p in range(known.count[item]):
             k, at_word = known.first[item] + p, shift + p
-            if known.kind[k] and 0 <= at_word < len(doc) and doc[at_word] == d and kind[at_word] == known.kind[k]:
-                pairs.append((int(known.kind[k]), known.values[k], raw[a[at_word] : b[at_word]].tobytes().lower()))
-        if consistent(pairs):
+            if kind[k] and 0 <= at_word < len(doc) and doc[at_word] == d and kinds[-1][at_word] == kind[k]:
+                pairs.append((int(kind[k]), known.values[k], raw[a[at_word] : b[at_word]].tobytes().lower()))
+        if reading == plain or consistent(pairs):
+            done.add((d, item))
             yield d, item, share, len(pairs), any(x != y for _, x, y in pairs)
 
 
@@ -148,7 +168,7 @@ def _blocks(benchmark: DataFrame, width: int, block: int) -> Iterator[Items]:
     """The items, a block of bounded size at a time."""
     asked = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (2 * block)))  # a window takes two characters of text at least
+    blocks = max(1, -(-size // (2 * block)))  # a word takes two characters of text at least
     for k in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         yield Items([r.item_id for r in part], [r.text.encode() for r in part], width)

@@ -476,6 +476,22 @@ def test_leaks_as_they_are_and_reparameterised(spark, odd, empty):
     assert decontaminate.leaks(df, bench.where("false")).count() == 0
 
 
+def held(spark, items, docs):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id, r.reparameterised) for r in decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), DOCS), bench).collect()}
+
+
+def test_leaks_do_not_depend_on_case_lines_or_places_of_names(spark):
+    a = "Anna has 5 apples. Anna buys 7 more apples at the market. How many apples does Anna have now?"
+    b = "Anna has 5 apples. Anna buys 7 more apples at the market. How many apples are there now?"
+    c = "Der Bauer verkauft der Frau im Dorf 12 Eier, und die Frau gibt dem Bauer im Garten einen Korb voll Birnen"
+    docs = [a.replace("Anna", "Bob"), b.replace("Anna", "Bob").replace("5", "6"), c.lower(), c.replace(" ", "\n"), "So " + a.upper(), "Anna has 5 apples. Bob buys 7 more apples. How many are at the market now?"]
+    assert held(spark, [a, b, c], docs) >= {(0, 0, True), (1, 1, True), (2, 2, False), (3, 2, False), (4, 0, False)}
+    assert not {d for d, _, _ in held(spark, [a, b, c], docs)} & {5}
+    wrapped = a.replace("Anna", "Bob").replace(" ", "\n")
+    assert held(spark, [a], [wrapped]) == {(0, 0, True)}
+
+
 def test_leaks_find_whole_items(spark, small, data):
     import re
 
