@@ -9,7 +9,7 @@ consistently: one value of the item's always stands for one value of the documen
 windows meet. Equal fillings are copies, other consistent ones re-parameterised questions.
 
 A document also holds an item if it holds 0.8 of the item's runs of five plain words, whatever their case, line breaks
-and kinds.
+and kinds; an item of fewer words is one run of all its words.
 
 The items are a query set: their windows go to the scan of the documents in blocks of bounded size.
 """
@@ -115,7 +115,13 @@ class Items:
         self.ids, self.kinds = ids, kinds
         self.first, self.count = np.searchsorted(doc, np.arange(len(ids))), np.bincount(doc, minlength=len(ids))
         self.values = [raw[x:y].tobytes().lower() if k else b"" for x, y, k in zip(a, b, kinds[-1], strict=True)]
+        #: Lengths below ``width`` of whole items; documents are asked for literal windows of these too.
+        self.short = sorted({int(c) for c in self.count if 0 < c < width})
         found = [(r, *windows(h, doc, kind, width)) for r, kind in enumerate(kinds)] + [(len(kinds), *windows(h, doc, None, width))]
+        for c in self.short:
+            w, at = windows(h, doc, None, c)
+            whole = self.count[doc[at]] == c
+            found.append((len(kinds), B.mix(w[whole] ^ np.uint64(c)), at[whole]))
         w, at = np.concatenate([x for _, x, _ in found]), np.concatenate([x for _, _, x in found])
         reading = np.concatenate([np.full(len(x), r) for r, x, _ in found])
         order = np.argsort(w, kind="stable")
@@ -139,6 +145,9 @@ def matches(known: Items, texts: list[bytes], width: int, similarity: float) ->
     raw, a, b, doc, h, kinds = canonical(texts)
     met: dict[tuple[int, int, int], set[tuple[int, int, int]]] = defaultdict(set)
     asked = [windows(h, doc, kind, width) for kind in [*kinds, None]]
+    for c in known.short:
+        w, at = windows(h, doc, None, c)
+        asked.append((B.mix(w ^ np.uint64(c)), at))
     for w, at in asked:
         maybe = np.flatnonzero(known.filter[w >> np.uint64(44)])
         lo, hi = np.searchsorted(known.hashes, w[maybe], "left"), np.searchsorted(known.hashes, w[maybe], "right")
@@ -177,8 +186,8 @@ def _blocks(benchmark: DataFrame, width: int, block: int) -> Iterator[Items]:
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, similarity, slots, reparameterised) for each document that holds an item.
 
-    ``similarity`` is the share of the item's windows in the document; ``slots`` counts aligned placeholders. Items of
-    fewer than ``width`` words, and null ones, name nothing. Null texts hold nothing; rows with null ids are found too,
+    ``similarity`` is the share of the item's windows in the document; ``slots`` counts aligned placeholders. Items
+    without words, and null ones, name nothing. Null texts hold nothing; rows with null ids are found too,
     under a null id; repeated rows give repeated results; empty tables give no rows; other columns do not matter.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

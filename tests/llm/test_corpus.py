@@ -492,6 +492,12 @@ def test_leaks_do_not_depend_on_case_lines_or_places_of_names(spark):
     assert held(spark, [a], [wrapped]) == {(0, 0, True)}
 
 
+def test_items_without_template_windows_are_found_as_they_are(spark):
+    items = ["Compute 12 + 34 * 5 - 7", "see Anna, Bob, Carl, Dora, Emil", "Why so?", "1 2 3 4 5 6"]
+    docs = ["Now: compute 12 + 34 * 5 - 7, please", "We see Anna, Bob, Carl, Dora, Emil there", "they asked why so? and left", "1 2 3 4 5 6", "Compute 13 + 34 * 5 - 7", "why is it so", "2 3 4 5"]
+    assert {(d, i) for d, i, _ in held(spark, items, docs)} == {(0, 0), (1, 1), (2, 2), (3, 3)}
+
+
 def test_leaks_find_whole_items(spark, small, data):
     import re
 
