@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -175,22 +180,83 @@ def band_match(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("number").agg(F.min(F.when(F.abs(F.col("v") - F.col("w")) < width, F.col("claim"))).alias("claim"))
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """For each place, the eight bytes from there as a number; after the end come zeros."""
+    x = np.concatenate((data, np.zeros(7, np.uint8))).astype(np.uint64)
+    for k in (1, 2, 4):
+        x = x[:-k] | x[k:] << np.uint64(8 * k)
+    return x
+
+
+def _anchors(data: np.ndarray, width: int) -> np.ndarray:
+    """For each place, a hash of the first ``width`` bytes from there: below 8, 8 or 24."""
+    x = _eights(data)
+    if width < 8:
+        return x & np.uint64((1 << 8 * width) - 1)
+    if width == 8:
+        return x
+    y = np.concatenate((x, np.zeros(16, np.uint64)))
+    return x * np.uint64(0x9E3779B97F4A7C15) + y[8:-8] * np.uint64(0xD6E8FEB86659FD93) + y[16:] * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def contained(docs: DataFrame, items: DataFrame, block: int = 1 << 22) -> DataFrame:
+    """(doc_id, item_id) for each row of ``docs`` whose text contains the text of a row of ``items``.
+
+    Snippets go to the scan of the documents in blocks of about ``block`` characters. Each is looked up by its first 24
+    or 8 bytes, or all it has if fewer, at every place of a text, and found ones are compared whole.
+    """
+    asked = items.where("text is not null").select("item_id", "text")
+    blocks = max(1, -(-(asked.agg(F.sum(F.length("text"))).first()[0] or 0) // block))
+    out = None
+    for k in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
+        snippets, by = [r.text.encode() for r in rows], defaultdict(list)
+        for i, s in enumerate(snippets):
+            by[24 if len(s) >= 24 else min(len(s), 8)].append(i)
+        tables = []
+        for width, own in by.items():
+            h = np.array([int(_anchors(np.frombuffer(snippets[i][:width], np.uint8), width)[0]) if width else 0 for i in own], np.uint64)
+            order = np.argsort(h, kind="stable")
+            tables.append((width, h[order], np.array(own)[order]))
+        known = docs.sparkSession.sparkContext.broadcast((snippets, tables))
+
+        def scan(frames: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
+            snippets, tables = known.value
+            for frame in frames:
+                for a in range(0, len(frame), 256):
+                    part = frame.iloc[a : a + 256]
+                    texts = [t.encode() for t in part.text]
+                    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+                    hits = set()
+                    for width, h, own in tables:
+                        if not width:
+                            hits.update((t, int(i)) for t in range(len(texts)) for i in own)
+                            continue
+                        places = _anchors(data, width)
+                        lo = np.searchsorted(h, places, "left")
+                        at = np.flatnonzero(h[np.minimum(lo, len(h) - 1)] == places)
+                        for p, t in zip(at, np.searchsorted(ends, at, "right"), strict=True):
+                            begin = int(p) - (int(ends[t - 1]) if t else 0)
+                            for j in range(int(lo[p]), int(np.searchsorted(h, places[p], "right"))):
+                                if texts[t].startswith(snippets[own[j]], begin):
+                                    hits.add((int(t), int(own[j])))
+                    if hits:
+                        yield pd.DataFrame([(part.doc_id.iloc[t], i) for t, i in sorted(hits)], columns=["doc_id", "row"])
+
+        names = docs.sparkSession.createDataFrame([(i, r.item_id) for i, r in enumerate(rows)], f"row int, item_id {dict(items.dtypes)['item_id']}")
+        # ids pass as text: pandas would turn those of a batch with a null into floats
+        found = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(scan, "doc_id string, row int")
+        found = found.join(F.broadcast(names), "row").select(F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), "item_id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("joi15_containment", """
 SELECT item_id, list_aggregate(list_sort(list(doc_id)), 'string_agg', ',') AS docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1""")
 def containment(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that contain a snippet, character for character.
-
-    Snippets and documents meet on a 24-character string at the snippet's start, then the whole is checked, so no
-    pair is tried that does not share it: documents send a string for each place that a snippet could start at.
-    """
-    anchor = 24
-    snippets = table(spark, d, "benchmark").where(F.length("text") >= anchor).select("item_id", F.col("text").alias("snippet"), F.xxhash64(F.substring("text", 1, anchor)).alias("h"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    # a place is worth sending only at a word's start
-    places = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?s)(?<![^\s])(?=(\S.{%d}))" % (anchor - 1)), 1), lambda s: F.xxhash64(s)))).alias("h"))
-    met = places.join(snippets.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
-    full = met.join(docs, "doc_id").join(snippets.select("item_id", "snippet"), "item_id").where(F.col("text").contains(F.col("snippet")))
-    return full.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("docs"))
+    """Documents that contain a snippet, character for character."""
+    met = contained(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return met.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("docs"))
 
 
 @query("joi16_registry_anti_join", RECORDS_SQL + """

@@ -154,3 +154,16 @@ def test_taxonomy_order_direction_and_secondaries(spark):
 def test_error_signs(spark):
     for said, want in [("x clBuildProgram() => -11 y", "OpenCL kernel build failure: clBuildProgram() => -11"), ("cudaErrorSuccess:", None), ("segmentation FAULT", "Segfault in stdout: segmentation FAULT"), ("", None)]:
         assert one(spark, text.error_sign(F.lit(said))) == want
+
+
+def test_containment_at_any_place(spark):
+    from tallyforge.plans.joins import contained
+
+    long = "Snippet of more than twenty-four characters, Ünïcode too"
+    items = [(1, long), (2, "short"), (3, "of ten chars"), (4, " begins with white space and is long"), (5, None), (6, ""), (7, "ore than twenty-four characters"), (1, "a")]
+    docs = [(1, f'said ("{long}")'), (2, f"pre-{long}."), (3, "ashortone of ten chars"), (4, "it begins with white space and is long"), (5, "of ten cha"), (None, "short"), (6, None), (7, "short" * 3), (8, long[1:]), (9, "")]
+    got = contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = sorted(((d, i) for d, t in docs for i, s in items if t is not None and s is not None and s in t), key=str)
+    assert sorted(((r.doc_id, r.item_id) for r in got.collect()), key=str) == want
+    small = contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=60)
+    assert sorted(((r.doc_id, r.item_id) for r in small.collect()), key=str) == want
