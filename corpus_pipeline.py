@@ -27,13 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with linked fingerprints, the least doc_id stays."""
-    return without_near_duplicates(docs)
+    """Of each group of near copies the least doc_id stays: first by fingerprints of five words, then by exact similarity.
 
-
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a Jaccard similarity of 0.8 or more over runs of five words, the least doc_id stays."""
-    return without_similar(docs)
+    Fingerprints at 3 or fewer differing bits find the close copies, whole groups at a time; of 64 bits some ten differ at a
+    similarity of 0.8, so the documents left are compared by the Jaccard similarity of their runs of five words, 0.8 or more.
+    """
+    return without_similar(written(without_near_duplicates(docs, width=5), "distinct"))
 
 
 def cut_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +55,6 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
     ("simhash_near_dedup", drop_near_duplicates),
-    ("jaccard_near_dedup", drop_similar),
     ("suffix_dedup", cut_repeated_text),
     ("benchmark_decontamination", drop_leaks),
     ("best_fit_packing", pack_sequences),
