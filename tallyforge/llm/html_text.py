@@ -3,12 +3,17 @@
 A tree builder turns markup into properly nested open and close events: it supplies implied end tags, ignores stray
 ones and knows void and raw-text elements. A renderer lays the visible text out: blocks on lines of their own with a
 blank line where a browser shows a margin, lists with markers and indents, preformatted text as it is, and tables with
-cells padded to their columns. Nothing recurses, so depth is bounded by memory alone.
+cells padded to their columns, rows spanned and columns spanned. Nothing recurses and nothing walks the open elements,
+so time grows with the page and not with its depth: open elements are found by the places of their names, indents stop
+growing at ``INDENT`` characters, columns are aligned over the first ``ALIGNED`` characters of a line, and tables more than
+``TABLES`` deep are laid out as lines.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -37,11 +42,19 @@ _SCOPE = frozenset("html body table td th caption button object template".split(
 _LIST = frozenset("ul ol menu dir".split())
 _ROWS = frozenset("thead tbody tfoot".split())
 
+#: Start tags that end open elements of some names, and within what.
+_ENDS: dict[str, tuple] = {
+    "li": (("li",), _LIST | _SCOPE), "dt": (("dt", "dd"), {"dl"} | _SCOPE), "dd": (("dt", "dd"), {"dl"} | _SCOPE), "option": (("option",), ("select", "datalist")),
+    "optgroup": (("optgroup", "option"), ("select",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr", "caption"), ("table",)),
+} | dict.fromkeys(_ROWS, ((*_ROWS, "caption", "tr"), ("table",)))
+
 _VALUE = r"""(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^ \t\n\f\r>"'][^ \t\n\f\r>]*)"""
 #: A quote delimits directly after "=" alone; a tag that the page's end cuts off has an empty last group.
 _MARKUP = re.compile(rf"<(?:!--.*?(?:-->|$)|[!?][^>]*>?|(/?)([a-zA-Z][^ \t\n\f\r/>]*)((?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+{_VALUE}?+)?+)*+)(>|\Z))", re.S)
 _ATTRIBUTE = re.compile(rf"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+({_VALUE})?+)?+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+INDENT, ALIGNED, TABLES = 400, 1000, 32
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -54,45 +67,42 @@ def attributes(source: str) -> dict[str, str]:
 def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """("open" | "close" | "text", tag or text, attributes), properly nested."""
     stack: list[str] = []
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack each name stands
     at, size = 0, len(html)
-    special = dict.fromkeys(("svg", "math", "select"), 0)  # how many are open
+
+    def push(tag: str) -> None:
+        places[tag].append(len(stack))
+        stack.append(tag)
 
     def close_to(depth: int):
         while len(stack) > depth:
-            tag = stack.pop()
-            if tag in special:
-                special[tag] -= 1
-            yield "close", tag, {}
+            places[stack[-1]].pop()
+            yield "close", stack.pop(), {}
 
     def close_head():
         while stack and stack[-1] == "head":
-            yield "close", stack.pop(), {}
+            yield from close_to(len(stack) - 1)
 
     def text(source: str):
         if source.strip(" \t\n\f\r"):
             yield from close_head()
         yield "text", unescape(source), {}
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     def nearest(tags, limit) -> int:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k] in tags:
-                return k
-            if stack[k] in limit:
-                return -1
-        return -1
+        k = last(tags)
+        return k if k >= 0 and k >= last(limit) else -1
 
     def implied(tag: str):
         """End tags that an opening ``tag`` implies."""
-        if special["select"] and tag in ("select", "input", "textarea") and (k := nearest(("select",), ())) >= 0:
+        if places["select"] and tag in ("select", "input", "textarea") and (k := nearest(("select",), ())) >= 0:
             yield from close_to(k)
-        if (special["svg"] or special["math"]) and tag in BREAKS_OUT and (k := nearest(("svg", "math"), _INTEGRATION)) >= 0:
+        if (places["svg"] or places["math"]) and tag in BREAKS_OUT and (k := nearest(("svg", "math"), _INTEGRATION)) >= 0:
             yield from close_to(k)
-        for tags, limit in {
-            "li": [(("li",), _LIST | _SCOPE)], "dt": [(("dt", "dd"), {"dl"} | _SCOPE)], "dd": [(("dt", "dd"), {"dl"} | _SCOPE)],
-            "option": [(("option",), {"select", "datalist"})], "optgroup": [(("optgroup", "option"), {"select"})],
-            "td": [(("td", "th"), {"tr", "table"})], "th": [(("td", "th"), {"tr", "table"})], "tr": [(("tr", "caption"), {"table"})],
-            "thead": [((*_ROWS, "caption", "tr"), {"table"})], "tbody": [((*_ROWS, "caption", "tr"), {"table"})], "tfoot": [((*_ROWS, "caption", "tr"), {"table"})],
-        }.get(tag, []):
+        if tag in _ENDS:
+            tags, limit = _ENDS[tag]
             while (k := nearest(tags, limit)) >= 0:
                 yield from close_to(k)
         if tag in CLOSES_P and (k := nearest(("p",), _SCOPE)) >= 0:
@@ -102,7 +112,7 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         if tag not in IN_HEAD:
             yield from close_head()
         if tag in ("td", "th") and nearest(("tr",), {"table"}) < 0 and nearest(("table",), ()) >= 0:
-            stack.append("tr")
+            push("tr")
             yield "open", "tr", {}
 
     while at < size:
@@ -132,12 +142,8 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         if tag in VOID:
             yield "close", tag, {}
             continue
-        stack.append(tag)
-        if tag in special:
-            special[tag] += 1
-            if m[3].endswith("/") and tag != "select":  # foreign elements may close themselves
-                yield from close_to(len(stack) - 1)
-        elif m[3].endswith("/") and (special["svg"] or special["math"]) and tag not in RAW:
+        push(tag)
+        if m[3].endswith("/") and (places["svg"] or places["math"]) and tag not in RAW and tag != "select":  # foreign elements may close themselves
             yield from close_to(len(stack) - 1)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -151,14 +157,24 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     yield from close_to(0)
 
 
+class Level:
+    """An indented part of a frame (the frame itself is its first): a list item, a quotation."""
+
+    __slots__ = ("begun", "due", "kind", "marker", "start")
+
+    def __init__(self, kind: str, marker: str = "") -> None:
+        self.kind, self.marker, self.begun, self.due, self.start = kind, marker, False, False, 0
+
+
 class Frame:
-    """Lines laid out so far, the line being filled, and the blank lines due before the next."""
+    """Lines laid out so far, the line being filled, the levels that indent it, and the blank lines due before the next."""
 
-    __slots__ = ("cells", "current", "gap", "kind", "lines", "marker", "number", "preformatted", "rows")
+    __slots__ = ("cells", "current", "due", "kind", "levels", "lines", "number", "preformatted", "rows", "spaces", "unbegun", "width")
 
     def __init__(self, kind: str, preformatted: int = 0) -> None:
-        self.kind, self.lines, self.current, self.gap, self.preformatted = kind, [], [], 0, preformatted
-        self.marker, self.number, self.rows, self.cells = "", 0, [], None
+        self.kind, self.lines, self.current, self.preformatted = kind, [], [], preformatted
+        self.levels, self.unbegun, self.due, self.width, self.spaces = [Level(kind)], 0, [], 0, ""
+        self.number, self.rows, self.cells = 0, [], None
 
     def text(self, s: str) -> None:
         if self.preformatted:
@@ -185,28 +201,86 @@ class Frame:
             line = line.lstrip()
         self.current = []
         if line or keep:
-            self.add([line])
+            self.add(line)
 
-    def add(self, lines: list[str]) -> None:
-        if lines:
-            if self.gap and self.lines:
-                self.lines.append("")
-            self.gap = 0
-            self.lines.extend(lines)
+    def add(self, line: str) -> None:
+        """A line of its own; the levels that begin with it put their markers before it."""
+        if not line and not self.levels[-1].begun:
+            return
+        if self.due:
+            self.lines.append("")
+            while self.due:
+                self.due.pop().due = False
+        marks = ""
+        for level in self.levels[self.unbegun :]:
+            level.begun, level.start = True, len(self.lines)
+            marks += level.marker
+        self.lines.append(self.spaces + marks + line if line else "")
+        if marks:
+            self.widen(len(marks))
+        self.unbegun = len(self.levels)
+
+    def widen(self, by: int) -> None:
+        self.width += by
+        self.spaces = " " * min(self.width, INDENT)
 
     def block(self, spaced: bool) -> None:
+        """Ends the line; if ``spaced``, a blank line is due before the level's next one."""
+        self.end()
+        level = self.levels[-1]
+        if spaced and level.begun and not level.due:
+            level.due = True
+            self.due.append(level)
+
+    def indent(self, kind: str, marker: str) -> None:
+        self.levels.append(Level(kind, marker))
+
+    def dedent(self) -> None:
         self.end()
-        self.gap = max(self.gap, int(spaced))
+        level = self.levels.pop()
+        if level.due:
+            self.due.pop()
+        if level.begun:
+            while len(self.lines) > level.start and not self.lines[-1]:
+                self.lines.pop()
+            self.widen(-len(level.marker)) if level.marker else None
+        self.unbegun = min(self.unbegun, len(self.levels))
 
     def done(self) -> list[str]:
+        while len(self.levels) > 1:
+            self.dedent()
         self.end()
         while self.lines and not self.lines[-1]:
             self.lines.pop()
-        while self.lines and not self.lines[0]:
-            self.lines.pop(0)
         return self.lines
 
 
+def columns(s: str) -> int:
+    """How many columns of a terminal a line takes: wide characters two, combining ones none."""
+    return len(s) if s.isascii() else sum(0 if unicodedata.category(c) in ("Mn", "Me", "Cf") else 1 + (unicodedata.east_asian_width(c) in "WF") for c in s)
+
+
+def grid(rows: list[list[tuple[list[str], int, int]] | None]) -> list[list[list[str]]]:
+    """Rows of cells (lines, columns spanned, rows spanned) as rows of lines by column; None ends a group of rows and what spans them."""
+    out, pending = [], {}
+    for row in rows:
+        if row is None:
+            pending = {}
+            continue
+        placed: list[list[str]] = []
+        spanning = {}
+        for lines, across, down in row:
+            while pending.get(len(placed), 0):
+                placed.append([])
+            for k in range(across):
+                if down > 1:
+                    spanning[len(placed)] = down
+                placed.append([] if k else lines)
+        pending = {k: n - 1 for k, n in (pending | spanning).items() if n > 1}
+        out.append(placed)
+    return out
+
+
 def aligned(rows: list[list[list[str]]]) -> list[str]:
     """Rows of cells (each a list of lines) with every column as wide as its widest line, two blanks apart."""
     widths: list[int] = []
@@ -214,89 +288,116 @@ def aligned(rows: list[list[list[str]]]) -> list[str]:
         for k, cell in enumerate(row):
             if k == len(widths):
                 widths.append(0)
-            widths[k] = max([widths[k], *map(len, cell)])
+            widths[k] = max([widths[k], *map(columns, cell)])
+    room = ALIGNED
+    for k, w in enumerate(widths):
+        room -= w
+        widths[k] = w if room >= 0 else 0
     out = []
     for row in rows:
         for n in range(max([1, *map(len, row)])):
-            line = "  ".join((cell[n] if n < len(cell) else "").ljust(w) for cell, w in zip(row, widths, strict=False)).rstrip()
+            line = "  ".join(x + " " * (w - columns(x)) for x, w in ((cell[n] if n < len(cell) else "", w) for cell, w in zip(row, widths, strict=False))).rstrip()
             out.append(line)
     return [x for x in out if x]
 
 
+def _span(found: dict[str, str], name: str, most: int) -> int:
+    value = found.get(name, "").strip()
+    return min(int(value[:9]), most) if re.fullmatch(r"[0-9]+", value) else 1
+
+
+#: What is shown: all, nothing, nothing but a drawing's texts, nothing but the summary of closed details.
+_ALL, _NONE, _DRAWING, _SUMMARY = range(4)
+
+
 def render(html: str) -> str:
     """All visible text of a page."""
     frames = [Frame("root")]
     lists: list[tuple[str, int]] = []
-    hidden = 0  # 1: nothing is shown, 2: nothing but a drawing's texts
-    open_: list[int] = []
+    shown, invisible, tables = _ALL, False, 0
+    open_: list[tuple[int, bool]] = []
+    closed_details: list[int] = []  # how many elements were open inside of each that still lacks its summary
     for kind, name, found in events(html):
         top = frames[-1]
         if kind == "text":
-            if not hidden and (top.kind != "table" or name.strip()):
-                if top.kind == "table":  # text between cells is shown before the table
+            if shown == _ALL and not invisible and (top.kind != "table" or name.strip()):
+                if top.kind == "table" and len(top.levels) == 1:  # text between cells is shown before the table
                     frames[-2].text(name)
                 else:
                     top.text(name)
             continue
         if kind == "open":
-            unseen = name in HIDDEN or "hidden" in found or bool(_UNSEEN.search(found.get("style", ""))) or (name == "input" and found.get("type", "").lower() == "hidden")
-            open_.append(hidden)
-            drawn = hidden == 2
-            if unseen or (drawn and name in UNDRAWN):
-                hidden = 1
-            elif not hidden and name == "svg":
-                hidden = 2
+            style = found.get("style", "")
+            display, visibility = _DISPLAY.findall(style) if style else [], _VISIBILITY.findall(style) if style else []
+            gone = name in HIDDEN or (name == "dialog" and "open" not in found) or ("hidden" in found and not display) or (display[-1:] and display[-1].lower() == "none")
+            gone = gone or (name == "input" and found.get("type", "").lower() == "hidden")
+            open_.append((shown, invisible))
+            drawn = shown == _DRAWING
+            if visibility:
+                invisible = visibility[-1].lower() in ("hidden", "collapse") or (invisible and visibility[-1].lower() not in ("visible", "initial"))
+            if gone or (drawn and name in UNDRAWN):
+                shown = _NONE
+            elif shown == _SUMMARY and name == "summary" and closed_details and closed_details[-1] == len(open_) - 1:
+                shown, closed_details[-1] = _ALL, -1
+            elif shown == _ALL and name == "svg":
+                shown = _DRAWING
+            elif shown == _ALL and name == "details" and "open" not in found:
+                shown = _SUMMARY
+                closed_details.append(len(open_))
+                top.block(False)
             elif drawn and name in DRAWN:
-                hidden = 0
-            if hidden:
+                shown = _ALL
+            if shown != _ALL:
                 continue
             if drawn:
                 top.text(" ")
             if name == "br":
-                top.end(keep=True) if top.kind != "table" else None
+                top.end(keep=not invisible) if top.kind != "table" else None
             elif name == "hr":
                 top.block(False)
             elif name == "table":
+                tables += 1
                 top.block(True)
-                frames.append(Frame("table"))
+                if tables <= TABLES:
+                    frames.append(Frame("table"))
+            elif tables > TABLES and name in ("tr", "td", "th", "caption", "thead", "tbody", "tfoot"):
+                top.text(" ") if name in ("td", "th") else top.block(False)
+            elif name in _ROWS and top.kind == "table":
+                top.rows.append(None)
             elif name == "tr" and top.kind == "table":
                 top.cells = []
             elif name in ("td", "th") and top.kind == "table":
                 if top.cells is None:
                     top.cells = []
                 made = Frame("cell")
-                made.number = min(int(found["colspan"]), 1000) if found.get("colspan", "").isdigit() else 1
+                made.number = (max(1, _span(found, "colspan", 1000)), _span(found, "rowspan", 65534) or 65534)  # no rows: all that follow
                 frames.append(made)
             elif name == "caption" and top.kind == "table":
                 frames.append(Frame("caption"))
             elif name in _LIST:
                 top.block(not lists)
                 start = found.get("start", "")
-                lists.append((name, int(start) if name == "ol" and re.fullmatch(r"-?\d{1,9}", start) else 1))
+                lists.append((name, int(start) if name == "ol" and re.fullmatch(r"-?[0-9]{1,9}", start) else 1))
             elif name == "li":
                 top.block(False)
-                made = Frame("li", top.preformatted)
                 if lists and lists[-1][0] == "ol":
-                    made.marker = f"{lists[-1][1]}. "
+                    top.indent("li", f"{lists[-1][1]}. ")
                     lists[-1] = ("ol", lists[-1][1] + 1)
                 else:
-                    made.marker = "- "
-                frames.append(made)
+                    top.indent("li", "- ")
             elif name in ("blockquote", "dd"):
                 top.block(name == "blockquote")
-                made = Frame(name, top.preformatted)
-                made.marker = "  "
-                frames.append(made)
+                top.indent(name, "  ")
             elif name == "select":
                 made = Frame("select")
                 size = found.get("size", "")
-                made.number = int("multiple" in found or (size.isdecimal() and int(size) > 1))
+                made.number = int("multiple" in found or (re.fullmatch(r"[0-9]{1,9}", size) is not None and int(size) > 1))
                 frames.append(made)
             elif name == "optgroup" and top.kind == "select":
-                top.marker = "disabled" if "disabled" in found else ""
+                top.cells = "disabled" in found
             elif name == "option" and top.kind == "select":
                 made = Frame("option")
-                made.rows = [found.get("label", ""), "selected" in found, bool(top.marker) or "disabled" in found]
+                made.rows = [found.get("label", ""), "selected" in found, bool(top.cells) or "disabled" in found]
                 frames.append(made)
             elif name == "textarea":
                 top.preformatted += 1
@@ -308,43 +409,51 @@ def render(html: str) -> str:
             continue
         if not open_:
             continue
-        was, hidden = hidden, open_.pop()
-        if was:
+        was, (shown, invisible) = shown, open_.pop()
+        if was == _SUMMARY and shown == _ALL:
+            closed_details.pop()
+            top.block(False)
+        if was != _ALL:
             continue
-        if hidden == 2:
+        if shown == _DRAWING:
             top.text(" ")
+        if name == "table":
+            tables -= 1
         if name == "table" and top.kind == "table":
             if top.cells:
                 top.rows.append(top.cells)
             frames.pop()
-            frames[-1].add(top.lines)
-            frames[-1].add(aligned(top.rows))
+            for line in top.done() + aligned(grid(top.rows)):
+                frames[-1].add(line)
             frames[-1].block(True)
+        elif tables > TABLES and name in ("tr", "td", "th", "caption", "thead", "tbody", "tfoot"):
+            top.text(" ") if name in ("td", "th") else top.block(False)
+        elif name in _ROWS and top.kind == "table":
+            top.rows.append(None)
         elif name == "tr" and top.kind == "table":
             if top.cells:
                 top.rows.append(top.cells)
             top.cells = None
         elif name in ("td", "th") and top.kind == "cell":
             frames.pop()
-            frames[-1].cells.extend([top.done(), *[[]] * (max(1, top.number) - 1)])
+            frames[-1].cells.append((top.done(), *top.number))
         elif name == "caption" and top.kind == "caption":
             frames.pop()
-            frames[-1].lines.extend(top.done())
+            for line in top.done():
+                frames[-1].add(line)
         elif name in _LIST and lists:
             lists.pop()
             top.block(not lists)
-        elif (name == "li" and top.kind == "li") or (name in ("blockquote", "dd") and top.kind == name):
-            frames.pop()
-            lines, mark = top.done(), top.marker
-            frames[-1].add([(mark if k == 0 else " " * len(mark)) + x if x else x for k, x in enumerate(lines)])
-            frames[-1].block(name == "blockquote")
+        elif name in ("li", "blockquote", "dd") and top.levels[-1].kind == name:
+            top.dedent()
+            top.block(name == "blockquote")
         elif name == "select" and top.kind == "select":
             frames.pop()
             chosen = [x for x, selected, _ in top.rows if selected][-1:] or [x for x, _, disabled in top.rows if not disabled][:1]
             at = frames[-2] if frames[-1].kind == "table" else frames[-1]
-            at.text(" ".join([x for x, _, _ in top.rows] if top.number else chosen))
+            at.text(" ".join([x for x, _, _ in top.rows] if top.number else chosen)) if not invisible else None
         elif name == "optgroup" and top.kind == "select":
-            top.marker = ""
+            top.cells = None
         elif name == "option" and top.kind == "option":
             frames.pop()
             label, selected, disabled = top.rows
@@ -359,9 +468,8 @@ def render(html: str) -> str:
             top.block(name in SPACED)
     while len(frames) > 1:
         top = frames.pop()
-        if top.cells:
-            top.rows.append(top.cells)
-        frames[-1].add(top.done() + aligned(top.rows) if top.kind == "table" else top.done())
+        for line in top.done() + (aligned(grid([*top.rows, top.cells or None])) if top.kind == "table" else []):
+            frames[-1].add(line)
     return "\n".join(frames[0].done())
 
 
