@@ -10,8 +10,11 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Tables written inside of each open ``scratch``.
 _OPEN: list[list[DataFrame]] = []
@@ -103,6 +106,27 @@ def through_pandas(df: DataFrame, keep: tuple[str, ...], run: Callable, made: st
     return out.select(*[F.col(c).cast(kinds[c]).alias(c) if c in whole else F.col(c) for c in keep], *out.columns[len(keep) :])
 
 
+def beside_row(df: DataFrame, row: Column, run: Callable[[pd.DataFrame], pd.DataFrame], made: str, sized: str = "text", most: int = 1 << 20, **extra: Column) -> DataFrame:
+    """(_row, columns of ``made``) for every row: ``run`` makes them, row by row, from pieces of the ``extra`` columns that hold about ``most`` characters in column ``sized``.
+
+    ``row`` is any column, a struct say; it passes through Arrow as it is, whatever its fields are called or hold.
+    """
+    chosen = df.select(row.alias("_row"), *[v.alias(k) for k, v in extra.items()])
+    fields = StructType.fromDDL(made)
+    kinds, names = to_arrow_schema(fields), list(extra)
+
+    def over(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows, at = part.column("_row"), 0
+            for frame in batches(iter([part.select(names).to_pandas()]), sized, most):
+                out = run(frame.reset_index(drop=True))
+                columns = [pa.array(out[f.name], f.type, from_pandas=True) for f in kinds]
+                yield pa.RecordBatch.from_arrays([rows.slice(at, len(frame)), *columns], names=["_row", *kinds.names])
+                at += len(frame)
+
+    return chosen.mapInArrow(over, StructType([chosen.schema["_row"], *fields.fields]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -7,13 +7,15 @@ strings name equal anchors at equal places, so two equal strings always meet amo
 1. ``anchors``: each anchor with the range of string starts that name it (about one anchor in 85 bytes).
 2. Anchors whose leading bytes occur once in the corpus are done; the rest fetch their surrounding bytes.
 3. Sampled splitters (Spark's range partitioner) deal the suffixes by their leading bytes. A bucket sorts its suffixes
-   by multikey quicksort over 8-byte symbols and compares the strings of suffixes that share the leading bytes.
-4. Suffixes with the same leading bytes in more than one bucket compare across boundaries: each bucket sends a hash
-   of the strings it saw once, and one hash for each that it saw more often.
+   by multikey quicksort over 8-byte symbols, and what stands before them, read backwards, likewise. Neighbours' common
+   prefixes cut both orders into intervals for every length; a string that begins o bytes before its anchor occurs
+   again if another suffix shares its interval of width - o bytes onwards and its interval of o bytes backwards.
+4. Suffixes with the same leading bytes in more than one bucket compare across boundaries: each bucket sends a 128-bit
+   hash of the strings it saw once, and one hash for each that it saw more often.
 5. Starts of repeated strings become byte ranges, merged for each document.
 
-Strings are compared by 64-bit hashes of all their bytes. Rows are found again by (doc_id, xxhash64 of the text), so
-null or repeated ids do no harm; repeated rows are repeated text.
+Within a bucket strings are compared byte for byte. Rows are found again by (doc_id, xxhash64 of the text), so null or
+repeated ids do no harm; repeated rows are repeated text.
 """
 
 from __future__ import annotations
@@ -23,18 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import bytewise as B
-from tallyforge.llm.shared import NO_ID, batches, discard, spread_join, text_or_empty, through_pandas, written
+from tallyforge.llm.shared import NO_ID, batches, beside_row, discard, spread_join, text_or_empty, written
 
 WIDTH = 200
 LEAD = 32
 #: Anchors with the same leading bytes beyond which they are dealt over more than one bucket.
 SPLIT = 4096
-#: Bytes of one document looked at together.
+#: Bytes looked at together.
 CHUNK = 1 << 18
+#: Low bits of an anchor's rank that hold its place; the same number for every chunk, so that equal strings name equal anchors.
+PLACE_BITS = 24
 
 
 def anchors(data: np.ndarray, width: int, lead: int) -> tuple[np.ndarray, ...]:
@@ -43,7 +48,9 @@ def anchors(data: np.ndarray, width: int, lead: int) -> tuple[np.ndarray, ...]:
     n = len(data) - width + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, B.U),)
-    bits = B.U(max(1, int(len(h)).bit_length()))
+    if len(h) >> PLACE_BITS:
+        raise ValueError(f"{len(h)} strings at once; {1 << PLACE_BITS} at most")
+    bits = B.U(PLACE_BITS)
     least = ((h >> bits) << bits) | np.arange(len(h), dtype=B.U)  # the leftmost wins a tie
     window, w, full = width - lead + 1, 1, least
     while 2 * w <= window:
@@ -86,74 +93,124 @@ def _find_anchors(width: int, lead: int):
     return find
 
 
-def _fetch(width: int, lead: int):
+def _fetch(width: int, lead: int, most: int = 4096):
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ("first", "salt", "id", "th", "lo", "back", "context")
+        out: list[tuple] = []
         for frame in batches(frames, most=CHUNK):
-            out: dict[str, list] = {k: [] for k in ("first", "salt", "id", "th", "lo", "context")}
             for text, i, th, found in zip(frame.text, frame.id, frame.th, frame.found, strict=True):
                 data = text.encode()
                 for x in found:
                     at, lo, hi = x["at"], x["lo"], x["hi"]
-                    out["first"].append(data[at : at + lead])
-                    out["salt"].append(x["salt"])
-                    out["id"].append(i)
-                    out["th"].append(th)
-                    out["lo"].append(lo)
-                    out["context"].append(data[lo : hi + width])
-            yield pd.DataFrame(out)
+                    out.append((data[at : at + lead], x["salt"], i, th, lo, at - lo, data[lo : hi + width]))
+                    if len(out) == most:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+        yield pd.DataFrame(out, columns=columns)
 
     return fetch
 
 
-def multikey_order(keys: list[bytes]) -> np.ndarray:
-    """The order of byte strings of one length by multikey quicksort: partition by one 8-byte symbol, go on within ties."""
-    wide = -(-max(map(len, keys), default=1) // 8) * 8 or 8
-    symbols = np.frombuffer(b"".join(k.ljust(wide, b"\0") for k in keys), ">u8").reshape(len(keys), -1).astype(np.uint64)
-    order = np.argsort(symbols[:, 0], kind="stable")
+def multikey_order(keys: np.ndarray) -> np.ndarray:
+    """The order of byte strings of one length (rows of bytes) by multikey quicksort: by one 8-byte symbol, then on within each tie."""
+    n, wide = len(keys), -(-keys.shape[1] // 8) * 8
+    padded = np.zeros((n, wide), np.uint8)
+    padded[:, : keys.shape[1]] = keys
+    symbols = padded.view(">u8").astype(np.uint64)
+    order = np.argsort(symbols[:, 0], kind="stable") if wide else np.arange(n)
+    group = np.concatenate(([0], np.cumsum(np.diff(symbols[order, 0]) != 0))) if wide and n else np.zeros(n, np.int64)
     for depth in range(1, symbols.shape[1]):
-        same = (symbols[order[1:], :depth] == symbols[order[:-1], :depth]).all(axis=1)
-        if not same.any():
+        tied = np.zeros(n, bool)
+        same = group[1:] == group[:-1]
+        tied[1:] |= same
+        tied[:-1] |= same
+        at = np.flatnonzero(tied)  # ties stay together, each in its own stretch
+        if not len(at):
             break
-        for a, b in zip(*B.runs(same), strict=True):
-            tied = order[a : b + 1]
-            order[a : b + 1] = tied[np.argsort(symbols[tied, depth], kind="stable")]
+        symbol = symbols[order[at], depth]
+        by = np.lexsort((symbol, group[at]))
+        order[at], symbol = order[at][by], symbol[by]
+        new = np.ones(n, bool)
+        new[1:] = ~same
+        split = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
+        new[at[split]] = True
+        group = np.cumsum(new)
     return order
 
 
-def _hashes(context: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all strings of the contexts, the context of each and its place there."""
+def common_prefixes(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of each row in order, how many leading bytes it shares with the row before; the first shares none."""
+    out = np.zeros(len(order), np.int64)
+    for a in range(1, len(order), 1 << 12):
+        x = keys[order[a - 1 : a + (1 << 12)]]
+        differ = x[1:] != x[:-1]
+        out[a : a + len(differ)] = np.where(differ.any(axis=1), differ.argmax(axis=1), keys.shape[1])
+    return out
+
+
+def _gathered(data: np.ndarray, start: np.ndarray, step: int, size: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``width`` bytes, the first ``size`` of them from ``start`` in steps of 1 or -1, then zeros."""
+    place = np.arange(width)
+    inside = place < size[:, None]
+    at = np.where(inside, start[:, None] + step * place, 0)
+    return np.where(inside, data[at], 0) if len(data) else np.zeros((len(size), width), np.uint8)
+
+
+def repeats(context: list[bytes], back: np.ndarray, width: int, reach: int) -> tuple[np.ndarray, ...]:
+    """Of all strings of the contexts: the context, its place there, whether it occurs again among them, and whether it is the first of its kind.
+
+    ``back`` is how far into a context its anchor stands, ``reach`` the most that it can be. Strings are compared only with those as far from their anchor.
+    """
     data = np.frombuffer(b"".join(context), np.uint8)
     sizes = np.fromiter(map(len, context), np.int64, len(context))
     begin = np.cumsum(sizes) - sizes
     count = sizes - width + 1
-    row = np.repeat(np.arange(len(context)), count)
+    n, lengths = len(context), np.arange(reach + 1)
+    onward = _gathered(data, begin + back, 1, sizes - back, width)
+    backward = _gathered(data, begin + back - 1, -1, back, max(1, reach))
+    interval, most = [], []
+    for keys, needed in ((onward, width - lengths), (backward, lengths)):
+        order = multikey_order(keys)
+        shared = common_prefixes(keys, order)
+        number = np.zeros((n, reach + 1), np.int32)
+        number[order] = np.cumsum(shared[:, None] < needed, axis=0, dtype=np.int32)
+        interval.append(number)
+        near = np.zeros(n, np.int64)
+        near[order] = np.maximum(shared, np.append(shared[1:], 0))
+        most.append(near)
+    row = np.repeat(np.arange(n), count)
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return B.strings(data, width)[begin[row] + place], row, place
-
-
-def _bucket(width: int, rows_at_once: int = 1024):
-    """For a partition sorted by leading bytes: ranges of repeated starts, and hashes for other buckets where needed."""
+    off = back[row] - place
+    twice, first = np.zeros(len(row), bool), np.ones(len(row), bool)
+    some = np.flatnonzero((off <= most[1][row]) & (width - off <= most[0][row]))  # of the rest no neighbour has enough in common
+    if len(some):
+        r, o = row[some], off[some]
+        key = (o * (n + 1) + interval[0][r, o]) * (n + 1) + interval[1][r, o]
+        by = np.argsort(key, kind="stable")
+        same = key[by[1:]] == key[by[:-1]]
+        twice[some[by[1:][same]]] = True
+        twice[some[by[:-1][same]]] = True
+        first[some[by[1:][same]]] = False
+    return row, place, twice, first
+
+
+def _bucket(width: int, lead: int, rows_at_once: int = 1024):
+    """For a partition sorted by leading bytes: ranges of repeated starts, and hashes for other buckets where needed.
+
+    Suffixes of other leading bytes, or of another part of the same, share no interval: the group is part of the comparison.
+    """
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        order = multikey_order(rows["first"].tolist())
-        rows = rows.iloc[order].reset_index(drop=True)
-        h, row, place = _hashes(rows.context.tolist(), width)
-        by = np.argsort(h, kind="stable")
-        same = h[by[1:]] == h[by[:-1]]
-        twice = np.zeros(len(h), bool)
-        twice[by[1:][same]] = True
-        twice[by[:-1][same]] = True
-        split = rows.salt.to_numpy()[row] >= 0
-        keep = np.zeros(len(h), bool)
-        keep[by[np.concatenate(([True], ~same))]] = True  # one of each
-        spread = split & keep
+        context, salt = rows.context.tolist(), rows.salt.to_numpy()
+        row, place, twice, first = repeats(context, rows.back.to_numpy(np.int64), width, width - lead)
+        spread = (salt[row] >= 0) & first
         lo = rows.lo.to_numpy()[row] + place
-        out = []
         a, b = _starts(twice, row, place)
-        out.append(pd.DataFrame({"id": rows.id.to_numpy()[row[a]], "th": rows.th.to_numpy()[row[a]], "a": lo[a], "b": lo[b - 1], "h": np.int64(0), "open": np.int8(0)}))
+        out = [pd.DataFrame({"id": rows.id.to_numpy()[row[a]], "th": rows.th.to_numpy()[row[a]], "a": lo[a], "b": lo[b - 1], "h": None, "open": np.int8(0)})]
         if spread.any():
             i = np.flatnonzero(spread)
-            out.append(pd.DataFrame({"id": rows.id.to_numpy()[row[i]], "th": rows.th.to_numpy()[row[i]], "a": lo[i], "b": lo[i], "h": h[i].view(np.int64), "open": np.where(twice[i], 2, 1).astype(np.int8)}))
+            h = [xxhash.xxh3_128_digest(context[r][p : p + width]) for r, p in zip(row[i], place[i], strict=True)]
+            out.append(pd.DataFrame({"id": rows.id.to_numpy()[row[i]], "th": rows.th.to_numpy()[row[i]], "a": lo[i], "b": lo[i], "h": h, "open": np.where(twice[i], 2, 1).astype(np.int8)}))
         return pd.concat(out, ignore_index=True)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,10 +258,10 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, lead: int = LEAD, split
     lists = written(again.groupBy("id", "th").agg(F.collect_set("x").alias("found")), "candidates")
     # repeated rows stay repeated here, as they should: each is a place where the string starts
     rows = long_enough.join(lists, ["id", "th"])
-    contexts = written(rows.mapInPandas(_fetch(width, lead), "first binary, salt int, id long, th long, lo int, context binary"), "contexts")
+    contexts = written(rows.mapInPandas(_fetch(width, lead), "first binary, salt int, id long, th long, lo int, back int, context binary"), "contexts")
     discard(found, often, lists)
     dealt = contexts.repartitionByRange("first", "salt").sortWithinPartitions("first", "salt")
-    seen = written(dealt.mapInPandas(_bucket(width), "id long, th long, a int, b int, h long, open byte"), "compared")
+    seen = written(dealt.mapInPandas(_bucket(width, lead), "id long, th long, a int, b int, h binary, open byte"), "compared")
     discard(contexts)
     across = seen.where("open > 0")
     more = across.groupBy("h").agg(F.sum("open").alias("n")).where("n > 1")
@@ -224,35 +281,54 @@ def _covered(ranges, width: int) -> list[tuple[int, int]]:
 
 
 def _cut(width: int, digest: bool):
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames):
-            rows = []
-            for text, ranges in zip(frame.text, frame.ranges, strict=True):
-                data, at, kept, spans = text.encode(), 0, [], []
-                for a, b in _covered(ranges, width) if ranges is not None else []:
-                    kept.append(data[at:a])
-                    spans.append((a, b))
-                    at = b
-                left = b"".join([*kept, data[at:]])
-                removed = len(data) - len(left)
-                rows.append((len(data), removed, len(spans), hashlib.sha256(left).hexdigest() if digest else left.decode(errors="ignore")))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-            yield pd.concat([frame.drop(columns=["text", "ranges"]).reset_index(drop=True), out], axis=1)
+    def cut(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for text, ranges in zip(frame.text, frame.ranges, strict=True):
+            data, at, kept, spans = text.encode(), 0, [], []
+            for a, b in _covered(ranges, width) if ranges is not None else []:
+                kept.append(data[at:a])
+                spans.append((a, b))
+                at = b
+            left = b"".join([*kept, data[at:]])
+            removed = len(data) - len(left)
+            rows.append((len(data), removed, len(spans), hashlib.sha256(left).hexdigest() if digest else left.decode(errors="ignore")))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
     return cut
 
 
+def _cut_rows(docs: DataFrame, row: Column, width: int, digest: bool) -> DataFrame:
+    """(_row, n_bytes, n_removed, n_spans, kept) for every row of ``docs``."""
+    found = written(repeated_ranges(docs, width), "ranges").withColumn("part", F.lit(-1))
+    keyed = docs.select(row.alias("_row"), F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), text_or_empty().alias("text"))
+    # texts that are too short have no ranges; they join under keys that do not meet, or those without an id would gather
+    short = F.octet_length("text") < width
+    keyed = keyed.withColumns({"th": F.xxhash64("text"), "part": F.when(short, F.spark_partition_id()).otherwise(-1)})
+    rows = keyed.join(found, ["id", "th", "part"], "left")
+    return beside_row(rows, F.col("_row"), _cut(width, digest), "n_bytes long, n_removed long, n_spans long, kept string", text=F.col("text"), ranges=F.col("ranges"))
+
+
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Removes repeated strings of ``width`` bytes from ``docs`` (doc_id, text).
 
     Returns doc_id, the columns in ``keep``, n_bytes, n_removed, n_spans and ``kept``: the remaining text, or with
     ``digest`` the SHA-256 of the remaining bytes. A null text counts as empty; texts shorter than ``width`` lose
-    nothing; an empty table gives an empty result; other columns of ``docs`` do not matter. Where a range begins or
-    ends within a character, the remaining text goes without that character's loose bytes.
+    nothing; null and repeated ids and repeated rows stay, and a repeated row is repeated text; an empty table gives an
+    empty result; other columns of ``docs`` do not matter, whatever they are called. Where a range begins or ends
+    within a character, the remaining text goes without that character's loose bytes.
+    """
+    row = F.struct("doc_id", *[F.col(f"`{c}`") for c in keep if c != "doc_id"])
+    return _cut_rows(docs, row, width, digest).select("_row.*", "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """All rows and columns of ``docs``, with the remaining text as ``text`` and its length as ``n_chars``, if there is such a column.
+
+    Every document stays, be it with an empty text; a null text stays null. Otherwise as ``suffix_dedup``.
     """
-    found = written(repeated_ranges(docs, width), "ranges")
-    kept = ("doc_id", *[c for c in keep if c != "doc_id"])
-    carried = F.struct(*kept).alias("_row")  # under one name, whatever the columns are called
-    keyed = docs.select(carried, F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), text_or_empty().alias("text"))
-    rows = keyed.withColumn("th", F.xxhash64("text")).join(found, ["id", "th"], "left").select("_row.*", F.col("text").alias("_text"), "ranges")
-    return through_pandas(rows.withColumnRenamed("ranges", "_ranges"), kept, _cut(width, digest), "n_bytes long, n_removed long, n_spans long, kept string", text=F.col("_text"), ranges=F.col("_ranges"))
+    kept = [c for c in docs.columns if c not in ("text", "n_chars")]
+    row = F.struct(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), F.col("text").isNull().alias("gone"))
+    out = _cut_rows(docs, row, width, False)
+    text = F.when(~F.col("_row.gone"), F.col("kept"))
+    made = {"text": text, "n_chars": F.length(text)} | {c: F.col("_row.kept").getField(c) for c in kept}
+    return out.select(*[made[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
