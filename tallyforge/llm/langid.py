@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import batches, text_or_empty, through_pandas
@@ -22,9 +22,10 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-#: At most about so many documents of each language are learned from, and so many windows of each.
+#: At most so many documents of each language are learned from, so many windows of each, and so many languages, the most frequent.
 DOCS_PER_LANGUAGE = 600
 WINDOWS_PER_DOC = 4
+LANGUAGES = 256
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -130,37 +131,49 @@ def fold(mod: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def _learning_windows(classes: list[str]):
+def _learning_windows(classes: list[str], most: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames):
             out = []
             for text, lang in zip(frame.text, frame.lang, strict=True):
                 w = cut(text.encode())
-                for i in sorted({int(x) for x in np.linspace(0, len(w) - 1, WINDOWS_PER_DOC)}) if len(w) else ():
+                for i in sorted({int(x) for x in np.linspace(0, len(w) - 1, most)}) if len(w) else ():
                     out.append((classes.index(lang), w[i].tobytes()))
             yield pd.DataFrame(out, columns=["label", "window"])
 
     return run
 
 
-def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> ByteNet | None:
-    """Learns from (doc_id, text, lang): a share of each language's documents, chosen by a hash of the id, that makes about ``per_language``.
+def least_hashed(rows: DataFrame, group: str, per_group: int, groups: int) -> DataFrame:
+    """Of the rows (``group``, h, further columns), the ``per_group`` distinct h that are least in each of the most frequent ``groups``.
 
-    The sample is bounded by languages x ``per_language`` documents of ``WINDOWS_PER_DOC`` windows. None if no row has a language.
+    An approximate count of distinct hashes gives the share of hashes that is looked at, twice what is needed, so repeated
+    rows count once and few rows move.
+    """
+    seen = rows.groupBy(group).agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), group).limit(groups)
+    share = {r[0]: min(1.0, 2 * (per_group + 50) / max(1, r.n)) for r in seen.collect()}
+    if not share:
+        return rows.where("false")
+    asked = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])[F.col(group)]
+    some = rows.where(F.pmod("h", F.lit(1 << 30)) < asked * (1 << 30)).dropDuplicates([group, "h"])
+    return some.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("h"))).where(F.col("_r") <= per_group).drop("_r")
+
+
+def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, windows_per_doc: int = WINDOWS_PER_DOC, languages: int = LANGUAGES) -> ByteNet | None:
+    """Learns from (doc_id, text, lang): of each language the ``per_language`` distinct documents (id and text) of least hash.
+
+    The sample is bounded by ``languages`` x ``per_language`` documents of ``windows_per_doc`` windows, evenly spread over
+    the whole text; ids may be null or repeated. None if no row has a language.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    chosen = least_hashed(usable.select("lang", F.xxhash64("doc_id", "text", F.lit(11)).alias("h"), "text"), "lang", per_language, languages)
+    classes = sorted(r.lang for r in chosen.select("lang").distinct().collect())
+    rows = chosen.select("text", "lang").mapInPandas(_learning_windows(classes, windows_per_doc), "label int, window binary").toPandas()
+    if not len(rows):
         return None
-    classes = sorted(counts)
-    share = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(min(1.0, per_language / counts[c])))])
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    rows = chosen.select("text", "lang").mapInPandas(_learning_windows(classes), "label int, window binary").toPandas()
     rows = rows.sort_values(["label", "window"], ignore_index=True)  # the same sample in the same order, whatever the partitions
-    there = sorted(rows.label.unique())
     windows = np.frombuffer(b"".join(rows.window), np.uint8).reshape(-1, WINDOW)
-    label = np.searchsorted(there, rows.label.to_numpy())
-    return train(windows, label, [classes[i] for i in there])
+    return train(windows, rows.label.to_numpy(), classes)
 
 
 def _predict(net: ByteNet | None):

@@ -14,19 +14,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm import bytewise as B
-from tallyforge.llm.langid import fold
+from tallyforge.llm.langid import fold, least_hashed
 from tallyforge.llm.shared import batches, text_or_empty, through_pandas
 
 BUCKETS = 1 << 16
 EMBED = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: Learned from are at most about so many labelled rows of each class.
+#: Learned from are at most so many labelled rows of each class, and of these whole texts of so many bytes together.
 ROWS_PER_CLASS = 2500
+BYTES_PER_CLASS = 1 << 25
 PREFIXES = (3, 4, 5, 6)
 SUFFIX = 4
 
@@ -228,16 +229,23 @@ def calibrated(net: TextNet, texts: list[bytes], label: np.ndarray) -> TextNet:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -> TextNet | None:
-    """Learns from labelled documents: a share of each class, chosen by a hash of the id, that makes about ``per_class`` rows."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS, bytes_per_class: int = BYTES_PER_CLASS) -> TextNet | None:
+    """Learns from labelled documents: of each class the labelled ids of least hash, ``per_class`` at most, and their distinct texts.
+
+    The sample is bounded: in the order of hashes of id and text, ``per_class`` texts that have ``bytes_per_class`` bytes together
+    at most (a single text longer than that is not learned from). Repeated ids with many texts count as so many rows; an id
+    labelled twice counts as toxic if one label says so. None without labelled texts of both classes.
+    """
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    counts = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
-        return None
-    share = F.when(F.col("toxic") == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
-    chosen = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.select("doc_id", text_or_empty().alias("text"), F.coalesce("lang", F.lit("")).alias("lang")).join(F.broadcast(chosen), "doc_id")  # bounded by per_class
-    got = rows.toPandas().sort_values(["doc_id", "text"], ignore_index=True)
+    chosen = least_hashed(marks.select("toxic", F.xxhash64("doc_id", F.lit(13)).alias("h"), "doc_id"), "toxic", per_class, 2).select("doc_id", "toxic")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    text = text_or_empty()
+    there = docs.where(F.octet_length(text) <= bytes_per_class).select("doc_id", text.alias("text"), lang.alias("lang"))
+    rows = there.join(F.broadcast(chosen), "doc_id")  # at most per_class ids a class
+    rows = least_hashed(rows.select("toxic", F.xxhash64("doc_id", "text", F.lit(17)).alias("h"), "doc_id", "text", "lang"), "toxic", per_class, 2)
+    size = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("h"))
+    got = rows.withColumn("_size", size).where(F.col("_size") <= bytes_per_class).select("doc_id", "text", "lang", "toxic").toPandas()
+    got = got.sort_values(["doc_id", "text"], ignore_index=True)
     if got.toxic.nunique() < 2:
         return None
     return train([t.encode() for t in got.text], got.toxic.to_numpy(), got.lang.tolist())
