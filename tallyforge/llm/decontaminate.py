@@ -1,17 +1,19 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are runs of letters and digits. Numbers, units after a number, and names (capitalised words) become typed
-placeholders; what remains is lower-cased. A capitalised word at the start of a sentence or line may be a name or not,
+Words are runs of letters and digits, with the points and commas between digits. Numbers (in figures, or a spelled word of
+one), units after a number, and names (capitalised words) become typed placeholders; what remains is lower-cased. A capitalised word at the start of a sentence or line may be a name or not,
 so texts are read in four ways. An item's template windows are its runs of five canonical words; windows with fewer
 than three literal words name nothing and do not count. A document's windows meet the items' in a hash join; an item
 whose windows, in one reading, a document holds to 0.8 or more is a candidate, and its slots must then be filled
-consistently: one value of the item's always stands for one value of the document's, along the alignment on which most
-windows meet. Equal fillings are copies, other consistent ones re-parameterised questions.
+consistently: one value of the item's always stands for one value of the document's. Every alignment on which 0.8 of the
+windows meet, shifted words allowed for, is tried until one is consistent; if no alignment has so many, that on which most
+windows meet is. Equal fillings are copies, other consistent ones re-parameterised questions.
 
 A document also holds an item if it holds 0.8 of the item's runs of five plain words, whatever their case, line breaks
 and kinds; an item of fewer words is one run of all its words.
 
-The items are a query set: their windows go to the scan of the documents in blocks of bounded size.
+The items are a query set: the build side of the hash join is a block of them of bounded size, broadcast with a directory
+of hash buckets; the documents' windows, five to a word, probe it where they are made and are never written or dealt.
 """
 
 from __future__ import annotations
@@ -40,6 +42,14 @@ gram grams kilogram kilograms l ml liter liters litre litres gallon gallons s se
 weeks month months year years percent degree degrees dollar dollars euro euros cent cents usd eur mph kmh hz khz mhz ghz kb mb gb tb
 """.split()
 
+#: Words that are numbers.
+NUMBERS = """
+zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty
+thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half
+""".split()
+#: How far, in words, an alignment may shift within one occurrence of an item: so much, or this share of the item's words.
+SHIFT = (5, 0.2)
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _SPACE = np.zeros(256, bool)
@@ -48,9 +58,10 @@ LITERAL, NUMBER, UNIT, NAME = range(4)
 _PLACEHOLDER = B.mix(np.array([0, 0x1111, 0x2222, 0x3333], np.uint64))
 
 
-def _unit_hashes() -> np.ndarray:
-    data, ends = B.joined([u.encode() for u in UNITS])
-    return np.sort(B.spans(data, *B.words(data)))
+def _among(h: np.ndarray, listed: list[str]) -> np.ndarray:
+    data, _ = B.joined([u.encode() for u in listed])
+    known = np.sort(B.spans(data, *B.words(data)))
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
 def canonical(texts: list[bytes]):
@@ -61,19 +72,19 @@ def canonical(texts: list[bytes]):
     """
     raw, ends = B.joined(texts)
     data = B.lowered(raw)
-    a, b = B.runs(_WORD[data])
+    digits = (data >= 48) & (data <= 57)
+    inner = np.zeros(len(data), bool)
+    inner[1:-1] = ((data[1:-1] == ord(".")) | (data[1:-1] == ord(","))) & digits[:-2] & digits[2:]
+    a, b = B.runs(_WORD[data] | inner)
     doc = np.searchsorted(ends, a)
     h = B.spans(data, a, b)
     kind = np.zeros(len(a), np.int8)
     if not len(a):
         return raw, a, b, doc, h, [kind]
-    digit = (data[a] >= 48) & (data[a] <= 57)
-    number = digit & (data[b - 1] >= 48) & (data[b - 1] <= 57)
+    number = (digits[a] & digits[b - 1]) | _among(h, NUMBERS)
     kind[number] = NUMBER
     after = np.concatenate(([False], number[:-1] & (doc[1:] == doc[:-1])))
-    units = _unit_hashes()
-    at = np.minimum(np.searchsorted(units, h), len(units) - 1)
-    kind[after & ~number & (units[at] == h)] = UNIT
+    kind[after & ~number & _among(h, UNITS)] = UNIT
     # a capital followed by a small letter; inside a sentence if before it stand only blanks, and then a word's end or a comma
     solid = np.where(_SPACE[data], 0, np.arange(len(data)))
     np.maximum.accumulate(solid, out=solid)
@@ -140,6 +151,31 @@ def consistent(pairs: list[tuple[int, bytes, bytes]]) -> bool:
     return all(seen.setdefault((k, x), y) == y for k, x, y in pairs)
 
 
+def alignments(hits: set[tuple[int, int, int]], length: int, enough: float) -> Iterator[dict[int, int]]:
+    """For each alignment on which at least ``enough`` distinct windows meet: the word at which each place's window begins.
+
+    An alignment is a shift (word - place) with hits, those on which most windows meet first; hits of nearly the same shift
+    belong to it too, for words put in or left out, and each place takes its hit of the nearest shift.
+    """
+    by_shift = defaultdict(list)
+    for w, word, place in hits:
+        by_shift[word - place].append((w, word, place))
+    room = max(SHIFT[0], int(SHIFT[1] * length))
+    shifts = np.array(sorted(by_shift))
+    for shift in sorted(by_shift, key=lambda x: (-len(by_shift[x]), x)):
+        near = shifts[np.searchsorted(shifts, shift - room) : np.searchsorted(shifts, shift + room, "right")]
+        if sum(len(by_shift[int(x)]) for x in near) < enough:
+            continue
+        found: dict[int, int] = {}
+        windows_met = set()
+        for x in sorted(near.tolist(), key=lambda x: (abs(x - shift), x)):
+            for w, word, place in by_shift[x]:
+                windows_met.add(w)
+                found.setdefault(place, word)
+        if len(windows_met) >= enough:
+            yield found
+
+
 def matches(known: Items, texts: list[bytes], width: int, similarity: float) -> Iterator[tuple[int, int, float, int, bool]]:
     """(text, item, similarity, slots, whether a slot differs) for each text that holds an item, by the first reading that does."""
     raw, a, b, doc, h, kinds = canonical(texts)
@@ -161,16 +197,36 @@ def matches(known: Items, texts: list[bytes], width: int, similarity: float) ->
         share = len({x for x, _, _ in hits}) / known.total[item, reading]
         if share < similarity or (d, item) in done:
             continue
-        shift = min(Counter(word - place for _, word, place in hits).items(), key=lambda x: (-x[1], x[0]))[0]
         kind = known.kinds[reading if reading < plain else 0]
-        pairs = []
-        for p in range(known.count[item]):
-            k, at_word = known.first[item] + p, shift + p
-            if kind[k] and 0 <= at_word < len(doc) and doc[at_word] == d and kinds[-1][at_word] == kind[k]:
-                pairs.append((int(kind[k]), known.values[k], raw[a[at_word] : b[at_word]].tobytes().lower()))
-        if reading == plain or consistent(pairs):
+        first, length = int(known.first[item]), int(known.count[item])
+
+        def filled(words: dict[int, int]) -> list[tuple[int, bytes, bytes]]:
+            """Slots by place in the item, with the item's and the document's values."""
+            out = []
+            for p, at_word in sorted(words.items()):
+                k = kind[first + p]
+                if k and 0 <= at_word < len(doc) and doc[at_word] == d and kinds[-1][at_word] == k:
+                    out.append((int(k), known.values[first + p], raw[a[at_word] : b[at_word]].tobytes().lower()))
+            return out
+
+        def whole(starts: dict[int, int]) -> dict[int, int]:
+            """The word at each place of the item that a window covers; a place takes the window that begins nearest before it."""
+            words: dict[int, int] = {}
+            for p in sorted(starts, reverse=True):
+                for i in range(width):
+                    if p + i < length:
+                        words.setdefault(p + i, starts[p] + i)
+            return words
+
+        shift = min(Counter(word - place for _, word, place in hits).items(), key=lambda x: (-x[1], x[0]))[0]
+        straight = filled({p: shift + p for p in range(length)})
+        if reading == plain or consistent(straight):
+            chosen = straight
+        else:
+            chosen = next((x for x in (filled(whole(s)) for s in alignments(hits, length, similarity * known.total[item, reading])) if consistent(x)), None)
+        if chosen is not None:
             done.add((d, item))
-            yield d, item, share, len(pairs), any(x != y for _, x, y in pairs)
+            yield d, item, share, len(chosen), any(x != y for _, x, y in chosen)
 
 
 def _blocks(benchmark: DataFrame, width: int, block: int) -> Iterator[Items]:
