@@ -10,14 +10,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyforge.llm.decontaminate import without_leaks
 from tallyforge.llm.jaccard import without_similar
 from tallyforge.llm.packing import pack
 from tallyforge.llm.shared import discard, scratch, table, written
 from tallyforge.llm.simhash import without_near_duplicates
-from tallyforge.llm.suffix_dedup import suffix_dedup
+from tallyforge.llm.suffix_dedup import without_repeats
 from tallyforge.llm.toxicity import fit, without_toxic
 
 
@@ -37,9 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings of 200 bytes that start more than once go from every document; the document stays with the rest."""
-    columns = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = suffix_dedup(docs, keep=tuple(columns))
-    return cut.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}).select(*docs.columns)
+    return without_repeats(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
