@@ -4,6 +4,10 @@ A text is its set of runs of five words (upper-case A-Z count as lower case), ea
 in one order of hashes, rare ones first. Two sets of similarity 0.8 or more share one of the first n // 5 + 1 hashes of
 each, n being its size, so no such pair is missed; the places of the first shared hash bound what two sets can share,
 and so do counts of hashes in 128 cells; the pairs left are checked on all their hashes. The order comes from a sample and decides the cost alone.
+
+What is wanted is which sets are joined by links, so not all pairs of a group are made. A first round pairs every set with
+the next ``NEAR`` of each hash alone, in the order of sizes, which covers hashes of few sets and joins up groups of near
+copies; a second pairs the sets of one hash that the first left in different components, and only those.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ SHARE = (4, 5)
 #: Documents from which the order of hashes is taken, and how often a hash has to be among them to count as frequent.
 SAMPLE = 1 << 14
 FREQUENT = 4
+#: Sets of one hash that a set is paired with in the first round, and of how many sets a hash is split among tasks in the second.
+NEAR = 8
+BLOCK = 1 << 15
 #: Slots of the table that tells which sets the pairs may name.
 SLOTS = 1 << 22
 
@@ -111,41 +118,84 @@ def _prefixes(frequent):
     return run
 
 
-def pairs_of(h: np.ndarray, name: np.ndarray, n: np.ndarray, place: np.ndarray, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
-    """Pairs of sets that share a hash and may be alike; rows are sorted by hash, then size."""
+def may_be_alike(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets i and j can be alike, by their sizes and the places of the hash that they share."""
     up, down = SHARE
-    end = np.searchsorted(h, h, "right") - 1
-    i, d, found, held = np.arange(len(h)), 0, [], 0
-    while True:
-        d += 1
-        i = i[i + d <= end[i]]
-        i = i[down * n[i].astype(np.int64) >= up * n[i + d].astype(np.int64)]  # sizes ascend: no later one fits either
-        if not len(i):
-            break
-        j = i + d
-        shared = np.minimum(n[i] - place[i], n[j] - place[j]).astype(np.int64)
-        ok = ((up + down) * shared >= up * (n[i].astype(np.int64) + n[j])) & (name[i] != name[j])
-        found.append((np.minimum(name[i[ok]], name[j[ok]]), np.maximum(name[i[ok]], name[j[ok]])))
-        held += int(ok.sum())
-        if held > most:
-            yield pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])}).drop_duplicates()
-            found, held = [], 0
-    if held:
-        yield pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])}).drop_duplicates()
-
-
-def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    m, k = n[i].astype(np.int64), n[j].astype(np.int64)
+    shared = np.minimum(m - place[i], k - place[j])
+    return (down * np.minimum(m, k) >= up * np.maximum(m, k)) & ((up + down) * shared >= up * (m + k))
+
+
+def _named_pairs(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+
+
+def _near(near: int, at_once: int = 1 << 16):
+    """Pairs of sets at most ``near`` places apart among those of a hash, and all rows of hashes of more sets; rows come by hash, size and name.
+
+    Of the rows before only the last ``near`` are held, so a hash may have any number of them.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for frame in frames:
+            for a in range(0, len(frame), at_once):
+                part = frame.iloc[a : a + at_once]
+                old = 0 if held is None else len(held)
+                rows = part if held is None else pd.concat([held, part], ignore_index=True)
+                h, name, n, place = (rows[c].to_numpy() for c in ("h", "name", "n", "place"))
+                found = []
+                for d in range(1, near + 1):
+                    j = np.arange(max(old, d), len(rows))
+                    j = j[h[j] == h[j - d]]
+                    j = j[(name[j] != name[j - d]) & may_be_alike(n, place, j - d, j)]
+                    found.append((name[j - d], name[j]))
+                pairs = _named_pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                yield pairs.assign(h=0, n=0, place=-1)
+                # a row more than ``near`` places after another of its hash; the first such brings those before it along
+                far, begin = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+                j = np.arange(max(old, near + 1), len(rows))
+                far[j] = h[j] == h[j - near - 1]
+                begin[j] = far[j] & ((j < near + 2) | (h[j - near - 2] != h[j]))
+                for d in range(1, near + 2):
+                    far[:-d] |= begin[d:]
+                if far.any():
+                    yield pd.DataFrame({"a": name[far], "b": name[far], "h": h[far], "n": n[far], "place": place[far]})
+                held = rows.iloc[-near - 2 :]
+
+    return run
+
+
+def _apart(frames: Iterator[pd.DataFrame], most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Pairs of sets of one hash and block that are in different components and may be alike."""
     held: pd.DataFrame | None = None
 
     def out(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        return pairs_of(*(rows[c].to_numpy() for c in ("h", "name", "n", "place")))
+        key = rows[["h", "block"]].to_numpy()
+        edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        name, n, place, root = (rows[c].to_numpy() for c in ("name", "n", "place", "root"))
+        found, size = [], 0
+        for begin, end in zip(np.concatenate(([0], edge)), np.concatenate((edge, [len(rows)])), strict=True):
+            kinds, of, count = np.unique(root[begin:end], return_inverse=True, return_counts=True)
+            few = begin + np.flatnonzero(of != count.argmax())  # every pair wanted has one outside the largest component
+            for i in few if len(kinds) > 1 else ():
+                j = np.arange(begin, end)
+                j = j[(root[j] != root[i]) & ((j > i) | (of[j - begin] == count.argmax()))]
+                j = j[may_be_alike(n, place, np.full(len(j), i), j)]
+                found.append((np.full(len(j), name[i]), name[j]))
+                size += len(j)
+                if size > most:
+                    yield _named_pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                    found, size = [], 0
+        if size:
+            yield _named_pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     for frame in frames:
         rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
         if len(rows):
-            last = rows.h == rows.h.iloc[-1]
+            last = (rows.h == rows.h.iloc[-1]) & (rows.block == rows.block.iloc[-1])
             held = rows[last]
-            yield from out(rows[~last])
+            yield from out(rows[~last]) if not last.all() else ()
     if held is not None and len(held):
         yield from out(held)
 
@@ -170,21 +220,43 @@ def _checked(texts: DataFrame, pairs: DataFrame, value, test) -> DataFrame:
     return out
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """A written table of all pairs (a, b) of names of unlike sets of ``text`` with similarity 0.8 or more."""
-    spark = texts.sparkSession
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A written table of the pairs whose sets are alike."""
+    possible = _checked(texts, pairs, _cells, _may_be_alike)
+    out = _checked(texts, possible, np.ndarray.tobytes, _is_alike)
+    discard(possible)
+    return out
+
+
+def links(texts: DataFrame, near: int | None = None, block: int | None = None) -> DataFrame:
+    """(node, root) for all names of sets of ``text`` that a similarity of 0.8 or more to an unlike set joins, directly or by others."""
+    spark, near, block = texts.sparkSession, near or NEAR, block or BLOCK
     every = max(1, texts.count() // SAMPLE)
     some = texts.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(every)) == 0).mapInPandas(_all, "h long")
     rows = some.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= FREQUENT).orderBy(F.desc("k"), "h").limit(1 << 18).toPandas()
     known = rows.h.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], rows.k.to_numpy(np.int64)[order]))
-    dealt = texts.mapInPandas(_prefixes(frequent), "h long, name long, n int, place int").repartition("h").sortWithinPartitions("h", "n")
-    pairs = written(dealt.mapInPandas(_pairs, "a long, b long").distinct(), "pairs")
-    possible = _checked(texts, pairs, _cells, _may_be_alike)
-    out = _checked(texts, possible, np.ndarray.tobytes, _is_alike)
-    discard(pairs, possible)
-    return out
+    dealt = texts.mapInPandas(_prefixes(frequent), "h long, name long, n int, place int").repartition("h").sortWithinPartitions("h", "n", "name")
+    first = written(dealt.mapInPandas(_near(near), "a long, b long, h long, n int, place int"), "near")
+    alike = _verified(texts, first.where("place < 0").select("a", "b").distinct())
+    root = components(alike)
+    crowded = first.where("place >= 0").select("h", F.col("a").alias("name"), "n", "place").dropDuplicates(["h", "name"])
+    rooted = crowded.join(root, crowded.name == root.node, "left").select("h", "name", "n", "place", F.coalesce("root", "name").alias("root"))
+    rooted = written(rooted, "rooted")
+    discard(first)
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y").select("h", "m")
+    parts, own, other = F.ceil(F.col("m") / block).cast("int"), F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"), F.col("other")
+    spread = rooted.join(mixed, "h").withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.select("h", "name", "n", "place", "root", (F.least("own", other) * F.col("parts") + F.greatest("own", other)).alias("block"))
+    pairs = written(spread.repartition("h", "block").sortWithinPartitions("h", "block").mapInPandas(lambda frames: _apart(frames), "a long, b long").distinct(), "apart")
+    discard(rooted)
+    if pairs.isEmpty():
+        discard(pairs)
+        return root
+    more = _verified(texts, pairs)
+    discard(pairs)
+    return components(alike.unionByName(more))
 
 
 def without_similar(docs: DataFrame) -> DataFrame:
@@ -195,10 +267,9 @@ def without_similar(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_th": F.xxhash64(text_or_empty())})
     marked = written(keyed.select("_id", "_th", text_or_empty().alias("text")).mapInPandas(_names, "_id long, _th long, name long"), "names")
-    edges = links(docs.select(text_or_empty().alias("text")))
-    root = components(edges)
+    root = links(docs.select(text_or_empty().alias("text")))
     first = marked.groupBy("name").agg(F.min(F.struct("_id", "_th")).alias("first"))
     rooted = first.join(root, first.name == root.node, "left").select(F.coalesce("root", "name").alias("root"), "first")
     best = written(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._th"), "kept")
-    discard(marked, edges)
+    discard(marked)
     return keyed.join(best, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select(*docs.columns)
