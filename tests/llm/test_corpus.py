@@ -539,15 +539,39 @@ def similar_copies(small, rng):
     return rows
 
 
-@pytest.mark.parametrize("frequent", [similarity.FREQUENT, 2])
-def test_similar_documents_go(spark, small, odd, empty, frequent, monkeypatch):
-    monkeypatch.setattr(similarity, "FREQUENT", frequent)
-    rows = similar_copies(small, random.Random(11))
+@pytest.mark.parametrize(("frequent", "near", "block"), [(similarity.FREQUENT, similarity.NEAR, similarity.BLOCK), (2, 1, 7), (2, 2, 1 << 15)])
+def test_similar_documents_go(spark, small, odd, empty, frequent, near, block, monkeypatch):
+    for name, value in (("FREQUENT", frequent), ("NEAR", near), ("BLOCK", block)):
+        monkeypatch.setattr(similarity, name, value)
+    rng = random.Random(11)
+    rows = similar_copies(small, rng)
+    base = rows[7][1].split()[:100]
+    for k in range(60):  # a large group, some of it linked only through others or not at all
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 9])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(99)}"
+        rows += [(8000 + k, " ".join(w))] * rng.choice([1, 1, 2])
     got = {r.doc_id for r in similarity.without_similar(spark.createDataFrame([(i, t, i) for i, t in rows], DOCS + ", th long")).collect()}
     assert got == {rows[k][0] for k in brute_similar(rows)} and len(got) < len(rows) - 20
     assert similarity.without_similar(odd).count() == len(brute_similar(texts_of(odd))) and similarity.without_similar(empty).count() == 0
 
 
+def test_pairs_of_a_group_grow_with_its_size():
+    import pandas as pd
+
+    made = []
+    for size in (100, 400, 1600):
+        frame = pd.DataFrame({"h": np.repeat(np.arange(5), size), "name": np.tile(np.arange(size), 5), "n": 50, "place": 1}).astype({"n": "int32", "place": "int32"})
+        parts = list(similarity._near(8, at_once=37)(iter([frame.iloc[: 3 * size], frame.iloc[3 * size :]])))
+        far = pd.concat([p[p.place >= 0] for p in parts])
+        assert sorted(zip(far.h, far.a)) == [(h, k) for h in range(5) for k in range(size)]
+        made.append(sum(len(p) for p in parts))
+    assert made[2] <= 20 * made[0]
+    few = pd.DataFrame({"h": np.repeat(np.arange(50), 9), "name": np.tile(np.arange(9), 50), "n": 50, "place": 1}).astype({"n": "int32", "place": "int32"})
+    parts = pd.concat(similarity._near(8, at_once=10)(iter([few])))
+    assert (parts.place < 0).all() and len(parts.drop_duplicates()) == 36
+
+
 def test_pipeline_keeps_no_similar_documents(spark, small, data):
     import corpus_pipeline
 
