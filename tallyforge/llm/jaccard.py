@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm import bytewise as B
 from tallyforge.llm.components import components
 from tallyforge.llm.shared import batches, discard, text_or_empty, written
-from tallyforge.llm.simhash import LAST_ID
+from tallyforge.llm.simhash import LAST_ID, keyed_rows
 
 WORDS = 5
 #: The least similarity, as a fraction.
@@ -263,13 +263,14 @@ def without_similar(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component of texts of similarity 0.8 or more: the least doc_id, all columns.
 
     A null doc_id comes last, then the least text hash. Texts without words, null ones too, are one set. Repeated rows
-    count as copies; an empty table gives no rows.
+    count as copies, and of rows that differ in other columns alone one fixed by their hash stays; an empty table gives
+    no rows; columns may have any names.
     """
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_th": F.xxhash64(text_or_empty())})
-    marked = written(keyed.select("_id", "_th", text_or_empty().alias("text")).mapInPandas(_names, "_id long, _th long, name long"), "names")
+    keys = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(text_or_empty()).alias("_th"), text_or_empty().alias("text"))
+    marked = written(docs.select(*keys).mapInPandas(_names, "_id long, _th long, name long"), "names")
     root = links(docs.select(text_or_empty().alias("text")))
     first = marked.groupBy("name").agg(F.min(F.struct("_id", "_th")).alias("first"))
     rooted = first.join(root, first.name == root.node, "left").select(F.coalesce("root", "name").alias("root"), "first")
     best = written(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._th"), "kept")
     discard(marked)
-    return keyed.join(best, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    return keyed_rows(docs).join(best, ["_id", "_th"]).select("_row.*")

@@ -6,7 +6,8 @@ linked fingerprints some partition differs in at most t_i bits. Thresholds come
 estimated number of keys and candidate pairs. A fingerprint's keys in a partition are its bits with up to t_i zeros set
 to one: two values that differ in at most t_i bits meet at the union of their ones. All fingerprints of a key are
 verified against each other, by a search that takes linked ones out of the rest, so a group of near copies gives a
-star of edges and not its pairs. Components follow by contraction.
+star of edges and not its pairs. A key that many fingerprints share is cut into blocks, and each pair of blocks is
+verified in a task of its own. Components follow by contraction.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ DISTANCE = 3
 WORDS = 3
 SEED = 42
 BITS = 64
+#: Fingerprints of a key that one task compares, and those that tell, by a sample, which keys have more.
+BLOCK = 1 << 15
+SAMPLE = 1 << 17
 #: Rows whose doc_id is null come after all others.
 LAST_ID = 2**63 - 1
 
@@ -145,7 +149,24 @@ def plan(n: int, p: np.ndarray, related: np.ndarray, distance: int, key_cost: fl
     return best
 
 
-def _keys(groups: list[list[int]], thresholds: list[int]):
+def _keys(groups: list[list[int]], thresholds: list[int], heavy: dict[tuple[int, int], int] | None = None):
+    """(part, key, block, fp) of every key of every fingerprint; of a heavy key (and its number of blocks) once for each pair of blocks that it is in."""
+    crowded = {k: np.array(sorted(key for part, key in heavy or {} if part == k), np.int64) for k in range(len(groups))}
+
+    def dealt(k: int, key: np.ndarray, fp: np.ndarray) -> Iterator[pd.DataFrame]:
+        known, block = crowded[k], np.zeros(len(key), np.int32)
+        many = np.isin(key, known) if len(known) else None
+        if many is not None and many.any():
+            for x in np.unique(key[many]):
+                n, own = heavy[k, int(x)], fp[key == x]
+                mine = (B.mix(own.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+                for other in range(n):
+                    some = mine != other  # within a block they meet in any of its pairs
+                    pair = np.minimum(mine[some], other) * n + np.maximum(mine[some], other) + 1
+                    yield pd.DataFrame({"part": np.int8(k), "key": x, "block": pair.astype(np.int32), "fp": own[some]})
+            key, fp, block = key[~many], fp[~many], block[~many]
+        yield pd.DataFrame({"part": np.int8(k), "key": key, "block": block, "fp": fp})
+
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for a in range(0, len(frame), 1 << 14):
@@ -156,8 +177,7 @@ def _keys(groups: list[list[int]], thresholds: list[int]):
                         for chosen in combinations(group, size):
                             up = np.uint64(sum(1 << b for b in chosen))
                             some = fp[(fp & up) == 0] if size else fp
-                            key = (some & mask) | up
-                            yield pd.DataFrame({"part": np.int8(k), "key": key.view(np.int64), "fp": some.view(np.int64)})
+                            yield from dealt(k, ((some & mask) | up).view(np.int64), some.view(np.int64))
 
     return emit
 
@@ -185,8 +205,10 @@ def bucket_edges(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _verify(distance: int, small: int = 12):
-    def one(part: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pd.DataFrame | None:
-        edge = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1
+    def one(rows: pd.DataFrame) -> pd.DataFrame | None:
+        part, key, block, fp = (rows[c].to_numpy() for c in ("part", "key", "block", "fp"))
+        fp = fp.view(np.uint64)
+        edge = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
         begin, end = np.concatenate(([0], edge)), np.concatenate((edge, [len(fp)]))
         size = end - begin
         a, b = [], []
@@ -214,21 +236,37 @@ def _verify(distance: int, small: int = 12):
             rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
             if not len(rows):
                 continue
-            last = (rows.part == rows.part.iloc[-1]) & (rows.key == rows.key.iloc[-1])
+            last = (rows.part == rows.part.iloc[-1]) & (rows.key == rows.key.iloc[-1]) & (rows.block == rows.block.iloc[-1])
             done, held = rows[~last], rows[last]
-            if len(done) and (out := one(done.part.to_numpy(), done.key.to_numpy(), done.fp.to_numpy().view(np.uint64))) is not None:
+            if len(done) and (out := one(done)) is not None:
                 yield out
-        if held is not None and len(held) and (out := one(held.part.to_numpy(), held.key.to_numpy(), held.fp.to_numpy().view(np.uint64))) is not None:
+        if held is not None and len(held) and (out := one(held)) is not None:
             yield out
 
     return run
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def heavy_keys(distinct: DataFrame, n: int, groups: list[list[int]], thresholds: list[int], block: int, sample: int) -> dict[tuple[int, int], int]:
+    """(part, key) of keys that likely have more than ``block`` of the ``n`` fingerprints, and into how many blocks they go.
+
+    At most ``sample`` fingerprints or so are looked at. A key that they miss costs time and loses nothing.
+    """
+    if n <= block:
+        return {}
+    share = min(1.0, sample / n)
+    some = distinct.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30))
+    seen = some.select("fp").mapInPandas(_keys(groups, thresholds), "part byte, key long, block int, fp long").groupBy("part", "key").agg(F.count("*").alias("n"))
+    rows = seen.where(F.col("n") > max(8, block * share)).orderBy(F.desc("n")).limit(1 << 14).collect()
+    return {(r.part, r.key): max(2, -(-int(r.n / share) // block)) for r in rows}
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, block: int | None = None, sample: int | None = None) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints ``fp`` that join exactly those that links join."""
-    groups, thresholds, _ = plan(*bit_statistics(distinct), distance)
-    keyed = distinct.select("fp").mapInPandas(_keys(groups, thresholds), "part byte, key long, fp long")
-    dealt = keyed.repartition("part", "key").sortWithinPartitions("part", "key")
+    n, p, related = bit_statistics(distinct)
+    groups, thresholds, _ = plan(n, p, related, distance)
+    heavy = heavy_keys(distinct, n, groups, thresholds, block or BLOCK, sample or SAMPLE)
+    keyed = distinct.select("fp").mapInPandas(_keys(groups, thresholds, heavy), "part byte, key long, block int, fp long")
+    dealt = keyed.repartition("part", "key", "block").sortWithinPartitions("part", "key", "block")
     return dealt.mapInPandas(_verify(distance), "a long, b long")
 
 
@@ -249,20 +287,36 @@ def simhash_components(docs: DataFrame, distance: int = DISTANCE, width: int = W
     """
     marked = written(fingerprints(docs, width), "fingerprints")
     rooted = _rooted(marked, distance)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(least, "root").select("fp", "component_id", "n"), "named")
-    discard(rooted)
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")), "least")
+    named = spread_join(rooted, least, ["root"], "fps", rooted.count()).select("fp", "component_id", "n")
+    named = written(named, "named")
+    discard(rooted, least)
     return spread_join(marked, named, ["fp"], "n", marked.count()).select("doc_id", "fp", "component_id")
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(_id, _th, _row) once for each doc_id and text: of rows that differ in other columns alone, the one whose hash is least.
+
+    ``_id`` is the doc_id, a null one last; ``_th`` a hash of the text; ``_row`` all columns. Equal rows meet where they are read already.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0))))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(text_or_empty()).alias("_th"), rest.alias("_rest"), row.alias("_row"))
+    return keyed.groupBy("_id", "_th").agg(F.min_by("_row", "_rest").alias("_row"))
+
+
 def without_near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = WORDS) -> DataFrame:
-    """One row of ``docs`` for each component: the least doc_id (a null one last, then the least text hash), all columns."""
-    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_th": F.xxhash64(text_or_empty())}
-    keyed = docs.withColumns(keys)
-    marks = keyed.select("_id", "_th", text_or_empty().alias("text")).mapInPandas(_fingerprints(width), "_id long, _th long, fp long")
+    """One row of ``docs`` for each component: the least doc_id (a null one last, then the least text hash), all columns.
+
+    A null text counts as empty and stays null where it stays; texts without words are one group. Repeated rows count as
+    copies, and of rows that differ in other columns alone one fixed by their hash stays; an empty table gives no rows;
+    columns may have any names.
+    """
+    keys = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(text_or_empty()).alias("_th"), text_or_empty().alias("text"))
+    marks = docs.select(*keys).mapInPandas(_fingerprints(width), "_id long, _th long, fp long")
     marked = written(marks.withColumn("doc_id", F.col("_id")), "fingerprints")
     rooted = _rooted(marked, distance)
     first = marked.groupBy("fp").agg(F.min(F.struct("_id", "_th")).alias("first"))
     best = written(first.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._th"), "kept")
     discard(marked, rooted)
-    return keyed.join(best, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    return keyed_rows(docs).join(best, ["_id", "_th"]).select("_row.*")
