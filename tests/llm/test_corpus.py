@@ -349,8 +349,9 @@ def test_the_result_comes_through_the_sort(spark, monkeypatch):
     monkeypatch.undo()
     sorted_ = suffix_dedup.repeats(contexts, back, 200, 168)
     place = Counter(c[p : p + 200] for c in contexts for p in range(101))
-    assert [place[contexts[r][p : p + 200]] > 1 for r, p in zip(*sorted_[:2])] == sorted_[2].tolist() and sorted_[2].any()
-    assert (shuffled[2] != sorted_[2]).any()
+    found = lambda x: {(r, p) for r, p, twice in zip(*x[:3]) if twice}
+    want = {(r, p) for r, c in enumerate(contexts) for p in range(101) if place[c[p : p + 200]] > 1}
+    assert found(sorted_) == want and found(shuffled) != want
 
 
 @pytest.mark.parametrize("chunk", [250, 1000, 1 << 18])
@@ -426,9 +427,14 @@ def near_copies(small):
     return rows
 
 
-@pytest.mark.parametrize("forced", [None, (3, [0, 0, 1]), (2, [1, 1]), (1, [3])])
+@pytest.mark.parametrize("forced", [None, "heavy", (3, [0, 0, 1]), (2, [1, 1]), (1, [3])])
 def test_simhash_components(spark, small, forced, monkeypatch):
     rows = near_copies(small)
+    if forced == "heavy":  # most keys are cut into blocks
+        forced = None
+        monkeypatch.setattr(simhash, "BLOCK", 9)
+        monkeypatch.setattr(simhash, "heavy_keys", lambda *a, f=simhash.heavy_keys: heavy.append(f(*a)) or heavy[-1])
+    heavy = []
     if forced:
         parts, thresholds = forced
         if parts == 1:
@@ -437,6 +443,15 @@ def test_simhash_components(spark, small, forced, monkeypatch):
     got = {(r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in simhash.simhash_components(spark.createDataFrame(rows, DOCS)).collect()}
     prints = [brute_fingerprint(t) for _, t in rows]
     assert got == set(zip([i for i, _ in rows], prints, brute_components(prints, [i for i, _ in rows]), strict=True))
+    assert not heavy or max(heavy[0].values()) > 2
+
+
+def test_rows_that_differ_elsewhere_are_one(spark):
+    rows = [(1, "a b c d e f", "x", 5), (1, "a b c d e f", "y", 6), (None, "a b c d e f", "z", 7), (2, None, "n", 8), (3, " ", "m", 9)] * 30
+    names = "doc_id long, text string, _id string, _row long"
+    kept = [sorted(map(tuple, simhash.without_near_duplicates(spark.createDataFrame(rows[k:] + rows[:k], names)).collect())) for k in (0, 1, 2)]
+    assert kept[0] == kept[1] == kept[2] and [r[0] for r in kept[0]] == [1, 2] and kept[0][1] == (2, None, "n", 8)
+    assert sorted(map(tuple, similarity.without_similar(spark.createDataFrame(rows, names)).collect())) == kept[0]
 
 
 def test_simhash_odd(odd, empty):
