@@ -22,8 +22,8 @@ def exit_code(expected: Column, actual: Column) -> Column:
 
 
 def numeric(stdout: Column, pattern: str, expected: Column, tolerance: Column) -> Column:
-    """VER-04 for a pattern known to the plan: group 1 as a number within the tolerance."""
-    e, t = expected.try_cast("double"), tolerance.try_cast("double")
+    """VER-04 for a pattern known to the plan: group 1 as a number within the tolerance, which is 0 where there is none."""
+    e, t = expected.try_cast("double"), F.when(tolerance.isNull(), 0.0).otherwise(tolerance.try_cast("double"))
     got = F.nullif(F.regexp_extract(stdout, pattern, 1), F.lit("")).try_cast("double")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     bad = ~finite(e) | ~finite(t) | (t < 0)
@@ -63,7 +63,8 @@ def judge(strategy: dict, run: dict) -> str:
             return "PASS" if found else "FAIL"
         if kind == "stdout_exclude_pattern":
             return "FAIL" if found else "PASS"
-        want, tolerance = _number(strategy.get("expected")), _number(strategy.get("tolerance"))
+        given = strategy.get("tolerance")
+        want, tolerance = _number(strategy.get("expected")), 0.0 if given is None else _number(given)
         if want is None or tolerance is None or tolerance < 0:
             return "ERROR"
         got = _number(found[1] if found and found.re.groups else found[0]) if found else None

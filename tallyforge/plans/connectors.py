@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import transforms
 from tallyforge.functions.stats import wilson
 from tallyforge.plans.aggregates import counts, wilson_sql
 from tallyforge.plans.registry import query
+from tallyforge.plans.statistics import BUDGET_SQL, PROTOCOL, requests
 from tallyforge.sources import files as S
 from tallyforge.sources.records import RECORDS_SQL, eligible, records, table
 from tallyforge.streaming import campaign
@@ -184,11 +185,22 @@ def support_files(spark: SparkSession, d: str) -> DataFrame:
     return S.admitted(j, 100).select("key", F.lit(3).alias("listed"), F.array_join("names", ",").alias("names"))
 
 
-@query("snk01_partitioned_upsert", RECORDS_SQL + "SELECT model, kernel, arg_max(overall_status, record_id) AS overall_status, max(record_id) AS record_id FROM rec GROUP BY 1, 2")
+@query("snk01_partitioned_upsert", RECORDS_SQL + """
+, k AS (SELECT *, replace(model, 'm', 'm/') AS m, record_id % 3 = 0 AS late FROM rec),
+ a AS (SELECT m, source_spec, target_spec, augment_level, sample_id, arg_max(overall_status, record_id) AS s, max(record_id) AS r FROM k WHERE NOT late GROUP BY ALL),
+ b AS (SELECT m, source_spec, target_spec, augment_level, sample_id, arg_max(overall_status, record_id) AS s, max(record_id) AS r FROM k WHERE late GROUP BY ALL)
+SELECT replace(coalesce(b.m, a.m), '/', '_') || '/' || coalesce(b.source_spec, a.source_spec) || '-to-' || coalesce(b.target_spec, a.target_spec) || CASE WHEN coalesce(b.augment_level, a.augment_level) > 0 THEN '-L' || coalesce(b.augment_level, a.augment_level) ELSE '' END
+  || '-s' || coalesce(b.sample_id, a.sample_id) || '.json' AS name, coalesce(b.s, a.s) AS overall_status, coalesce(b.r, a.r) AS record_id, coalesce(a.s = 'PASS' AND b.s IS NOT NULL AND b.s <> 'PASS', false) AS lost_pass
+FROM a FULL JOIN b USING (m, source_spec, target_spec, augment_level, sample_id)""")
 def upsert(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each key, the newest, written by model."""
-    rows = eligible(records(spark, d)).select("model", "kernel", "overall_status", "record_id")
-    return S.upsert(rows, S.workspace(spark, "upsert"), ["model", "kernel"], "record_id").select("model", "kernel", "overall_status", "record_id")
+    """Two batches written one over the other: what the second lacks stays, what it has replaces; a PASS that is lost is told."""
+    rows = eligible(records(spark, d)).withColumn("model", F.replace("model", F.lit("m"), F.lit("m/")))
+    name = S.result_name(F.col("model"), F.col("source_spec"), F.col("target_spec"), F.col("augment_level"), F.col("sample_id"), samples=3)
+    rows = rows.select("model", name.alias("name"), "overall_status", "record_id")
+    path = S.workspace(spark, "upsert")
+    S.upsert(rows.where("record_id % 3 <> 0"), path, ["model", "name"], "record_id")
+    stored = S.upsert(rows.where("record_id % 3 = 0"), path, ["model", "name"], "record_id")
+    return stored.select("name", "overall_status", "record_id", "lost_pass")
 
 
 @query("snk02_08_csv_and_json", RECORDS_SQL + "SELECT suite, count(*) AS n, count(*) FILTER (WHERE passed) AS c FROM rec GROUP BY 1")
@@ -273,34 +285,64 @@ def attempt_log(spark: SparkSession, d: str) -> DataFrame:
     return eligible(records(spark, d)).select("model", F.posexplode(attempts()).alias("attempt", "x")).groupBy("model").agg(F.count("*").alias("attempts"))
 
 
-def _program() -> str:
-    return 'int i = 0;\nwhile (1) {\n  i++;\n  if (i >= 10) break; // i++ stays\n  printf("i++;");\n}\nint *p = NULL;\n'
+def _program(changed: bool = False) -> Column:
+    """A program of each part, as it is or as all transforms leave it; every transform finds something in it, and a string has what they look for."""
+    n, kind, total, i, a, x, f = F.col("p_size").cast("string"), *(("unsigned int", "v2", "v3", "v4", "v1", "fn1") if changed else ("count_t", "total", "i", "a", "x", "twice"))
+    body = [F.lit(f"typedef unsigned int count_t;\nstatic int {f}(int {x}) {{ return {x} * 2; }}\nint main(void) {{\n  {kind} {total} = "), n, F.lit(f";\n  int {i} = 0;\n  int {a}[64];\n")]
+    test, add, index, step = (
+        ([n, F.lit(f" > {i}")], f"{total} = {total} + ({i})", f"({a})[{i}]", [F.lit(f"{i} += "), n]) if changed else ([F.lit(f"{i} < "), n], f"{total} += {i}", f"*({a} + {i})", [F.lit(f"{i} = {i} + "), n])
+    )
+    body += [F.lit("  while ("), *test, F.lit(f") {{\n    {add}; // total += 1\n    {index} = {f}({i});\n    "), *step, F.lit(f';\n    printf("total += %d; i < 3 *(a + i) count_t x", {total});\n  }}\n  return 0;\n}}\n')]
+    return F.concat(*body)
+
+
+_STRING = 'printf("total += %d; i < 3 *(a + i) count_t x",'
 
 
-@query("udf01_02_transforms", "SELECT p_partkey, p_size % 5 AS level, CASE WHEN p_size % 5 = 0 THEN 0 ELSE NULL END AS applied, true AS strings_kept FROM part WHERE p_size % 5 = 0 UNION ALL SELECT p_partkey, 4, 4, true FROM part WHERE p_size % 5 = 4")
+@query("udf01_02_transforms", """
+SELECT p_partkey, p_size % 5 AS level, [0, 1, 1, 3, 6][p_size % 5 + 1] AS applied, true AS strings_kept, true AS valid, CASE p_size % 5
+ WHEN 0 THEN 'typedef unsigned int count_t;' || chr(10) || 'static int twice(int x) { return x * 2; }' || chr(10) || 'int main(void) {' || chr(10) || '  count_t total = ' || p_size || ';' || chr(10) || '  int i = 0;' || chr(10) || '  int a[64];' || chr(10)
+  || '  while (i < ' || p_size || ') {' || chr(10) || '    total += i; // total += 1' || chr(10) || '    *(a + i) = twice(i);' || chr(10) || '    i = i + ' || p_size || ';' || chr(10) || '    printf("total += %d; i < 3 *(a + i) count_t x", total);' || chr(10)
+  || '  }' || chr(10) || '  return 0;' || chr(10) || '}' || chr(10)
+ WHEN 4 THEN 'typedef unsigned int count_t;' || chr(10) || 'static int fn1(int v1) { return v1 * 2; }' || chr(10) || 'int main(void) {' || chr(10) || '  unsigned int v2 = ' || p_size || ';' || chr(10) || '  int v3 = 0;' || chr(10) || '  int v4[64];' || chr(10)
+  || '  while (' || p_size || ' > v3) {' || chr(10) || '    v2 = v2 + (v3); // total += 1' || chr(10) || '    (v4)[v3] = fn1(v3);' || chr(10) || '    v3 += ' || p_size || ';' || chr(10) || '    printf("total += %d; i < 3 *(a + i) count_t x", v2);' || chr(10)
+  || '  }' || chr(10) || '  return 0;' || chr(10) || '}' || chr(10) END AS code FROM part""")
 def code_transforms(spark: SparkSession, d: str) -> DataFrame:
-    """Programs at levels 0 (unchanged) and 4 (every place changed)."""
-    p = table(spark, d, "part").where("p_size % 5 in (0, 4)").select("p_partkey", (F.col("p_size") % 5).alias("level"))
-    x = p.withColumn("t", transforms.transform_code(F.lit(_program()), F.col("level"), F.col("p_partkey").cast("string")))
-    return x.select("p_partkey", "level", F.size("t.transforms").alias("applied"), F.col("t.code").contains('printf("i++;")').alias("strings_kept"))
+    """Programs at levels 0 (as they are) to 4 (every place of every transform); what levels 1 to 3 choose is told by count."""
+    x = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 5).alias("level"), _program().alias("program"))
+    x = x.withColumn("t", transforms.transform_code("program", "level", F.col("p_partkey").cast("string")))
+    return x.select("p_partkey", "level", F.size("t.transforms").alias("applied"), F.col("t.code").contains(_STRING).alias("strings_kept"), F.col("t.valid").alias("valid"), F.when(F.col("level").isin(0, 4), F.col("t.code")).alias("code"))
+
+
+def _singles(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "part").select("p_partkey", _program().alias("program"))
+    return x.withColumn("t", transforms.one_transform("program", F.col("p_partkey").cast("string")))
 
 
-@query("udf03_single_transform", "SELECT p_partkey, 1 AS applied, true AS changed FROM part")
+@query("udf03_single_transform", "SELECT p_partkey, 1 AS applied, true AS changed, true AS strings_kept, true AS valid FROM part")
 def single_transform(spark: SparkSession, d: str) -> DataFrame:
-    """Exactly one transform for every program."""
-    x = table(spark, d, "part").select("p_partkey", transforms.one_transform(F.lit(_program()), F.col("p_partkey").cast("string")).alias("t"))
-    return x.select("p_partkey", F.size("t.transforms").alias("applied"), (F.col("t.code") != _program()).alias("changed"))
+    """Exactly one transform for every program; strings and comments stay."""
+    kept = F.col("t.code").contains(_STRING) & F.col("t.code").contains("// total += 1\n")
+    return _singles(spark, d).select("p_partkey", F.size("t.transforms").alias("applied"), (F.col("t.code") != F.col("program")).alias("changed"), kept.alias("strings_kept"), F.col("t.valid").alias("valid"))
 
 
-@query("stm02_token_budget_stream", """
-WITH e AS (SELECT 'm' || (event_id % 3) AS trajectory, count(*) AS n FROM events WHERE event_id % 3 < 3 GROUP BY 1) SELECT trajectory, 'granted' AS decision, 5::BIGINT AS n FROM e UNION ALL SELECT trajectory, 'attempts', n - 5 FROM e""")
-def token_budget_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The token budget over a stream, state kept for each trajectory."""
-    path = S.workspace(spark, "budget")
-    records(spark, d).select(F.col("model").alias("trajectory"), F.col("record_id").alias("request"), F.lit(1).cast("long").alias("tokens")).write.parquet(f"{path}/in")
-    stream = campaign.record_stream(spark, f"{path}/in", "trajectory string, request long, tokens long")
-    out = campaign.token_budget(stream, 1000, 5)
-    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out").groupBy("trajectory", "decision").agg(F.count("*").alias("n"))
+@query("udf03_validation_report", "SELECT 6::BIGINT AS transforms, count(*) AS programs, count(*) AS changed, count(*) AS valid FROM part")
+def validation(spark: SparkSession, d: str) -> DataFrame:
+    """The report over all transforms: each was some program's, and all programs changed and have no new faults."""
+    x = _singles(spark, d)
+    report = transforms.validation_report(x, F.col("t.transforms"), F.col("t.valid"), F.col("t.code") != F.col("program"))
+    return report.agg(F.count("*").alias("transforms"), *[F.sum(c).alias(c) for c in ("programs", "changed", "valid")])
 
 
+@query("stm02_token_budget_stream", RECORDS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + BUDGET_SQL + "SELECT trajectory, decision, count(*) AS n, CAST(sum(cap) AS BIGINT) AS caps, max(used) AS used FROM s WHERE i > 0 GROUP BY 1, 2")
+def token_budget_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The token budget over a stream, state kept for each trajectory from one batch to the next."""
+    path = S.workspace(spark, "budget")
+    rows = requests(eligible(records(spark, d)))
+    kind = "trajectory string, request long, estimate long, prompt long, completion long"
+    middle = rows.agg(F.expr("percentile_approx(request, 0.5)")).first()[0] or 0
+    for part in (rows.where(F.col("request") <= middle), rows.where(F.col("request") > middle)):  # two runs of the stream
+        part.select(*[F.col(c).cast("long") if c != "trajectory" else c for c in rows.columns]).write.mode("append").parquet(f"{path}/in")
+        out = campaign.token_budget(campaign.record_stream(spark, f"{path}/in", kind), PROTOCOL)
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("trajectory", "decision").agg(F.count("*").alias("n"), F.sum("cap").alias("caps"), F.max("used").alias("used"))

@@ -11,6 +11,7 @@ from tallyforge.plans.aggregates import Z, counts, wilson_sql, with_wilson
 from tallyforge.plans.joins import CELLS_SQL
 from tallyforge.plans.registry import query
 from tallyforge.sources.records import RECORDS_SQL, eligible, records, table
+from tallyforge.streaming.campaign import Protocol, budgeted
 
 
 def erfc_sql(z: str) -> str:
@@ -284,11 +285,27 @@ def matrix_order(spark: SparkSession, d: str) -> DataFrame:
     return m.orderBy(F.desc("total"), "kernel", F.desc("rate"), "model").select("kernel", "model", F.col("c").alias("passes"))
 
 
-@query("stm02_token_budget", RECORDS_SQL + """
-, b AS (SELECT *, sum(prompt_tokens + completion_tokens) OVER (PARTITION BY model, kernel ORDER BY record_id) AS used, row_number() OVER (PARTITION BY model, kernel ORDER BY record_id) AS attempt FROM rec)
-SELECT record_id, CASE WHEN used > 100000 THEN 'budget' WHEN attempt > 5 THEN 'attempts' ELSE 'granted' END AS decision FROM b""")
+BUDGET_SQL = """
+, o AS (SELECT model || '/' || kernel AS trajectory, record_id AS request, prompt_tokens + 8 AS estimate, prompt_tokens + CASE WHEN record_id % 11 = 0 THEN 9 ELSE 0 END AS prompt, completion_tokens AS completion,
+   row_number() OVER (PARTITION BY model, kernel ORDER BY record_id) AS i FROM rec),
+ s(trajectory, i, request, decision, cap, used, started) AS (
+  SELECT DISTINCT trajectory, 0::BIGINT, NULL::BIGINT, '', 0::BIGINT, 0::BIGINT, 0::BIGINT FROM o
+  UNION ALL
+  SELECT trajectory, i, request, decision, cap, CASE WHEN decision = 'granted' THEN used + prompt + completion ELSE used END, CASE WHEN decision IN ('granted', 'violation') THEN started + 1 ELSE started END
+  FROM (SELECT *, CASE WHEN cap < 2000 OR estimate + cap > left_ THEN 'budget' WHEN started >= 6 THEN 'attempts' WHEN prompt > estimate OR prompt + completion > estimate + cap THEN 'violation' ELSE 'granted' END AS decision
+   FROM (SELECT o.trajectory, o.i, o.request, o.estimate, o.prompt, o.completion, s.used, s.started, greatest(0, 100000 - s.used) AS left_, greatest(0, least(30000, greatest(0, 100000 - s.used) - o.estimate)) AS cap
+    FROM s JOIN o ON o.trajectory = s.trajectory AND o.i = s.i + 1)))
+"""
+PROTOCOL = Protocol(budget=100_000, response_limit=30_000, least_response=2_000, attempts=6)
+
+
+def requests(df: DataFrame) -> DataFrame:
+    """Records as requests of trajectories; every eleventh uses more of a prompt than it estimated."""
+    over = F.when(F.col("record_id") % 11 == 0, 9).otherwise(0)
+    return df.select(F.concat_ws("/", "model", "kernel").alias("trajectory"), F.col("record_id").alias("request"), (F.col("prompt_tokens") + 8).alias("estimate"), (F.col("prompt_tokens") + over).alias("prompt"), F.col("completion_tokens").alias("completion"))
+
+
+@query("stm02_token_budget", RECORDS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + BUDGET_SQL + "SELECT trajectory, request, decision, cap, used FROM s WHERE i > 0")
 def token_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Requests of a trajectory refused by tokens first, then by attempts (the batch form)."""
-    w = Window.partitionBy("model", "kernel").orderBy("record_id")
-    b = eligible(records(spark, d)).select("record_id", F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).over(w).alias("used"), F.row_number().over(w).alias("attempt"))
-    return b.select("record_id", F.when(F.col("used") > 100000, "budget").when(F.col("attempt") > 5, "attempts").otherwise("granted").alias("decision"))
+    """Requests of a trajectory in turn (the batch form): reserved, then charged; refused ones cost nothing. The SQL is a recursion over requests."""
+    return budgeted(requests(eligible(records(spark, d))), PROTOCOL)

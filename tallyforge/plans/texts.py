@@ -52,14 +52,16 @@ def deanonymise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _code() -> Column:
-    return F.concat(F.lit('// head\nint a = 1; /* x\n y */ int b;\nchar *s = "// no";\n\n/* z */\n'), F.replace("p_name", F.lit("/"), F.lit("")), F.lit(" // tail\n"))
+    """A program whose comments, strings and characters hold one another's marks; the name stands in a string."""
+    name = F.regexp_replace("p_name", "[\"\\\\]", "")
+    return F.concat(F.lit('// head "x\nint a = 1; /* x "\n y */ int b;\nchar *s = "// '), name, F.lit(' \\" /*";\n\n/* z */\nchar c = \'"\'; // it\'s\n'))
 
 
-@query("prj14_strip_comments", "SELECT p_partkey, chr(10) || 'int a = 1; ' || chr(10) || ' int b;' || chr(10) || 'char *s = \"// no\";' || chr(10) || chr(10) || ' ' || chr(10) || replace(p_name, '/', '') || ' ' || chr(10) AS code FROM part WHERE p_name NOT LIKE '%\"%' AND p_name NOT LIKE '%''%'")
+@query("prj14_strip_comments", """
+SELECT p_partkey, chr(10) || 'int a = 1; ' || chr(10) || ' int b;' || chr(10) || 'char *s = "// ' || replace(replace(p_name, chr(34), ''), chr(92), '') || ' ' || chr(92) || '" /*";' || chr(10) || chr(10) || ' ' || chr(10) || 'char c = ''"''; ' || chr(10) AS code FROM part""")
 def strip_comments(spark: SparkSession, d: str) -> DataFrame:
     """Source without comments; comment marks inside strings stay."""
-    p = table(spark, d, "part").where("p_name not like '%\"%' and p_name not like \"%'%\"")
-    return p.select("p_partkey", T.strip_comments(_code()).alias("code"))
+    return table(spark, d, "part").select("p_partkey", T.strip_comments(_code()).alias("code"))
 
 
 @query("prj15_sloc", "SELECT p_partkey, 5 AS non_blank_with_comments, 4 AS physical FROM part")
@@ -179,28 +181,29 @@ def failure_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("ver01_verify_run", """
-SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'ERROR' WHEN 3 THEN 'SKIP' WHEN 4 THEN 'FAIL' ELSE 'ERROR' END AS status,
- CASE p_size % 6 WHEN 0 THEN 'exit_code+numeric_comparison' WHEN 1 THEN 'exit_code' WHEN 2 THEN 'stdout_pattern' WHEN 3 THEN '' WHEN 4 THEN 'numeric_comparison' ELSE 'telepathy' END AS strategy FROM part""")
+SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'ERROR' WHEN 3 THEN 'SKIP' WHEN 4 THEN CASE WHEN p_size BETWEEN 11 AND 29 THEN 'PASS' ELSE 'FAIL' END WHEN 5 THEN 'ERROR' WHEN 6 THEN CASE WHEN p_size = 22 THEN 'PASS' ELSE 'FAIL' END ELSE 'ERROR' END AS status,
+ CASE p_size % 8 WHEN 0 THEN 'exit_code+numeric_comparison' WHEN 1 THEN 'exit_code' WHEN 2 THEN 'stdout_pattern' WHEN 3 THEN '' WHEN 5 THEN 'telepathy' ELSE 'numeric_comparison' END AS strategy FROM part""")
 def verify_run(spark: SparkSession, d: str) -> DataFrame:
-    """Runs judged by all strategies of their oracle in order; the first that does not pass decides."""
+    """Runs judged by all strategies of their oracle in order; the first that does not pass decides. A tolerance that is not given is 0."""
     kind = f"array<struct<{V.STRATEGY.replace(' string', ':string').replace(' boolean', ':boolean')}>>"
     cases = (
         '[{"type":"exit_code","expected":"0"},{"type":"numeric_comparison","pattern":"err=([0-9.]+)","expected":"0.5","tolerance":"0.01"}]', '[{"type":"exit_code","expected":"1"}]', '[{"type":"stdout_pattern","pattern":"(bad"}]',
-        "[]", '[{"type":"numeric_comparison","pattern":"err=([0-9.]+)","expected":"0.7","tolerance":"0.01"}]', '[{"type":"telepathy"}]',
+        "[]", '[{"type":"numeric_comparison","pattern":"size=([0-9.]+)","expected":"20","tolerance":"9"}]', '[{"type":"telepathy"}]',
+        '[{"type":"numeric_comparison","pattern":"size=([0-9]+)","expected":"22"}]', '[{"type":"numeric_comparison","pattern":"size=([0-9]+)","expected":"22","tolerance":"-1"}]',
     )
-    chosen = F.from_json(F.element_at(F.array(*map(F.lit, cases)), F.col("p_size") % 6 + 1), kind)
-    runs = table(spark, d, "part").select("p_partkey", F.lit(0).alias("exit_code"), F.lit("done err=0.501").alias("stdout"), F.create_map().cast("map<string,string>").alias("files"), chosen.alias("strategies"))
+    chosen = F.from_json(F.element_at(F.array(*map(F.lit, cases)), F.col("p_size") % 8 + 1), kind)
+    runs = table(spark, d, "part").select("p_partkey", F.lit(0).alias("exit_code"), F.concat(F.lit("done err=0.501 size="), "p_size").alias("stdout"), F.create_map().cast("map<string,string>").alias("files"), chosen.alias("strategies"))
     return V.verify(runs, "p_partkey")
 
 
 @query("ver02_04_native_checks", """
 SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 0 THEN 'PASS' WHEN l_linenumber = 7 THEN 'ERROR' WHEN l_linenumber = 1 THEN 'PASS' ELSE 'FAIL' END AS exit_status,
- CASE WHEN l_tax < 0.02 THEN 'ERROR' WHEN abs(l_discount - 0.05) <= 0.0200001 THEN 'PASS' ELSE 'FAIL' END AS numeric_status FROM lineitem""")
+ CASE WHEN l_tax < 0.02 THEN 'ERROR' WHEN abs(l_discount - 0.05) <= (CASE WHEN l_tax < 0.05 THEN 0 ELSE 0.0200001 END) THEN 'PASS' ELSE 'FAIL' END AS numeric_status FROM lineitem""")
 def native_checks(spark: SparkSession, d: str) -> DataFrame:
     """Exit codes and numbers checked without Python where the pattern is known to the plan."""
     expected = F.when(F.col("l_linenumber") == 7, "true").otherwise("1")
     stdout = F.concat(F.lit("residual = "), F.col("l_discount").cast("string"), F.lit(" end"))
-    tolerance = F.when(F.col("l_tax") < 0.02, "-1").otherwise("0.0200001")
+    tolerance = F.when(F.col("l_tax") < 0.02, "-1").when(F.col("l_tax") >= 0.05, "0.0200001")  # else none
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", V.exit_code(expected, F.col("l_linenumber")).alias("exit_status"), V.numeric(stdout, r"residual = ([0-9.E-]+)", F.lit("0.05"), tolerance).alias("numeric_status"))
 
 

@@ -203,12 +203,37 @@ def latex_table(df: DataFrame, columns: list[str], order: list[Column], path: st
     write_lines(head, df, latex_row([F.col(c) for c in columns]), order, path, [r"\bottomrule", r"\end{tabular}"])
 
 
+def result_name(model: Column, source: Column, target: Column, level: Column, sample: Column, samples: int = 1) -> Column:
+    """SNK-01: a verdict's file: the level is named if it is over 0, the sample if there are several."""
+    tags = [F.when(level > 0, F.concat(F.lit("-L"), level)).otherwise("")] + [F.concat(F.lit("-s"), sample)] * (samples > 1)
+    return F.concat(F.replace(model, F.lit("/"), F.lit("_")), F.lit("/"), source, F.lit("-to-"), target, *tags, F.lit(".json"))
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The complete versions of a stored table, oldest first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = [x.getPath() for x in fs.listStatus(place)] if fs.exists(place) else []
+    done = [str(x.toString()) for x in found if x.getName().startswith("v-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted(done, key=lambda x: x.rsplit("/", 1)[-1])
+
+
 def upsert(df: DataFrame, path: str, key: list[str], order: str) -> DataFrame:
-    """SNK-01: new rows over stored ones by key, written by model as a new version and returned.
+    """SNK-01: new rows over the stored ones by key, by model, as a new version, which is returned.
 
-    A Parquet folder cannot be replaced while it is read, so each version is a folder of its own beside the last.
+    Of new rows with one key the last by ``order`` counts; stored rows whose key is not among them stay. ``lost_pass``
+    tells rows whose status was PASS in the version before and is no longer. A folder cannot be replaced while it is
+    read, so each version is a folder of its own beside the last; one that was not finished does not count.
     """
-    version = f"{path}/v-{uuid.uuid4().hex}"
-    newest = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))
-    df.withColumn("_r", newest).where("_r = 1").drop("_r").write.partitionBy("model").parquet(version)
-    return df.sparkSession.read.parquet(version)
+    spark, known = df.sparkSession, versions(df.sparkSession, path)
+    new = df.groupBy(*key).agg(F.max_by(F.struct(*df.columns), order).alias("new"))
+    if known:
+        stored = spark.read.schema(df.schema).parquet(known[-1])
+        new = new.join(stored.select(*key, F.struct(*df.columns).alias("old")), key, "full")
+    else:
+        new = new.withColumn("old", F.lit(None).cast(df.schema))
+    lost = (F.col("old.overall_status") == "PASS") & F.col("new").isNotNull() & (F.col("new.overall_status") != "PASS")
+    rows = new.select(F.coalesce("new", "old").alias("x"), F.coalesce(lost, F.lit(False)).alias("lost_pass")).select("x.*", "lost_pass")
+    version = f"{path}/v-{len(known) + 1:08d}-{uuid.uuid4().hex}"
+    rows.write.partitionBy("model").parquet(version)
+    return spark.read.schema(rows.schema).parquet(version)
