@@ -89,10 +89,19 @@ def primary(rules: list[tuple[str, Column]], other: str) -> Column:
     return out
 
 
-def secondaries(rules: list[tuple[str, Column]], never: tuple[str, ...] = ()) -> Column:
-    """Names of the other rules that hold, in order, but for those that only serve as primary."""
-    found = F.array_compact(F.array(*[F.when(holds, name) for name, holds in rules]))
-    later = F.when(F.size(found) > 1, F.slice(found, 2, len(rules))).otherwise(F.array().cast("array<string>"))
+def holding(rules: list[tuple[str, Column]]) -> Column:
+    """The names of all rules that hold, in order; each is tried once. To be kept in a column of its own before it is used twice."""
+    return F.array_compact(F.array(*[F.when(holds, name) for name, holds in rules]))
+
+
+def first_of(found: Column, other: str) -> Column:
+    """The primary category of ``holding``."""
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(other))
+
+
+def others_of(found: Column, never: tuple[str, ...] = ()) -> Column:
+    """The secondaries of ``holding``: all but the first, and but those that only serve as primary."""
+    later = F.slice(found, 2, F.greatest(F.size(found), F.lit(1)))
     return F.filter(later, lambda x: ~x.isin(*never)) if never else later
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -196,19 +200,26 @@ SELECT model, count(*) AS n, round(avg(x), 1) AS mean, round(median(x), 1) AS me
 def numeric_summary(spark: SparkSession, d: str) -> DataFrame:
     """Summary of completion tokens; the upper median and p95 are elements of the sorted values.
 
-    Values are counted first, so a group's order is taken over its distinct values and not over its rows.
+    Values are counted first. Counts of 256 cells of a group's range tell in which cells the wanted places are; only the
+    values of these cells are put in order.
     """
     counts = eligible(records(spark, d)).groupBy("model", F.col("completion_tokens").alias("x")).agg(F.count("*").alias("k"))
-    w = Window.partitionBy("model")
-    before = F.coalesce(F.sum("k").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    o = counts.withColumns({"before": before, "n": F.sum("k").over(w)})
-    holds = lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("k"))
-    at = lambda i: F.max(F.when(holds(i), F.col("x")))
-    n, s, q = F.max("n"), F.sum(F.col("x") * F.col("k")), F.sum(F.col("x").cast("double") * F.col("x") * F.col("k"))
-    middle = (at(F.expr("(n - 1) div 2")) + at(F.expr("n div 2"))) / 2
-    return o.groupBy("model").agg(
-        n.alias("n"), F.round(s / n, 1).alias("mean"), F.round(middle, 1).alias("median"), F.round(F.sqrt(q / n - (s / n) * (s / n)), 1).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), s.alias("total"),
-        at(F.expr("n div 2")).alias("upper_median"), at(F.floor(F.col("n") * 0.95)).alias("p95"),
+    x, k = F.col("x").cast("double"), F.col("k")
+    total = counts.groupBy("model").agg(F.sum("k").alias("n"), F.sum(F.col("x") * k).alias("total"), F.sum(x * x * k).alias("squares"), F.min("x").alias("min"), F.max("x").alias("max"))
+    cell = F.least(F.floor((F.col("x") - F.col("min")) * 256 / F.greatest(F.col("max") - F.col("min"), F.lit(1))), F.lit(255))
+    placed = counts.join(F.broadcast(total.select("model", "n", "min", "max")), "model").withColumn("cell", cell)
+    w = Window.partitionBy("model").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = placed.groupBy("model", "cell", "n").agg(F.sum("k").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0)))
+    places = {"low": F.expr("(n - 1) div 2"), "upper_median": F.expr("n div 2"), "p95": F.floor(F.col("n") * 0.95)}
+    wanted = F.exists(F.array(*[p.cast("long") for p in places.values()]), lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("m")))
+    few = cells.where(wanted).select("model", "cell", "before")  # three rows a model at most
+    inside = Window.partitionBy("model", "cell").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    near = placed.join(F.broadcast(few), ["model", "cell"]).withColumn("from", F.col("before") + F.coalesce(F.sum("k").over(inside), F.lit(0)))
+    found = near.groupBy("model").agg(*[F.max(F.when((F.col("from") <= p) & (p < F.col("from") + k), F.col("x"))).alias(name) for name, p in places.items()])
+    mean = F.col("total") / F.col("n")
+    return total.join(F.broadcast(found), "model").select(
+        "model", "n", F.round(mean, 1).alias("mean"), F.round((F.col("low") + F.col("upper_median")) / 2, 1).alias("median"), F.round(F.sqrt(F.col("squares") / F.col("n") - mean * mean), 1).alias("std"),
+        "min", "max", "total", "upper_median", "p95",
     )
 
 
@@ -259,12 +270,16 @@ def small_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("agg20_units_with_lineage", RECORDS_SQL + OLD_SQL + """
-SELECT model, suite, kernel, direction, bool_or(old_status = 'PASS') AS old, bool_or(passed) AS new, count(*) AS n, string_agg(record_id::VARCHAR, ',' ORDER BY record_id) AS lineage FROM tr GROUP BY 1, 2, 3, 4""")
+, c AS (SELECT model, suite, kernel, direction, bool_or(old_status = 'PASS') AS old, bool_or(passed) AS new, count(*) AS n FROM tr GROUP BY 1, 2, 3, 4)
+SELECT c.*, record_id AS contributor, row_number() OVER (PARTITION BY model, suite, kernel, direction ORDER BY record_id) AS place FROM c JOIN tr USING (model, suite, kernel, direction)""")
 def lineage(spark: SparkSession, d: str) -> DataFrame:
-    """Old and new state of every cell with the records that it comes from."""
+    """Old and new state of every cell, with the records that it comes from in order, one to a row, so that a cell may have any number."""
+    key = ["model", "suite", "kernel", "direction"]
     tr = with_old_status(eligible(records(spark, d)))
-    keys = F.array_join(F.array_sort(F.collect_list("record_id")).cast("array<string>"), ",")
-    return tr.groupBy("model", "suite", "kernel", "direction").agg(F.bool_or(F.col("old_status") == "PASS").alias("old"), F.bool_or("passed").alias("new"), F.count("*").alias("n"), keys.alias("lineage"))
+    w = Window.partitionBy(*key)
+    place = F.row_number().over(w.orderBy("record_id"))
+    cells = tr.groupBy(*key).agg(F.bool_or(F.col("old_status") == "PASS").alias("old"), F.bool_or("passed").alias("new"), F.count("*").alias("n"))
+    return cells.join(tr.select(*key, F.col("record_id").alias("contributor"), place.alias("place")), key)
 
 
 @query("agg22_run_fail_mechanism", RECORDS_SQL + OLD_SQL + """
@@ -276,16 +291,38 @@ def run_fail_mechanism(spark: SparkSession, d: str) -> DataFrame:
     return tr.withColumn("how", how).groupBy("model").pivot("how", ["timeout", "fail", "other"]).count().na.fill(0)
 
 
-@query("agg23_content_hash", "SELECT source, sha256(string_agg('doc' || doc_id || chr(9) || sha256(text) || chr(10), '' ORDER BY 'doc' || doc_id)) AS hash, count(*) AS files FROM documents GROUP BY 1")
-def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    """A hash of each tree's (path, content hash) pairs that does not depend on the order of reading.
+def content_hashes(files: DataFrame, group: str) -> DataFrame:
+    """AGG-23: (group, hash, files) of rows (group, path, sha256): the SHA-256 over lines of path and digest, sorted by path.
 
-    Only paths and digests are gathered, never contents; that list is what the format's single digest is defined over.
+    A group's lines are read in order and hashed as they come, so no list of them is held; the digest is one sequence by
+    its definition, so the groups, not their lines, are what runs side by side. Rows are reduced to path and digest before.
     """
-    path = F.concat(F.lit("doc"), "doc_id")
-    lines = F.array_sort(F.collect_list(F.struct(path.alias("p"), F.sha2("text", 256).alias("h"))))
-    joined = F.array_join(F.transform(lines, lambda x: F.concat(x["p"], F.lit("\t"), x["h"], F.lit("\n"))), "")
-    return table(spark, d, "documents").groupBy("source").agg(F.sha2(joined, 256).alias("hash"), F.count("*").alias("files"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, n, digest = None, 0, None
+        for frame in frames:
+            out = []
+            for key, path, sha in frame.itertuples(index=False):
+                if digest is None or key != current:
+                    if digest is not None:
+                        out.append((current, digest.hexdigest(), n))
+                    current, n, digest = key, 0, hashlib.sha256()
+                digest.update(f"{path}\t{sha}\n".encode())
+                n += 1
+            if out:
+                yield pd.DataFrame(out, columns=[group, "hash", "files"])
+        if digest is not None:
+            yield pd.DataFrame([(current, digest.hexdigest(), n)], columns=[group, "hash", "files"])
+
+    rows = files.select(group, "path", "sha256").repartition(group).sortWithinPartitions(group, "path")
+    return rows.mapInPandas(run, f"`{group}` {dict(files.dtypes)[group]}, hash string, files long")
+
+
+@query("agg23_content_hash", "SELECT source, sha256(string_agg('doc' || doc_id || chr(9) || sha256(text) || chr(10), '' ORDER BY 'doc' || doc_id)) AS hash, count(*) AS files FROM documents GROUP BY 1")
+def content_hash(spark: SparkSession, d: str) -> DataFrame:
+    """A hash of each tree's (path, content hash) pairs that does not depend on the order of reading."""
+    files = table(spark, d, "documents").select("source", F.concat(F.lit("doc"), "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
+    return content_hashes(files, "source")
 
 
 @query("agg24_determinism", "SELECT l_orderkey, bool_and(l_returnflag = 'N') AND count(*) > 0 AS stable FROM lineitem GROUP BY 1")
@@ -360,11 +397,40 @@ def run_metadata(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).agg(F.count("*").alias("total"), F.count_if(ok).alias("valid"), F.count_if(ok & (F.col("augment_level") == 0)).alias("canonical"), F.lit("results").alias("namespace"))
 
 
+#: What may begin the line of a definition, and what linkers say.
+DEFINITION = r"^\s*(?:__global__|__device__|__host__|static|inline|extern|void|int|float|double|unsigned|long|short|char|size_t|auto|bool|template\s*<[^>]*>)\s+.*?\b(\w+)\s*\("
+UNDEFINED, DOUBLE = r"undefined reference to [`'](\w+)'", r"(?:multiple definition of|duplicate symbol) [`'](\w+)'"
+
+
+def linker_hints(failures: DataFrame, sources: DataFrame) -> DataFrame:
+    """PRJ-18: (failure, symbol, problem, file, line, hint) for (failure, log) and (failure, position, name, content).
+
+    Names that lines of a source define are looked up by an equi-join; the first file of a failure that defines a symbol counts,
+    at the first such line.
+    """
+    both = lambda pattern, what: F.transform(F.array_distinct(F.regexp_extract_all("log", F.lit(pattern), 1)), lambda s: F.struct(s.alias("symbol"), F.lit(what).alias("problem")))
+    named = failures.select("failure", F.inline(F.concat(both(UNDEFINED, "undefined"), both(DOUBLE, "duplicate"))))
+    lines = sources.select("failure", "position", "name", F.posexplode(F.split("content", "\n")).alias("at", "text"))
+    defined = lines.withColumn("symbol", F.explode(F.regexp_extract_all("text", F.lit(DEFINITION), 1)))
+    first = defined.groupBy("failure", "symbol").agg(F.min(F.struct("position", (F.col("at") + 1).alias("line"), "name")).alias("d"))
+    j = named.join(first, ["failure", "symbol"], "left")
+    there = (F.col("problem") == "undefined") & F.col("d").isNotNull()
+    hint = F.when(F.col("problem") == "duplicate", "keep in one file").when(there, "include the definition").otherwise("not found in source files")
+    return j.select("failure", "symbol", "problem", F.when(there, F.col("d.name")).alias("file"), F.when(there, F.col("d.line")).alias("line"), hint.alias("hint"))
+
+
 @query("prj18_linker_symbols", """
-SELECT symbol, count(*) AS uses FROM (SELECT 'fn_' || (p_size % 7) AS symbol FROM part WHERE p_size % 2 = 0 UNION ALL SELECT 'dup_' || (p_size % 3) FROM part WHERE p_size % 2 = 1) GROUP BY 1""")
+SELECT p_partkey AS failure, 'fn_' || (p_size % 7) AS symbol, 'undefined' AS problem, CASE WHEN p_size % 7 < 3 THEN 'a.c' WHEN p_size % 7 < 5 THEN 'b.cu' END AS file, CASE WHEN p_size % 7 < 3 THEN p_size % 7 + 2 WHEN p_size % 7 < 5 THEN 2 END AS line,
+ CASE WHEN p_size % 7 < 5 THEN 'include the definition' ELSE 'not found in source files' END AS hint FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT p_partkey, 'dup_' || (p_size % 3), 'duplicate', NULL, NULL, 'keep in one file' FROM part WHERE p_size % 3 <> 1""")
 def linker_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Undefined and doubly defined symbols named in linker messages."""
-    message = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("/usr/bin/ld: main.o: undefined reference to `fn_"), F.col("p_size") % 7, F.lit("'"))).otherwise(F.concat(F.lit("ld: multiple definition of `dup_"), F.col("p_size") % 3, F.lit("'; a.o")))
-    found = F.array_distinct(F.regexp_extract_all(message, F.lit(r"(?:undefined reference to|multiple definition of) `([^']+)'"), 1))
-    return table(spark, d, "part").select(F.explode(found).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("uses"))
-
+    """Undefined and doubly defined symbols named in linker messages, with the source and line that defines them."""
+    k, p = F.col("p_size") % 7, table(spark, d, "part")
+    one = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("/usr/bin/ld: main.o: undefined reference to `fn_"), k, F.lit("'\nx.o: undefined reference to 'fn_"), k, F.lit("'\n"))).otherwise("")
+    two = F.when(F.col("p_size") % 3 != 1, F.concat(F.lit("ld: multiple definition of `dup_"), F.col("p_size") % 3, F.lit("'; a.o"))).otherwise("collect2: error")
+    failures = p.select(F.col("p_partkey").alias("failure"), F.concat(one, two).alias("log"))
+    entry = lambda i, name, text: F.struct(F.lit(i).alias("position"), F.lit(name).alias("name"), text.alias("content"))
+    a = F.lit("// fn_9(\nint fn_0(int x) { return fn_4(x); }\n  static float fn_1 (void);\nvoid *fn_2(\n")
+    b = F.concat(F.lit("x = fn_6(1);\n__global__ void fn_"), k, F.lit("(int a) {}\nint fn_3(void); int fn_4(void)\n"))
+    sources = p.select(F.col("p_partkey").alias("failure"), F.inline(F.array(entry(0, "a.c", a), entry(1, "b.cu", F.when(k < 5, b).otherwise("int other(void)")))))
+    return linker_hints(failures, sources)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.text import strip_comments, stripped
 from tallyforge.operators.collapse import all_pairs, any_sample, paired
 from tallyforge.plans.registry import query
 from tallyforge.sources.records import DIRECTIONS, MODELS, RECORDS_SQL, eligible, records, table
@@ -163,21 +164,44 @@ def inventory_diff(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "doc_id", "full").select("doc_id", found.alias("finding")).where("finding is not null")
 
 
-@query("joi14_band_match", """
-WITH known AS (SELECT p_partkey AS claim, round(p_retailprice, 2) AS v FROM part WHERE p_partkey <= 50), found AS (SELECT o_orderkey AS number, round(o_totalprice / 100, 2) AS v FROM orders)
-SELECT number, claim FROM (SELECT number, claim, row_number() OVER (PARTITION BY number ORDER BY claim) AS r FROM found LEFT JOIN known ON abs(found.v - known.v) < 0.15) WHERE r = 1""")
-def band_match(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers of a text matched with the first known value within 0.15; unmatched ones stay.
+def matched_claims(found: DataFrame, known: DataFrame, claims: DataFrame, width: float = 0.15) -> DataFrame:
+    """JOI-14: (number, source, claim) for numbers of a text (number, kind, value) against known values and claims (position, name, kind, value).
 
+    A percentage or interval matches the first known one that lies less than ``width`` away, a count an equal one; known
+    values come before claims, and a claim below 1 is a rate and counts a hundredfold. What matches neither is unverified.
     A band join as an equi-join: a value looks into its own and both neighbouring cells of the band's width.
     """
-    width = 0.15
-    known = table(spark, d, "part").where("p_partkey <= 50").select(F.col("p_partkey").alias("claim"), F.round("p_retailprice", 2).alias("w"))
-    found = table(spark, d, "orders").select(F.col("o_orderkey").alias("number"), F.round(F.col("o_totalprice") / 100, 2).alias("v"))
-    cell = F.floor(F.col("w") / width)
-    near = known.select("claim", "w", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    j = found.withColumn("cell", F.floor(F.col("v") / width)).join(near, "cell", "left")
-    return j.groupBy("number").agg(F.min(F.when(F.abs(F.col("v") - F.col("w")) < width, F.col("claim"))).alias("claim"))
+    listed = known.select(F.lit(0).alias("rank"), "position", "name", "kind", "value").unionByName(
+        claims.select(F.lit(1).alias("rank"), "position", "name", "kind", F.when((F.col("kind") != "count") & (F.col("value") < 1), F.col("value") * 100).otherwise(F.col("value")).alias("value"))
+    )
+    cell = F.floor(F.col("value") / width)
+    entry = F.struct("rank", "position", "name")
+    banded = listed.where("kind <> 'count'").select(entry.alias("entry"), F.col("value").alias("w"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    near = found.where("kind <> 'count'").withColumn("cell", cell).join(banded, "cell").where(F.abs(F.col("value") - F.col("w")) < width).select("number", "entry")
+    equal = found.where("kind = 'count'").join(listed.where("kind = 'count'").select(F.col("value").alias("w"), entry.alias("entry")), F.col("value") == F.col("w")).select("number", "entry")
+    best = near.unionByName(equal).groupBy("number").agg(F.min("entry").alias("entry"))
+    source = F.when(F.col("entry.rank") == 0, "known").when(F.col("entry.rank") == 1, "claim").otherwise("unverified")
+    return found.join(best, "number", "left").select("number", source.alias("source"), F.col("entry.name").alias("claim"))
+
+
+@query("joi14_band_match", """
+WITH found AS (SELECT o_orderkey AS number, CASE WHEN o_orderkey % 4 = 0 THEN 'count' ELSE 'percent' END AS kind, CASE WHEN o_orderkey % 4 = 0 THEN (o_custkey % 700)::DOUBLE ELSE round(o_totalprice / 1000, 2) END AS v FROM orders),
+ listed AS (SELECT 0 AS rank, p_partkey AS position, 'part' || p_partkey AS name, CASE WHEN p_partkey % 3 = 0 THEN 'count' ELSE 'percent' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE ELSE round(p_retailprice / 20, 2) END AS v FROM part
+  UNION ALL SELECT 1, s_suppkey, 'supp' || s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'count' ELSE 'ci' END, CASE WHEN s_suppkey % 2 = 0 THEN (s_suppkey + 50)::DOUBLE WHEN abs(round(s_acctbal / 10000, 4)) < 1 THEN abs(round(s_acctbal / 10000, 4)) * 100 ELSE abs(round(s_acctbal / 10000, 4)) END FROM supplier),
+ met AS (SELECT number, rank, position, name FROM found f JOIN listed k ON f.kind <> 'count' AND k.kind <> 'count' AND f.v > k.v - 1 AND f.v < k.v + 1 WHERE abs(f.v - k.v) < 0.15
+  UNION ALL SELECT number, rank, position, name FROM found f JOIN listed k ON f.kind = 'count' AND k.kind = 'count' AND f.v = k.v),
+ best AS (SELECT number, arg_min((rank, name), (rank, position, name)) AS e FROM met GROUP BY 1)
+SELECT found.number, CASE WHEN e IS NULL THEN 'unverified' WHEN e[1] = 0 THEN 'known' ELSE 'claim' END AS source, e[2] AS claim FROM found LEFT JOIN best USING (number)""")
+def band_match(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of a text matched with the first known value, then with claims; unmatched ones stay."""
+    o, p, s = table(spark, d, "orders"), table(spark, d, "part"), table(spark, d, "supplier")
+    count = F.col("o_orderkey") % 4 == 0
+    found = o.select(F.col("o_orderkey").alias("number"), F.when(count, "count").otherwise("percent").alias("kind"), F.when(count, (F.col("o_custkey") % 700).cast("double")).otherwise(F.round(F.col("o_totalprice") / 1000, 2)).alias("value"))
+    count = F.col("p_partkey") % 3 == 0
+    known = p.select(F.col("p_partkey").alias("position"), F.concat(F.lit("part"), "p_partkey").alias("name"), F.when(count, "count").otherwise("percent").alias("kind"), F.when(count, F.col("p_size").cast("double")).otherwise(F.round(F.col("p_retailprice") / 20, 2)).alias("value"))
+    count = F.col("s_suppkey") % 2 == 0
+    claims = s.select(F.col("s_suppkey").alias("position"), F.concat(F.lit("supp"), "s_suppkey").alias("name"), F.when(count, "count").otherwise("ci").alias("kind"), F.when(count, (F.col("s_suppkey") + 50).cast("double")).otherwise(F.abs(F.round(F.col("s_acctbal") / 10000, 4))).alias("value"))
+    return matched_claims(found, known, claims)
 
 
 def _eights(data: np.ndarray) -> np.ndarray:
@@ -259,6 +283,38 @@ def containment(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("docs"))
 
 
+def violations(requests: DataFrame, forbidden: DataFrame, allowed: DataFrame) -> DataFrame:
+    """JOI-15: (doc_id, category, item_id, chars) for requests (doc_id, text) that show a forbidden snippet (item_id, category, text).
+
+    A snippet counts as it is and without its comments, both trimmed, whatever its length, unless an allowed text
+    (doc_id, text) holds that form. Of two forms that show, the longer is told.
+    """
+    forms = F.array_distinct(F.array(stripped(F.col("text")), stripped(strip_comments(F.col("text")))))
+    listed = forbidden.where("text is not null").select("item_id", "category", F.explode(forms).alias("text")).where("text <> ''").withColumn("form", F.sha2("text", 256))
+    distinct = listed.select(F.col("form").alias("item_id"), "text").dropDuplicates(["item_id"])
+    held = contained(allowed, distinct).select(F.col("item_id").alias("form")).distinct()
+    shown = contained(requests, distinct).withColumnRenamed("item_id", "form").join(held, "form", "left_anti")
+    return shown.join(listed, "form").groupBy("doc_id", "category", "item_id").agg(F.max(F.length("text")).alias("chars"))
+
+
+_SNIPPETS_SQL = """
+, snip AS (SELECT item_id, 'reference' AS category, text FROM benchmark UNION ALL SELECT item_id + 100000, 'oracle', substr(text, 4, 9) FROM benchmark UNION ALL SELECT 300000, 'oracle', 'the' UNION ALL SELECT 300001, 'oracle', 'xq9'),
+ form AS (SELECT item_id, category, regexp_replace(text, '^\s+|\s+$', '', 'g') AS v FROM snip)"""
+
+
+@query("joi15_visibility", "WITH z AS (SELECT 1)" + _SNIPPETS_SQL + """
+SELECT doc_id, category, item_id, max(length(v)) AS chars FROM documents d JOIN form ON contains(d.text, v) WHERE v <> '' AND NOT EXISTS (SELECT 1 FROM conversations c WHERE contains(c.text, v)) GROUP BY 1, 2, 3""")
+def visibility(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that show what they should not: whole items and short ones that begin within words, but for what conversations hold anyway; half the items are asked for with a comment around them."""
+    b = table(spark, d, "benchmark")
+    commented = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("/* from here */"), "text", F.lit("// no more"))).otherwise(F.col("text"))
+    kind = dict(b.dtypes)["item_id"]
+    listed = b.select("item_id", F.lit("reference").alias("category"), commented.alias("text")).unionByName(b.select((F.col("item_id") + 100000).alias("item_id"), F.lit("oracle").alias("category"), F.substring("text", 4, 9).alias("text")))
+    listed = listed.unionByName(spark.createDataFrame([(300000, "oracle", "the"), (300001, "oracle", "xq9")], f"item_id {kind}, category string, text string"))
+    allowed = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "text")
+    return violations(table(spark, d, "documents").select("doc_id", "text"), listed, allowed)
+
+
 @query("joi16_registry_anti_join", RECORDS_SQL + """
 SELECT DISTINCT source_spec, target_spec FROM rec WHERE (source_spec, target_spec) NOT IN (SELECT source_spec, target_spec FROM allrec WHERE record_id % 50 = 0)""")
 def registry_anti(spark: SparkSession, d: str) -> DataFrame:

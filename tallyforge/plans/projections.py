@@ -98,6 +98,61 @@ def derivations(spark: SparkSession, d: str) -> DataFrame:
     return entries.select(F.size("e").cast("long").alias("len"), F.round(F.array_max(rates) - F.array_min(rates), 6).alias("diff"), F.round(F.array_max(F.transform(rates, lambda r: F.abs(r - F.col("e")[0]["rate"]))), 6).alias("max_abs_gap"))
 
 
+def scalar(doc: Column, path: str) -> Column:
+    """PRJ-10: the number at a path, or in the member ``value`` of an object there; null if there is neither."""
+    return F.coalesce(F.try_variant_get(doc, f"{path}.value", "double"), F.try_variant_get(doc, path, "double"))
+
+
+def required(value: Column, what: str) -> Column:
+    """PRJ-10: the value; the query stops where it is missing."""
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"no value: {what}")).cast("double"))
+
+
+def derived(doc: Column, recipe: dict) -> Column:
+    """PRJ-10: a derivation over a document, as text: len, diff, max_abs_gap (a component of the entry, if ``field`` is given), index_field, top_n_items."""
+    op, path = recipe["op"], recipe.get("path", "$")
+    entries = F.try_variant_get(doc, path, "array<map<string,double>>")
+    if op == "len":
+        return F.coalesce(F.size(F.try_variant_get(doc, path, "array<variant>")), F.size(F.try_variant_get(doc, path, "map<string,variant>"))).cast("string")
+    if op == "diff":
+        return F.round(scalar(doc, recipe["minuend"]) - scalar(doc, recipe["subtrahend"]), 6).cast("string")
+    if op == "max_abs_gap":
+        gap = lambda x: F.abs(x[recipe["forward"]] - x[recipe["reverse"]])
+        widest = F.array_max(F.transform(entries, gap))
+        best = F.get(F.filter(entries, lambda x: gap(x) == widest), F.lit(0))  # the first of equal ones
+        return F.round(best[recipe["field"]] if recipe.get("field") else best[recipe["forward"]] - best[recipe["reverse"]], 6).cast("string")
+    if op == "index_field":
+        return F.get(entries, F.lit(recipe["index"]))[recipe["field"]].cast("string")
+    if op == "top_n_items":
+        pairs = F.map_entries(F.try_variant_get(doc, path, "map<string,long>"))
+        order = F.array_sort(F.transform(pairs, lambda x: F.struct((-x["value"]).alias("n"), x["key"].alias("k"))))
+        return F.array_join(F.transform(F.slice(order, 1, recipe["n"]), lambda x: F.concat(x["k"], F.lit("="), (-x["n"]).cast("string"))), ",")
+    raise ValueError(f"unknown derivation op: {op!r}")
+
+
+@query("prj10_derivation_recipes", """
+SELECT p_partkey, op, value FROM (SELECT p_partkey, p_size AS s FROM part), LATERAL (VALUES ('len', '3'), ('diff', CASE WHEN s % 3 = 0 THEN NULL ELSE ((s + 1.5) - s)::DOUBLE::VARCHAR END),
+ ('max_abs_gap', (CASE WHEN s >= 20 THEN s::DOUBLE ELSE -20.0::DOUBLE END)::VARCHAR), ('max_abs_gap.field', (CASE WHEN s >= 20 THEN s + 1.0::DOUBLE ELSE 0.0::DOUBLE END)::VARCHAR), ('index_field', (s + 1.0::DOUBLE)::VARCHAR), ('index_field.beyond', NULL),
+ ('top_n_items', CASE WHEN s > 7 THEN 'build=' || s || ',alpha=7' WHEN s = 7 THEN 'alpha=7,build=7' ELSE 'alpha=7,run=7' END), ('required', (s + 1.5)::DOUBLE::VARCHAR)) t(op, value)""")
+def derivation_recipes(spark: SparkSession, d: str) -> DataFrame:
+    """All derivations over a document of each part; metrics may be numbers or objects with a value, and one may be missing."""
+    s = F.col("p_size").cast("string")
+    second = F.when(F.col("p_size") % 3 == 0, '"b": {"n": 1}').otherwise(F.concat(F.lit('"b": '), s))
+    text = F.concat(
+        F.lit('{"a": {"value": '), s, F.lit('.0, "n": 2}, "c": {"value": '), (F.col("p_size") + 1.5).cast("string"), F.lit("}, "), second, F.lit(', "gaps": [{"f": '), s, F.lit('.5, "r": 0.5, "p": '), (F.col("p_size") + 1).cast("string"),
+        F.lit('}, {"f": 0, "r": 20, "p": 0}, {"f": 3, "r": 3, "p": 9}], "kinds": {"run": 7, "build": '), s, F.lit(', "alpha": 7}}'),
+    )
+    gap = {"op": "max_abs_gap", "path": "$.gaps", "forward": "f", "reverse": "r"}
+    recipes = {
+        "len": {"op": "len", "path": "$.gaps"}, "diff": {"op": "diff", "minuend": "$.c", "subtrahend": "$.b"}, "max_abs_gap": gap, "max_abs_gap.field": gap | {"field": "p"},
+        "index_field": {"op": "index_field", "path": "$.gaps", "index": 0, "field": "p"}, "index_field.beyond": {"op": "index_field", "path": "$.gaps", "index": 3, "field": "p"}, "top_n_items": {"op": "top_n_items", "path": "$.kinds", "n": 2},
+    }
+    docs = table(spark, d, "part").select("p_partkey", F.parse_json(text).alias("doc"))
+    made = [F.struct(F.lit(k).alias("op"), derived(F.col("doc"), r).alias("value")) for k, r in recipes.items()]
+    made.append(F.struct(F.lit("required").alias("op"), required(scalar(F.col("doc"), "$.c"), "c").cast("string").alias("value")))
+    return docs.select("p_partkey", F.inline(F.array(*made)))
+
+
 def token_bound(size: Column, messages: int, bytes_per_token: float = 1.0, overhead: int = 8) -> Column:
     """PRJ-20: no fewer tokens than a prompt of so many UTF-8 bytes can have; a token covers a byte at least."""
     if not 0 < bytes_per_token <= 1 or overhead < 8:

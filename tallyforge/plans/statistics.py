@@ -127,12 +127,21 @@ def trend(spark: SparkSession, d: str) -> DataFrame:
     return s.select("direction", F.round("z", 6).alias("z"), F.round(F.coalesce(stats.normal_two_sided(F.col("z")), F.lit(1.0)), 5).alias("p"), way.alias("trend"))
 
 
-def average_rank(df: DataFrame, group: list[str], x: str, out: str) -> DataFrame:
-    """Average ranks within groups from counts of distinct values, joined back; no sort of all rows."""
-    values = df.groupBy(*group, x).agg(F.count("*").alias("_k"))
-    before = F.coalesce(F.sum("_k").over(Window.partitionBy(*group).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.select(*group, x, (before + (F.col("_k") + 1) / 2).alias(out))
-    return df.join(ranks, [*group, x])
+def with_rank(values: DataFrame, group: list[str], x: str, k: str, out: str, cells: int = 256) -> DataFrame:
+    """Adds ``out``, the average rank of each distinct ``x`` in its group; ``k`` is how many rows have it.
+
+    The range of a group's values is cut into ``cells``; a small table of their counts gives every cell its first rank, so
+    values are ordered within cells alone and no task orders a group.
+    """
+    ends = values.groupBy(*group).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    cell = F.least(F.floor((F.col(x) - F.col("_lo")) * cells / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1))), F.lit(cells - 1))
+    placed = values.join(F.broadcast(ends), group).withColumn("_cell", cell).drop("_lo", "_hi")  # as many rows as groups
+    sizes = placed.groupBy(*group, "_cell").agg(F.sum(k).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*group, "_cell", before.alias("_first"))
+    own = F.coalesce(F.sum(k).over(Window.partitionBy(*group, "_cell").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = placed.withColumn("_own", own).join(F.broadcast(starts), [*group, "_cell"])  # at most ``cells`` rows a group
+    return ranked.withColumn(out, F.col("_first") + F.col("_own") + (F.col(k) + 1) / 2).drop("_cell", "_own", "_first")
 
 
 @query("sta09_spearman", RECORDS_SQL + """
@@ -140,11 +149,22 @@ def average_rank(df: DataFrame, group: list[str], x: str, out: str) -> DataFrame
         rank() OVER (PARTITION BY direction ORDER BY completion_tokens) + (count(*) OVER (PARTITION BY direction, completion_tokens) - 1) / 2.0 AS y FROM rec)
 SELECT direction, round(corr(x, y), 4) AS rho, count(*) AS n FROM r GROUP BY 1""")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
-    """Spearman's correlation of prompt and completion tokens with average ranks for ties."""
-    rows = eligible(records(spark, d)).select("direction", "prompt_tokens", "completion_tokens")
-    ranked = average_rank(average_rank(rows, ["direction"], "prompt_tokens", "x"), ["direction"], "completion_tokens", "y")
-    n = F.count("*")
-    return ranked.groupBy("direction").agg(F.round(F.when(n >= 3, F.nanvl(F.corr("x", "y"), F.lit(None))), 4).alias("rho"), n.alias("n"))
+    """Spearman's correlation of prompt and completion tokens with average ranks for ties.
+
+    Records are counted by their pair of values once; ranks of either value come from counts of that table.
+    """
+    pairs = eligible(records(spark, d)).groupBy("direction", "prompt_tokens", "completion_tokens").agg(F.count("*").alias("k"))
+    ranked = pairs
+    for x, out in (("prompt_tokens", "x"), ("completion_tokens", "y")):
+        values = pairs.groupBy("direction", x).agg(F.sum("k").alias("k"))
+        ranked = ranked.join(with_rank(values, ["direction"], x, "k", out).select("direction", x, out), ["direction", x])
+    k, x, y = F.col("k"), F.col("x"), F.col("y")
+    n = F.sum(k)
+    sums = ranked.groupBy("direction").agg(n.alias("n"), F.sum(k * x * y).alias("xy"), F.sum(k * x * x).alias("xx"), F.sum(k * y * y).alias("yy"))
+    mean = (F.col("n") + 1) / 2
+    spread = lambda c: F.col(c) - F.col("n") * mean * mean
+    rho = F.when((F.col("n") >= 3) & (spread("xx") > 0) & (spread("yy") > 0), spread("xy") / F.sqrt(spread("xx") * spread("yy")))
+    return sums.select("direction", F.round(rho, 4).alias("rho"), "n")
 
 
 @query("sta10_pearson", RECORDS_SQL + "SELECT model, round(corr(prompt_tokens, completion_tokens), 6) AS r, count(*) AS n, true AS p_in_range FROM rec GROUP BY 1")

@@ -133,7 +133,7 @@ def test_taxonomy_order_direction_and_secondaries(spark):
     def build(log, direction, files):
         made = F.map_from_arrays(F.array(*[F.lit(k) for k in files]), F.array(*[F.lit(v) for v in files.values()])) if files else F.create_map().cast("map<string,string>")
         rules = X.build_rules(F.lit(log), F.lit(direction), made)
-        return one(spark, X.primary(rules, "other_build")), one(spark, X.secondaries(rules))
+        return one(spark, X.primary(rules, "other_build")), one(spark, X.others_of(X.holding(rules)))
 
     assert build("CUDAMALLOC undeclared", "cuda-to-omp", {"a.c": "#pragma omp parallel"}) == ("retained_cuda_api", ["undeclared_identifier"])
     assert build("cudaMalloc undeclared", "omp-to-cuda", {"a.cu": "k<<<1, 1>>>()"}) == ("undeclared_identifier", [])
@@ -143,7 +143,7 @@ def test_taxonomy_order_direction_and_secondaries(spark):
 
     def run(code, err, out):
         rules = X.run_rules(F.lit(code).cast("int"), F.lit(err), F.lit(out))
-        return one(spark, X.primary(rules, "other_runtime")), one(spark, X.secondaries(rules, ("wrong_exit_code",)))
+        return one(spark, X.primary(rules, "other_runtime")), one(spark, X.others_of(X.holding(rules), ("wrong_exit_code",)))
 
     assert run(-11, "", "") == ("segfault", [])
     assert run(1, "Aborted", "Usage: x") == ("wrong_args", ["abort"])
