@@ -157,13 +157,6 @@ def path_resolution(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(listed, lambda f: F.concat_ws("/", F.lit(root), "p_brand", f)), ",").alias("paths"))
 
 
-@query("src18_language_tiers", "SELECT doc_id, CASE WHEN text LIKE '%idiot%' THEN 2 WHEN text LIKE '%the%' THEN 1 ELSE 0 END AS tier FROM documents")
-def language_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """The highest tier of patterns that a source has."""
-    tiers = F.array(F.when(F.col("text").rlike("the"), 1), F.when(F.col("text").rlike("idiot"), 2))
-    return table(spark, d, "documents").select("doc_id", F.coalesce(F.array_max(tiers), F.lit(0)).alias("tier"))
-
-
 @query("src19_payload", """
 SELECT p_partkey AS key, 'a' AS name, CASE WHEN p_size % 2 = 0 THEN 'int a' || p_size ELSE '<FILE NOT FOUND: a' || p_partkey || '>' END AS content FROM part""")
 def payload(spark: SparkSession, d: str) -> DataFrame:
