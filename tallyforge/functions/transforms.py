@@ -39,7 +39,7 @@ _REAL = frozenset("float double".split())
 #: Binary operators by how tightly they bind.
 _BINDS = {op: k for k, ops in enumerate(("||", "&&", "|", "^", "&", "== !=", "< > <= >=", "<< >>", "+ -", "* / %")) for op in ops.split()}
 _TOKEN = re.compile(
-    r"(?P<skip>//[^\n]*|/\*.*?(?:\*/|\Z)|\s+)|(?P<directive>^[ \t]*\#(?:\\\n|[^\n])*)|(?P<text>\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?)|(?P<name>[A-Za-z_]\w*)|(?P<number>\.?\d(?:[eEpP][+-]|[\w.])*)"
+    r"(?P<skip>//[^\n]*|/\*.*?(?:\*/|\Z)|\s+)|(?P<directive>\#(?:\\\n|[^\n])*)|(?P<text>\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?)|(?P<name>[A-Za-z_]\w*)|(?P<number>\.?\d(?:[eEpP][+-]|[\w.])*)"
     r"|(?P<mark><<<|>>>|<<=|>>=|\.\.\.|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^]=|.)", re.S | re.M,
 )
 
@@ -68,6 +68,8 @@ class Program:
     match: dict[int, int] = field(default_factory=dict)  # a bracket's partner
     functions: list[Function] = field(default_factory=list)
     variables: dict[tuple[str, str], tuple[str, bool]] = field(default_factory=dict)  # (function or "", name): type, whether a pointer or array
+    types: set[str] = field(default_factory=set)  # names that typedefs make
+    members: set[int] = field(default_factory=set)  # tokens in the bodies of structures
     faults: int = 0
 
     def __post_init__(self) -> None:
@@ -90,6 +92,16 @@ class Program:
                 else:
                     self.faults += 1
         self.faults += len(open_)
+        for i, t in enumerate(self.tokens):
+            if t.text in ("struct", "union", "enum"):
+                at = i + 1 + (self.text(i + 1) != "{")
+                if self.text(at) == "{" and at in self.match:
+                    self.members.update(range(at, self.match[at] + 1))
+            elif t.text == "typedef":
+                end = i
+                while end < len(self.tokens) and self.text(end) != ";":
+                    end = self.match.get(end, end) + 1
+                self.types.add(self.text(end - 1))
         self._functions()
         self._declarations()
 
@@ -118,11 +130,14 @@ class Program:
         return next((f.name for f in self.functions if f.head <= i <= f.closed), "")
 
     def _declarations(self) -> None:
-        aliases = {x for x, _ in self.aliases()}
+        aliases = self.types
+        for i in range(1, len(self.tokens) - 1):  # of a structure, after its body
+            if self.text(i - 1) == "}" and i - 1 in self.members and self.tokens[i].kind == "name" and self.text(i) not in _KEYWORDS | aliases and self.text(i + 1) in (";", ",", "=", "["):
+                self.variables[self.owner(i), self.text(i)] = ("struct", self.text(i + 1) == "[")
         i = 0
         while i < len(self.tokens):
             before = self.text(i - 1)
-            if not (self.tokens[i].text in _TYPE_WORDS | _QUALIFIERS | aliases and (i == 0 or before in ("{", "}", ";", "(", ",", ")", ":") or self.tokens[i - 1].kind != "mark")):
+            if i in self.members or not (self.tokens[i].text in _TYPE_WORDS | _QUALIFIERS | aliases and (i == 0 or before in ("{", "}", ";", "(", ",", ")", ":") or self.tokens[i - 1].kind != "mark")):
                 i += 1
                 continue
             words = []
@@ -200,6 +215,8 @@ def _operand(p: Program, i: int, step: int, binds: int) -> int:
 
 def _prefix(p: Program, i: int) -> bool:
     """Whether an operator stands before its only operand."""
+    if p.text(i - 1) == ")" and p.text(p.match.get(i - 1, 0) - 1) in ("if", "while", "for", "switch"):
+        return True
     return i == 0 or (p.tokens[i - 1].kind == "mark" and p.text(i - 1) not in (")", "]")) or p.text(i - 1) in ("return", "case", "else")
 
 
@@ -278,7 +295,7 @@ def renamed(p: Program) -> Iterator[list[Edit]]:
         f = next((x for x in p.functions if x.name == owner), None)
         if f is None or name in spoken:
             continue
-        at = [k for k in range(f.head, f.closed) if p.tokens[k].kind == "name" and p.text(k) == name and not p.member(k) and p.text(k + 1) != "("]
+        at = [k for k in range(f.head, f.closed) if p.tokens[k].kind == "name" and p.text(k) == name and not p.member(k) and k not in p.members and p.text(k + 1) != "("]
         if len(at) > 1:
             new = next(fresh)
             yield [(p.tokens[k].start, p.tokens[k].end, new) for k in at]
@@ -312,7 +329,7 @@ def applied(code: str, edits: list[Edit]) -> str:
 def faults(code: str) -> int:
     """Unbalanced brackets, open texts, and names used as variables that nothing declares."""
     p = Program(code)
-    known = {n for _, n in p.variables} | _KEYWORDS | {f.name for f in p.functions} | {x for x, _ in p.aliases()} | set(re.findall(r"\w+", p.directives))
+    known = {n for _, n in p.variables} | _KEYWORDS | {f.name for f in p.functions} | p.types | {p.text(i) for i in p.members} | {p.text(i + 1) for i, t in enumerate(p.tokens) if t.text in ("struct", "union", "enum")} | set(re.findall(r"\w+", p.directives))
     loose = {t.text for i, t in enumerate(p.tokens) if t.kind == "name" and t.text not in known and p.text(i + 1) != "(" and not p.member(i)}
     return p.faults + len(loose)
 

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import ids, stats, text, transforms
 from tallyforge.operators import verify
+from tallyforge.plans import projections
+from tallyforge.plans.statistics import with_rank
 from tallyforge.plans.texts import lines_agree
+from tallyforge.sources import files
+from tallyforge.streaming import campaign
 
 
 def one(spark, column):
@@ -101,6 +105,7 @@ def test_verification_lattice():
         ({"type": "stdout_pattern", "pattern": "^Test", "multiline": True}, "PASS"), ({"type": "stdout_pattern", "pattern": "^Test"}, "FAIL"), ({"type": "stdout_pattern", "pattern": "("}, "ERROR"), ({"type": "stdout_pattern", "pattern": ""}, "ERROR"),
         ({"type": "stdout_exclude_pattern", "pattern": "FAIL"}, "PASS"), ({"type": "numeric_comparison", "pattern": r"err=(\S+)", "expected": 0.5, "tolerance": 0}, "PASS"),
         ({"type": "numeric_comparison", "pattern": r"err=(\S+)", "expected": "nan", "tolerance": 0}, "ERROR"), ({"type": "numeric_comparison", "pattern": r"err=(\S+)", "expected": 1, "tolerance": -1}, "ERROR"),
+        ({"type": "numeric_comparison", "pattern": r"err=(\S+)", "expected": 0.5}, "PASS"), ({"type": "numeric_comparison", "pattern": r"err=(\S+)", "expected": 0.6}, "FAIL"), ({"type": "numeric_comparison", "pattern": r"err=(\S+)", "expected": 0.5, "tolerance": True}, "ERROR"),
         ({"type": "numeric_comparison", "pattern": "zzz", "expected": 1, "tolerance": 1}, "FAIL"), ({"type": "file_hash", "path": "out.txt", "sha256": "a" * 64}, "PASS"), ({"type": "file_hash", "path": "../x", "sha256": "a" * 64}, "FAIL"),
         ({"type": "file_diff", "path": "../x", "sha256": "a" * 64}, "ERROR"), ({"type": "file_hash", "path": "none", "sha256": "a" * 64}, "FAIL"), ({"type": "telepathy"}, "ERROR"),
     ]
@@ -115,16 +120,135 @@ def test_tolerant_lines(spark):
         assert one(spark, lines_agree(F.lit(a), F.lit(b), 1e-5)) is want
 
 
+PROGRAM = """#include <stdio.h>
+#define LIMIT(x) ((x) < 8)
+typedef unsigned int count_t;
+typedef int real;
+static int twice(int x) { return x * 2; }
+static int spelled(int x) { return x; }
+int open(int x) { return x; }
+int main(void) {
+  count_t total = 7; real r = 1;
+  int i = 0, j, k = LIMIT(i);
+  float f = 1.5;
+  int a[8], *p = a;
+  struct point { int x; } q; q.x = 3;
+  #pragma omp parallel for private(j)
+  for (j = 0; j != i; j += 1) total -= a[j] * 2;
+  while (i < 10 && twice(i) > 3) {
+    total += i * 3; // total += 1
+    i = i + 1; f = f - 1.0; f -= 2; i = i - j - 1; i = i - j * 2;
+    if (total >= 5 || (i = j) < 3) *(p + i) = *(2 + a) + *(p + f) * i;
+    printf("total += %d; spelled *(p + i) '", total); /* i = i + 1; */
+  }
+  return twice(total) + open(spelled(k));
+}
+"""
+
+
+@pytest.mark.parametrize(
+    "name, changes",
+    [
+        ("ArithmeticTransform", {"total -= a[j] * 2;": "total = total - (a[j] * 2);", "total += i * 3; //": "total = total + (i * 3); //", "i = i + 1; f =": "i += 1; f =", "f -= 2;": "f = f - (2);", "i = i - j * 2;": "i -= j * 2;"}),
+        ("SwapCondition", {"j != i": "i != j", "i < 10": "10 > i", "total >= 5": "5 <= total"}),
+        ("PointerArithmeticToArrayIndex", {"*(p + i) = *(2 + a)": "(p)[i] = (a)[2]"}),
+        ("TypedefExpansion", {"  count_t total": "  unsigned int total"}),
+        ("ChangeFunctionNames", {"static int twice": "static int fn1", "&& twice(i)": "&& fn1(i)", "return twice": "return fn1"}),
+    ],
+)
+def test_each_transform(name, changes):
+    want = PROGRAM
+    for old, new in changes.items():
+        assert want.count(old) == 1
+        want = want.replace(old, new)
+    assert transforms.rewritten(PROGRAM, name, 1.0, "s") == want
+    assert transforms.faults(PROGRAM) == transforms.faults(want) == 0
+
+
+def test_renaming_leaves_texts_members_and_directives():
+    out = transforms.rewritten(PROGRAM, "ChangeNames", 1.0, "s")
+    assert "total += %d; spelled *(p + i) '" in out and "/* i = i + 1; */" in out and "q.x = 3" not in out and ".x = 3" in out and "int x; }" in out and "private(j)" in out and "j != " in out
+    assert transforms.faults(out) == 0 and "count_t total" not in out and "twice(" in out and "// total += 1" in out
+    back = transforms.Program(out)
+    assert len(back.tokens) == len(transforms.Program(PROGRAM).tokens)
+
+
 def test_transforms_keep_opaque_text_and_are_deterministic():
-    rng = random.Random(1)
-    code = 'int i = 0;\nfor (; i < 9; i++) { x += 2; /* i++; */ puts("NULL i++;"); }\nwhile (1) { p = NULL; }\n'
-    for _ in range(30):
+    rng, seen = random.Random(1), {k: set() for k in range(1, 5)}
+    for _ in range(40):
         seed, level = str(rng.random()), rng.randint(1, 4)
-        out, names = transforms.transformed(code, level, seed)
-        assert (out, names) == transforms.transformed(code, level, seed) and names and out != code
-        assert 'puts("NULL i++;")' in out and "/* i++; */" in out
-    assert transforms.transformed(code, 0, "s") == (code, [])
-    assert len(transforms.candidates(code)) == 5
+        out, names = transforms.transformed(PROGRAM, level, seed)
+        assert (out, names) == transforms.transformed(PROGRAM, level, seed) and names and out != PROGRAM and transforms.faults(out) == 0
+        assert '"total += %d; spelled *(p + i) \'"' in out and "/* i = i + 1; */" in out
+        assert len(names) == {1: 1, 2: 1, 3: 3, 4: 6}[level]
+        seen[level] |= set(names)
+        once, one_name = transforms.single(PROGRAM, seed)
+        assert len(one_name) == 1 and once == transforms.rewritten(PROGRAM, one_name[0], 1.0, seed)
+    assert len(seen[4]) == 6 and len(seen[1]) > 2 and len(seen[3]) > 4
+    assert transforms.transformed(PROGRAM, 0, "s") == (PROGRAM, []) and transforms.transformed("", 4, "s") == ("", [])
+    for odd in ("int i = 0; i += 1", "}{)(", '"open', "/* open", "int x; x = x + ; (x + ", "typedef", "for (;;)", "#", "int int int"):
+        transforms.transformed(odd, 4, "s")
+
+
+def test_rewrites_that_make_faults_are_taken_back(monkeypatch):
+    spoil = lambda p: iter([[(0, 0, "(")], [(4, 5, "z")]])
+    monkeypatch.setitem(transforms.TRANSFORMS, "SwapCondition", spoil)
+    assert transforms.rewritten("int a;", "SwapCondition", 1.0, "s") == "int z;"
+
+
+@pytest.mark.parametrize(
+    "request_, want",
+    [((100, 50, 50), ("granted", 100)), ((950, 10, 10), ("budget", 50)), ((901, 1, 1), ("budget", 99)), ((900, 10, 10), ("granted", 100)), ((100, 101, 1), ("violation", 100)), ((100, 60, 141), ("violation", 100)), ((100, 60, 140), ("granted", 100))],
+)
+def test_budget_decisions(request_, want):
+    protocol = campaign.Protocol(budget=1000, response_limit=100, least_response=100, attempts=2)
+    what, cap, used, started = campaign.decide(protocol, 0, 0, *request_)
+    assert (what, cap) == want and used == (request_[1] + request_[2] if what == "granted" else 0) and started == (what in ("granted", "violation"))
+    assert campaign.decide(protocol, 0, 2, 100, 1, 1) == ("attempts", 100, 0, 2) and campaign.decide(protocol, 950, 2, 100, 1, 1)[0] == "budget"
+
+
+def test_refused_requests_cost_nothing(spark):
+    rows = [("a", k, n, n, 0) for k, n in enumerate((60_000, 60_000, 30_000, 5_000))] + [("b", 9, 1, 1, 1)]
+    made = campaign.budgeted(spark.createDataFrame(rows, "trajectory string, request long, estimate long, prompt long, completion long"), campaign.Protocol(100_000, 10_000, 1, 3)).collect()
+    assert {(r.trajectory, r.request, r.decision) for r in made} == {("a", 0, "granted"), ("a", 1, "budget"), ("a", 2, "granted"), ("a", 3, "granted"), ("b", 9, "granted")}
+
+
+def test_upsert_keeps_what_it_does_not_replace(spark, tmp_path):
+    kind, path = "model string, key string, overall_status string, at int", str(tmp_path / "stored")
+    rows = lambda *x: spark.createDataFrame(list(x), kind)
+    files.upsert(rows(("m", "k1", "PASS", 1), ("m", "k2", "FAIL", 1), ("n", "k1", "PASS", 2)), path, ["model", "key"], "at")
+    files.upsert(rows(("m", "k1", "FAIL", 0), ("m", "k1", "PASS", -1)), path, ["model", "key"], "at")
+    (tmp_path / "stored" / "v-00000009-unfinished").mkdir()
+    got = files.upsert(rows(("o", "k9", "PASS", 5)), path, ["model", "key"], "at")
+    assert {(r.model, r.key, r.overall_status, r.lost_pass) for r in got.collect()} == {("m", "k1", "FAIL", False), ("m", "k2", "FAIL", False), ("n", "k1", "PASS", False), ("o", "k9", "PASS", False)}
+    again = files.upsert(rows(("n", "k1", "FAIL", 0)), path, ["model", "key"], "at")
+    assert {(r.model, r.key) for r in again.where("lost_pass").collect()} == {("n", "k1")} and again.count() == 4
+
+
+def test_a_transient_record_is_written_again(spark, tmp_path):
+    kind = "key string, status string"
+    for k, rows in enumerate(([("a", "TIMEOUT"), ("b", "PASS")], [("a", "PASS"), ("b", "FAIL")], [("a", "FAIL")])):
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(str(tmp_path / "in"))
+        campaign.resumable(campaign.record_stream(spark, str(tmp_path / "in"), kind), str(tmp_path / "out"), str(tmp_path / "checkpoint"), ["key"], "status = 'TIMEOUT'")
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [("a", "PASS"), ("a", "TIMEOUT"), ("b", "PASS")]
+
+
+def test_average_ranks_of_any_distribution(spark):
+    rng = random.Random(5)
+    groups = {"a": [rng.randint(0, 9) for _ in range(200)], "b": [int(10 ** rng.uniform(0, 9)) for _ in range(300)], "c": [7], "d": [-5, -5, 3]}
+    values = spark.createDataFrame([(g, x, xs.count(x)) for g, xs in groups.items() for x in sorted(set(xs))], "g string, x long, k long")
+    for r in with_rank(values, ["g"], "x", "k", "rank").collect():
+        xs = groups[r.g]
+        assert r["rank"] == sum(v < r.x for v in xs) + (xs.count(r.x) + 1) / 2
+
+
+def test_missing_values_stop_the_query(spark):
+    doc = F.parse_json(F.lit('{"a": {"value": 2}, "b": {}}'))
+    assert one(spark, projections.required(projections.scalar(doc, "$.a"), "a")) == 2
+    with pytest.raises(Exception, match="no value: b"):
+        one(spark, projections.required(projections.scalar(doc, "$.b"), "b"))
+    with pytest.raises(ValueError):
+        projections.derived(doc, {"op": "guess"})
 
 
 def test_taxonomy_order_direction_and_secondaries(spark):
