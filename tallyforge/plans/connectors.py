@@ -38,8 +38,7 @@ def manifest_lenient(spark: SparkSession, d: str) -> DataFrame:
     good = _manifest_rows(spark, d).select(F.to_json(F.struct("*")).alias("value"))
     good.unionAll(spark.createDataFrame([("{broken",), ('{"kernel_name": ',)], "value string")).write.text(f"{path}/lines")
     spark.range(4).select(F.concat(F.lit("s"), "id", F.lit(".json")).alias("n"), F.lit("{}").alias("value")).write.partitionBy("n").text(f"{path}/specs")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/specs").select(F.regexp_extract("path", r"n=([^/]+)/", 1).alias("spec_file")).distinct()
-    return S.manifest(spark, f"{path}/lines", strict=False).join(listed, "spec_file", "left_semi")
+    return S.existing(S.manifest(spark, f"{path}/lines", strict=False), f"{path}/specs")
 
 
 def _documents_as_files(df: DataFrame, path: str) -> None:
@@ -54,11 +53,7 @@ def spec_index(spark: SparkSession, d: str) -> DataFrame:
     path = S.workspace(spark, "specs")
     body = F.when(F.col("id") == 3, "{\n broken").when(F.col("id") == 4, '{\n "identity": {}\n}').otherwise(F.concat(F.lit('{\n "identity": {"unique_id": "u'), F.col("id") % 8, F.lit('"}\n}')))
     _documents_as_files(spark.range(10).select(F.concat(F.lit("spec"), "id").alias("name"), body.alias("value")), path)
-    docs = spark.read.schema("identity struct<unique_id:string>, _corrupt string").option("multiLine", True).option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    named = docs.select(F.regexp_extract("_metadata.file_path", r"name=([^/]+)/", 1).alias("file"), F.col("identity.unique_id").alias("unique_id"), F.col("_corrupt").isNotNull().alias("bad"))
-    nth = F.row_number().over(Window.partitionBy("unique_id").orderBy("file"))
-    problem = F.when(F.col("bad"), "malformed").when(F.col("unique_id").isNull(), "missing id").when(F.col("nth") > 1, "duplicate id")
-    return named.withColumn("nth", nth).select("file", "unique_id", problem.alias("problem"))
+    return S.spec_index(spark, path)
 
 
 def _write_results(spark: SparkSession, d: str, path: str) -> None:

@@ -6,11 +6,13 @@ lives in paths comes from ``_metadata.file_path``.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
 from pathlib import Path
 
@@ -29,10 +31,10 @@ RECORD = (
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder for files that executors and the driver share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder, under that of spark.checkpoint.dir, for files that executors and the driver share; on one machine alone, as in tests, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "tallyforge-files")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -43,27 +45,23 @@ def manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return spark.read.schema(MANIFEST).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
-def existing(entries: DataFrame, path: str, glob: str = "*") -> DataFrame:
-    """SRC-02: entries whose spec_file is among the files under ``path``; a listing, no file is opened."""
-    there = entries.sparkSession.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    names = there.select(F.element_at(F.split("path", "/"), -1).alias("spec_file"))
-    return entries.join(names, "spec_file", "left_semi")
-
-
-def specs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """SRC-03: one multi-line document per file, with its file name."""
-    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1))
+def existing(entries: DataFrame, path: str) -> DataFrame:
+    """SRC-02: entries whose spec_file names a folder of files under ``path``; a listing, no file is opened."""
+    there = entries.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return entries.join(there.select(F.regexp_extract("path", r"n=([^/]+)/", 1).alias("spec_file")).distinct(), "spec_file", "left_semi")
 
 
 def spec_index(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-04: (file, unique_id, problem); malformed documents, missing ids and repeated ids (the first by name holds) are problems."""
+    """SRC-03, SRC-04: (file, unique_id, problem) of the documents under ``path``, each of several lines and named by its folder.
+
+    Malformed documents, missing ids and repeated ids (the first by name holds) are problems.
+    """
     schema = "identity struct<unique_id:string>, _corrupt string"
-    docs = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    docs = docs.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("identity.unique_id").alias("unique_id"), F.col("_corrupt").isNotNull().alias("bad"))
-    nth = F.row_number().over(Window.partitionBy("unique_id").orderBy("file"))
-    known = docs.where("unique_id is not null").withColumn("nth", nth)
-    rest = docs.where("unique_id is null").withColumn("nth", F.lit(1))
-    return known.unionByName(rest).select("file", "unique_id", F.when(F.col("bad"), "malformed").when(F.col("unique_id").isNull(), "missing id").when(F.col("nth") > 1, "duplicate id").alias("problem"))
+    docs = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    named = docs.select(F.regexp_extract("_metadata.file_path", r"name=([^/]+)/", 1).alias("file"), F.col("identity.unique_id").alias("unique_id"), F.col("_corrupt").isNotNull().alias("bad"))
+    first = named.where("unique_id is not null").groupBy("unique_id").agg(F.min("file").alias("first"))
+    problem = F.when(F.col("bad"), "malformed").when(F.col("unique_id").isNull(), "missing id").when(F.col("file") != F.col("first"), "duplicate id")
+    return named.join(first, "unique_id", "left").select("file", "unique_id", problem.alias("problem"))
 
 
 def results(spark: SparkSession, path: str, recursive: bool = True, strict: bool = False, multiline: bool = False) -> DataFrame:
@@ -141,9 +139,23 @@ def strict_json_problem(texts: pd.Series) -> pd.Series:
 
 
 def population_hash(units: DataFrame) -> DataFrame:
-    """SRC-15: the SHA-256 of the sorted (suite, kernel) list as compact JSON, one row."""
-    listed = F.array_sort(F.collect_set(F.struct("suite", "kernel")))
-    return units.agg(F.sha2(F.to_json(F.transform(listed, lambda x: F.array(x["suite"], x["kernel"]))), 256).alias("sha256"), F.count_distinct("suite", "kernel").alias("units"))
+    """SRC-15: the SHA-256 of the sorted (suite, kernel) list as compact JSON, one row.
+
+    The digest is one sequence by its definition; distinct pairs are sorted by the cluster, and their text is hashed as it comes.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest, n = hashlib.sha256(b"["), 0
+        for frame in frames:
+            for suite, kernel in frame.itertuples(index=False):
+                pair = json.dumps([suite, kernel], separators=(",", ":"), ensure_ascii=False)
+                digest.update((("," if n else "") + pair).encode())
+                n += 1
+        digest.update(b"]")
+        yield pd.DataFrame([(digest.hexdigest(), n)], columns=["sha256", "units"])
+
+    pairs = units.select("suite", "kernel").distinct()
+    return pairs.orderBy("suite", "kernel").coalesce(1).sortWithinPartitions("suite", "kernel").mapInPandas(run, "sha256 string, units long")
 
 
 def resolved(config: dict[str, str], root: str) -> dict[str, str]:
