@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import bytewise as B
 from tallyforge.llm.components import components
-from tallyforge.llm.shared import batches, discard, text_or_empty, written
+from tallyforge.llm.shared import batches, discard, scratch, text_or_empty, written
 from tallyforge.llm.simhash import LAST_ID, keyed_rows
 
 WORDS = 5
@@ -268,9 +268,10 @@ def without_similar(docs: DataFrame) -> DataFrame:
     """
     keys = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(text_or_empty()).alias("_th"), text_or_empty().alias("text"))
     marked = written(docs.select(*keys).mapInPandas(_names, "_id long, _th long, name long"), "names")
-    root = links(docs.select(text_or_empty().alias("text")))
     first = marked.groupBy("name").agg(F.min(F.struct("_id", "_th")).alias("first"))
-    rooted = first.join(root, first.name == root.node, "left").select(F.coalesce("root", "name").alias("root"), "first")
-    best = written(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._th"), "kept")
+    with scratch():
+        root = links(docs.select(text_or_empty().alias("text")))
+        rooted = first.join(root, first.name == root.node, "left").select(F.coalesce("root", "name").alias("root"), "first")
+        best = written(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._th"), "kept", keep=True)
     discard(marked)
     return keyed_rows(docs).join(best, ["_id", "_th"]).select("_row.*")

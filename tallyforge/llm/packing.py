@@ -10,7 +10,7 @@ rank within their length.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -93,8 +93,7 @@ def placed(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     lines = plan(counts, capacity)
     spark = made.sparkSession
     frame = pd.DataFrame(lines, columns=["length", "first", "n", "sequence", "offset"]).astype("int64")
-    by_length: Callable[[int], np.ndarray] = lambda x: frame[frame.length == x][["first", "n", "sequence", "offset"]].to_numpy()
-    tables = {int(x): by_length(x) for x in counts}
+    tables = {int(x): t[["first", "n", "sequence", "offset"]].to_numpy() for x, t in frame.groupby("length")}
     order = [c for c in ("doc_id", "piece", "ids_crc32") if c in made.columns] or made.columns
     rows = ranked(made, ["length"], order, "pack")
     known = spark.sparkContext.broadcast(tables)  # plan lines: bounded by lengths squared, see plan()

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import discard, ranked, spread_join, text_or_empty, written
+from tallyforge.llm.shared import discard, ranked, scratch, spread_join, text_or_empty, written
 
 SHARDS = 16
 #: Groups in a bucket, about; buckets combined in one task.
@@ -111,8 +111,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     sized = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g1"), F.xxhash64(F.sha2(text, 256)).alias("g2"))
     sized = written(sized, "sizes")
     groups = written(sized.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
-    chosen = balanced(groups, shards).join(groups.select("g1", "g2", "n"), ["g1", "g2"])
-    chosen = written(chosen, "shards")
+    with scratch():
+        chosen = written(balanced(groups, shards).join(groups.select("g1", "g2", "n"), ["g1", "g2"]), "shards", keep=True)
     dealt = written(spread_join(sized, chosen, ["g1", "g2"], "n", sized.count()).drop("g1", "g2", "n"), "dealt")
     discard(sized, groups, chosen)
     out = ranked(dealt, ["shard"], ["doc_id", "text_crc32", "size"], "shard").withColumnRenamed("rank", "slot")

@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":  # local-cluster has executors of its own
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), "tallyforge-checkpoints")
     spark.sparkContext.setCheckpointDir(own)
@@ -35,7 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files of finished steps now, not at some later collection."""
+    """Lets Spark's cleaner delete shuffle files of finished steps now, not at some later collection.
+
+    Shuffle files go when the driver's garbage collector finds their plan gone; a driver with room to spare may not collect for
+    half an hour, in which a job's steps would fill the executors' disks one after another.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -43,19 +47,28 @@ def release(spark: SparkSession) -> None:
 def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: the lineage ends there and any executor may be lost.
 
-    ``keep`` spares the table from an enclosing ``scratch``.
+    ``keep`` spares the table from the ``scratch`` around it, but for one further out. What nothing deletes before goes
+    when the program ends: a result may read it till then.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tallyforge-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyforge_path = path
-    if _OPEN and not keep:
-        _OPEN[-1].append(out)
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(out)
+    place, fs = _place(out)
+    fs.deleteOnExit(place)
     release(spark)
     return out
 
 
+def _place(df: DataFrame):
+    """A written table's folder and its file system."""
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tallyforge_path)
+    return place, place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """Deletes, at its end, the tables written inside; for steps whose result is written outside of it."""
@@ -69,10 +82,9 @@ def scratch() -> Iterator[None]:
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that later steps, written themselves, no longer need."""
     for df in tables:
-        jvm, path = df.sparkSession._jvm, getattr(df, "_tallyforge_path", None)
-        if path:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        if hasattr(df, "_tallyforge_path"):
+            place, fs = _place(df)
+            fs.delete(place, True)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import bytewise as B
 from tallyforge.llm.components import components
-from tallyforge.llm.shared import batches, discard, spread_join, text_or_empty, through_pandas, written
+from tallyforge.llm.shared import batches, discard, scratch, spread_join, text_or_empty, through_pandas, written
 
 DISTANCE = 3
 WORDS = 3
@@ -273,8 +273,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block: int | None = Non
 def _rooted(marked: DataFrame, distance: int) -> DataFrame:
     """A written table (fp, root, least, n) of all distinct fingerprints of a written table (doc_id, fp)."""
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
-    root = components(links(distinct, distance))
-    out = written(distinct.join(root, distinct.fp == root.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"), "roots")
+    with scratch():
+        root = components(links(distinct, distance))
+        out = written(distinct.join(root, distinct.fp == root.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"), "roots", keep=True)
     discard(distinct)
     return out
 
