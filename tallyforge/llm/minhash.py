@@ -117,12 +117,12 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and how alike they and the next document's are.
 
     The next document is the next lower doc_id (null ids last, equal ids by a hash of the text; after the last comes
-    the first). A null text counts as empty; a text without words has the fingerprint ''; a single document is its own
+    the first; equal rows are dealt over partitions in any order). A null text counts as empty; a text without words has the fingerprint ''; a single document is its own
     next; an empty table gives no rows; other columns do not matter. Texts are dealt once, by ranges of doc_id; a
     partition writes the texts of its first and last row, and those few meet in a second step.
     """
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), text_or_empty().alias("text"))
-    order = [F.col("id").desc(), F.xxhash64("text").desc()]
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("id").desc(), F.xxhash64("text").desc(), F.col("row")]  # the row number lets a row that comes very often be cut by ranges too
     kinds = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     done = written(dealt.mapInPandas(_neighbours, f"id long, part int, kind int, text string, {kinds}"), "minhash")
