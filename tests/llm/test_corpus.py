@@ -156,6 +156,29 @@ def test_differencing_beats_greedy_order():
     assert sorted(map(sum, parts)) == [14, 16] and sorted(sum(parts, [])) == [4, 5, 6, 7, 8]
 
 
+def test_shards_are_nearly_even(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "x" * rng.choice([rng.randint(0, 50), rng.randint(100, 2000)]) + str(i)) for i in range(3000)], DOCS)
+    sums = {r.shard: r.total for r in sharding.shard(docs, 16).groupBy("shard").agg(F.sum("size").alias("total")).collect()}
+    assert len(sums) == 16 and max(sums.values()) - min(sums.values()) <= 4
+
+
+def test_differencing_against_the_best(spark):
+    from itertools import product
+
+    rng = random.Random(8)
+    worse = []
+    for _ in range(40):
+        sizes = [rng.randint(1, 60) for _ in range(8)]
+        made = sharding.differenced([[(x, k)] for k, x in enumerate(sizes)], 3)
+        assert sorted(k for marks in made for k in marks) == list(range(8))
+        got = max(sum(sizes[k] for k in marks) for marks in made)
+        best = min(max(sum(x for x, s in zip(sizes, to) if s == i) for i in range(3)) for to in product(range(3), repeat=8))
+        assert got <= best * 4 / 3
+        worse.append(got / best)
+    assert np.mean(worse) < 1.06
+
+
 def test_shards_empty(empty):
     assert sharding.shard(empty).count() == 0
 
@@ -1009,6 +1032,39 @@ def test_pipeline(spark, data):
     check_packing(docs.collect(), kept, 2048)
 
 
+def test_pipeline_run(spark, data, tmp_path):
+    import os
+    import shutil
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        shutil.copyfile(f"{data}/{name}.parquet", tmp_path / f"{name}.parquet")
+    kind = docs.withColumns({"ranges": F.lit("r"), "id": F.col("doc_id").cast("string"), "kept": F.lit(None).cast("string")})
+    odd = spark.createDataFrame([(None, None, None, None, None, "r", "i", None), (None, "", "en", "s", 0, "r", "i", "k"), (7, "w " * 30_000, None, "s", 1, None, None, "k"), (7, "w " * 30_000, None, "t", 1, None, None, "k"), (2**60, "one two three", "en", "s", 3, "r", "i", "k")], ", ".join(f"{k} {v}" for k, v in kind.dtypes))
+    kind.unionByName(odd).write.parquet(str(tmp_path / "documents.parquet"))
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    got = rows.collect()
+    left = [x for x in os.listdir(root) if x not in before and x.startswith("tallyforge-")]
+    assert len(left) <= 4, left  # what the result reads
+    assert {r.doc_id for r in got} >= {7, 2**60, None} and 150 < len({r.doc_id for r in got}) < docs.count()
+    kind.where("false").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{data}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"none/{name}.parquet"))
+    odd.write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "none")).collect()} == {7, 2**60, None}
+
+
+def test_equal_rows_are_dealt_over_partitions(spark):
+    rows = [(5, "the same row again and again")] * 400 + [(9, "a b c d e f g"), (1, "h i j k l m n")]
+    got = minhash.document_fingerprints(spark.createDataFrame(rows, DOCS).repartition(8)).collect()
+    assert len(got) == 402 and sum(r.near_next == 1.0 for r in got) >= 399 and {r.fingerprint for r in got if r.doc_id == 5} == {next(r.fingerprint for r in got if r.doc_id == 5)}
+
+
 def test_large_ids_beside_nulls_stay_exact(spark, small):
     big = 2**62 + 1
     docs = spark.createDataFrame([(big, "die der und das ist nicht"), (None, "the and of to"), (big + 2, None)], DOCS).coalesce(1)
