@@ -37,7 +37,7 @@ def manifest_lenient(spark: SparkSession, d: str) -> DataFrame:
     path = S.workspace(spark, "manifest")
     good = _manifest_rows(spark, d).select(F.to_json(F.struct("*")).alias("value"))
     good.unionAll(spark.createDataFrame([("{broken",), ('{"kernel_name": ',)], "value string")).write.text(f"{path}/lines")
-    spark.range(4).select(F.concat(F.lit("s"), "id", F.lit(".json")).alias("n"), F.lit("{}").alias("value")).write.partitionBy("n").text(f"{path}/specs")
+    spark.range(4).select(F.concat(F.lit("s"), "id", F.lit(".json")).alias("name"), F.lit("{}").alias("value")).write.partitionBy("name").text(f"{path}/specs")
     return S.existing(S.manifest(spark, f"{path}/lines", strict=False), f"{path}/specs")
 
 

@@ -26,7 +26,12 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.suite, a.kernel, a.api AS source_api, b.api AS target_api FROM m a JOIN m b ON a.suite = b.suite AND a.kernel = b.kernel AND a.api <> b.api""")
 def ordered_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every ordered pair of a unit's APIs; repeated manifest rows give no repeated pairs."""
-    m = manifest(spark, d).distinct()
+    return pairs_of_apis(manifest(spark, d))
+
+
+def pairs_of_apis(entries: DataFrame) -> DataFrame:
+    """JOI-01: (suite, kernel, source_api, target_api) of entries (suite, kernel, api)."""
+    m = entries.distinct()
     a, b = m.withColumnRenamed("api", "source_api"), m.withColumnRenamed("api", "target_api")
     return a.join(b, ["suite", "kernel"]).where("source_api <> target_api")
 

@@ -45,20 +45,26 @@ def manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return spark.read.schema(MANIFEST).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def file_name(path: Column) -> Column:
+    """A file's name; of a table written by name, that of its folder (name=...)."""
+    return F.coalesce(F.nullif(F.regexp_extract(path, r"/name=([^/]+)/[^/]*$", 1), F.lit("")), F.element_at(F.split(path, "/"), -1))
+
+
 def existing(entries: DataFrame, path: str) -> DataFrame:
-    """SRC-02: entries whose spec_file names a folder of files under ``path``; a listing, no file is opened."""
+    """SRC-02: entries whose spec_file is the name of a file under ``path``; a listing, no file is opened."""
     there = entries.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return entries.join(there.select(F.regexp_extract("path", r"n=([^/]+)/", 1).alias("spec_file")).distinct(), "spec_file", "left_semi")
+    names = there.select(file_name(F.col("path")).alias("_name")).distinct()
+    return entries.join(names, F.element_at(F.split("spec_file", "/"), -1) == F.col("_name"), "left_semi")
 
 
 def spec_index(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-03, SRC-04: (file, unique_id, problem) of the documents under ``path``, each of several lines and named by its folder.
+    """SRC-03, SRC-04: (file, unique_id, problem) of the documents under ``path``, each of several lines.
 
     Malformed documents, missing ids and repeated ids (the first by name holds) are problems.
     """
     schema = "identity struct<unique_id:string>, _corrupt string"
     docs = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    named = docs.select(F.regexp_extract("_metadata.file_path", r"name=([^/]+)/", 1).alias("file"), F.col("identity.unique_id").alias("unique_id"), F.col("_corrupt").isNotNull().alias("bad"))
+    named = docs.select(file_name(F.col("_metadata.file_path")).alias("file"), F.col("identity.unique_id").alias("unique_id"), F.col("_corrupt").isNotNull().alias("bad"))
     first = named.where("unique_id is not null").groupBy("unique_id").agg(F.min("file").alias("first"))
     problem = F.when(F.col("bad"), "malformed").when(F.col("unique_id").isNull(), "missing id").when(F.col("file") != F.col("first"), "duplicate id")
     return named.join(first, "unique_id", "left").select("file", "unique_id", problem.alias("problem"))
