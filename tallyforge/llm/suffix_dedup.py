@@ -157,9 +157,10 @@ def _gathered(data: np.ndarray, start: np.ndarray, step: int, size: np.ndarray,
 
 
 def repeats(context: list[bytes], back: np.ndarray, width: int, reach: int) -> tuple[np.ndarray, ...]:
-    """Of all strings of the contexts: the context, its place there, whether it occurs again among them, and whether it is the first of its kind.
+    """Of the strings of the contexts that may occur again: the context, its place there, whether it does occur again among them, and whether it is the first of its kind.
 
-    ``back`` is how far into a context its anchor stands, ``reach`` the most that it can be. Strings are compared only with those as far from their anchor.
+    ``back`` is how far into a context its anchor stands, ``reach`` the most that it can be. Strings are compared only with those as far from
+    their anchor; those whose neighbours have too little in common are left out. The places of a context come in order and without a gap.
     """
     data = np.frombuffer(b"".join(context), np.uint8)
     sizes = np.fromiter(map(len, context), np.int64, len(context))
@@ -178,40 +179,48 @@ def repeats(context: list[bytes], back: np.ndarray, width: int, reach: int) -> t
         near = np.zeros(n, np.int64)
         near[order] = np.maximum(shared, np.append(shared[1:], 0))
         most.append(near)
-    row = np.repeat(np.arange(n), count)
-    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    off = back[row] - place
+    # a string begins ``off`` bytes before its anchor
+    low, high = np.maximum(back - count + 1, width - most[0]), np.minimum(back, most[1])
+    some = np.maximum(0, high - low + 1)
+    row = np.repeat(np.arange(n), some)
+    off = high[row] - (np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some))
+    key = (off * (n + 1) + interval[0][row, off]) * (n + 1) + interval[1][row, off]
     twice, first = np.zeros(len(row), bool), np.ones(len(row), bool)
-    some = np.flatnonzero((off <= most[1][row]) & (width - off <= most[0][row]))  # of the rest no neighbour has enough in common
-    if len(some):
-        r, o = row[some], off[some]
-        key = (o * (n + 1) + interval[0][r, o]) * (n + 1) + interval[1][r, o]
-        by = np.argsort(key, kind="stable")
-        same = key[by[1:]] == key[by[:-1]]
-        twice[some[by[1:][same]]] = True
-        twice[some[by[:-1][same]]] = True
-        first[some[by[1:][same]]] = False
-    return row, place, twice, first
-
-
-def _bucket(width: int, lead: int, rows_at_once: int = 1024):
+    by = np.argsort(key, kind="stable")
+    same = key[by[1:]] == key[by[:-1]]
+    twice[by[1:][same]] = True
+    twice[by[:-1][same]] = True
+    first[by[1:][same]] = False
+    return row, back[row] - off, twice, first
+
+
+def _bucket(width: int, lead: int, rows_at_once: int = 1024, strings_at_once: int = 1 << 15):
     """For a partition sorted by leading bytes: ranges of repeated starts, and hashes for other buckets where needed.
 
-    Suffixes of other leading bytes, or of another part of the same, share no interval: the group is part of the comparison.
+    Suffixes of other leading bytes share no interval, so several groups are compared at once.
     """
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        context, salt = rows.context.tolist(), rows.salt.to_numpy()
+    def compare(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        context, lo, ids, th = rows.context.tolist(), rows.lo.to_numpy(np.int64), rows.id.to_numpy(), rows.th.to_numpy()
         row, place, twice, first = repeats(context, rows.back.to_numpy(np.int64), width, width - lead)
-        spread = (salt[row] >= 0) & first
-        lo = rows.lo.to_numpy()[row] + place
         a, b = _starts(twice, row, place)
-        out = [pd.DataFrame({"id": rows.id.to_numpy()[row[a]], "th": rows.th.to_numpy()[row[a]], "a": lo[a], "b": lo[b - 1], "h": None, "open": np.int8(0)})]
-        if spread.any():
-            i = np.flatnonzero(spread)
-            h = [xxhash.xxh3_128_digest(context[r][p : p + width]) for r, p in zip(row[i], place[i], strict=True)]
-            out.append(pd.DataFrame({"id": rows.id.to_numpy()[row[i]], "th": rows.th.to_numpy()[row[i]], "a": lo[i], "b": lo[i], "h": h, "open": np.where(twice[i], 2, 1).astype(np.int8)}))
-        return pd.concat(out, ignore_index=True)
+        yield pd.DataFrame({"id": ids[row[a]], "th": th[row[a]], "a": lo[row[a]] + place[a], "b": lo[row[a]] + place[b - 1], "h": 0, "g": 0, "open": 0})
+        split = np.flatnonzero(rows.salt.to_numpy() >= 0)
+        if not len(split):
+            return
+        count = np.fromiter((len(c) - width + 1 for c in context), np.int64, len(context))
+        begin = np.cumsum(count) - count
+        open_ = np.ones(count.sum(), np.int8)  # 0: another of its kind stands for it
+        open_[begin[row] + place] = np.where(first, 1 + twice, 0)
+        each = max(1, strings_at_once // (width - lead + 1))
+        for k in range(0, len(split), each):
+            some = split[k : k + each]
+            r = np.repeat(some, count[some])
+            p = np.arange(len(r)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+            kept = open_[begin[r] + p]
+            r, p, kept = r[kept > 0], p[kept > 0], kept[kept > 0]
+            h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(context[x][y : y + width]) for x, y in zip(r.tolist(), p.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"id": ids[r], "th": th[r], "a": lo[r] + p, "b": lo[r] + p, "h": h[:, 0], "g": h[:, 1], "open": kept})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -228,10 +237,10 @@ def _bucket(width: int, lead: int, rows_at_once: int = 1024):
                 salt = rows["salt"].iloc[-1]
                 done = ((rows["first"] != tail) | (rows["salt"] != salt)).to_numpy()
                 if done.any():
-                    yield compare(rows[done])
+                    yield from compare(rows[done])
                 held, size = [rows[~done]], int((~done).sum())
         if size:
-            yield compare(pd.concat(held, ignore_index=True))
+            yield from compare(pd.concat(held, ignore_index=True))
 
     return run
 
@@ -261,11 +270,11 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, lead: int = LEAD, split
     contexts = written(rows.mapInPandas(_fetch(width, lead), "first binary, salt int, id long, th long, lo int, back int, context binary"), "contexts")
     discard(found, often, lists)
     dealt = contexts.repartitionByRange("first", "salt").sortWithinPartitions("first", "salt")
-    seen = written(dealt.mapInPandas(_bucket(width, lead), "id long, th long, a int, b int, h binary, open byte"), "compared")
+    seen = written(dealt.mapInPandas(_bucket(width, lead), "id long, th long, a int, b int, h long, g long, open byte"), "compared")
     discard(contexts)
     across = seen.where("open > 0")
-    more = across.groupBy("h").agg(F.sum("open").alias("n")).where("n > 1")
-    late = across.where("open = 1").join(more, "h").select("id", "th", "a", "b")
+    more = across.groupBy("h", "g").agg(F.sum("open").alias("n")).where("n > 1")
+    late = across.where("open = 1").join(more, ["h", "g"]).select("id", "th", "a", "b")
     ranges = seen.where("open = 0").select("id", "th", "a", "b").unionByName(late)
     return ranges.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
