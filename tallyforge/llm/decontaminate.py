@@ -263,7 +263,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WORDS, similarity:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they were. No row moves: each block of items is one filter."""
+    """The rows of ``docs`` that hold no item, all columns as they were. No row moves: each block of items is one filter.
+
+    Null and empty texts hold nothing and stay; null and repeated ids do not matter; of repeated rows all stay or all go;
+    without items all rows stay; an empty table gives no rows.
+    """
     for block_items in _blocks(benchmark, width, block):
         items = docs.sparkSession.sparkContext.broadcast(block_items)
 

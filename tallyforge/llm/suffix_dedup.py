@@ -308,9 +308,10 @@ def _cut(width: int, digest: bool):
 
 def _cut_rows(docs: DataFrame, row: Column, width: int, digest: bool) -> DataFrame:
     """(_row, n_bytes, n_removed, n_spans, kept) for every row of ``docs``."""
-    found = written(repeated_ranges(docs, width), "ranges").withColumn("part", F.lit(-1))
+    found = written(repeated_ranges(docs, width).withColumn("part", F.lit(-1)), "ranges")
     keyed = docs.select(row.alias("_row"), F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), text_or_empty().alias("text"))
     # texts that are too short have no ranges; they join under keys that do not meet, or those without an id would gather
+    # (the other side's is written: a literal would be folded into the condition and leave the key)
     short = F.octet_length("text") < width
     keyed = keyed.withColumns({"th": F.xxhash64("text"), "part": F.when(short, F.spark_partition_id()).otherwise(-1)})
     rows = keyed.join(found, ["id", "th", "part"], "left")

@@ -266,7 +266,10 @@ def score(docs: DataFrame, net: TextNet | None, keep: tuple[str, ...] = ("doc_id
 
 
 def without_toxic(docs: DataFrame, net: TextNet | None) -> DataFrame:
-    """The rows of ``docs`` whose text scores below 0.5, all columns as they were; all rows if there is no net."""
+    """The rows of ``docs`` whose text scores below 0.5, all columns as they were; all rows if there is no net.
+
+    A null text is scored as an empty one and stays null; ids do not matter; repeated rows all stay or all go.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
