@@ -772,6 +772,24 @@ def test_token_counts(small, odd, rule):
         assert Counter((r.doc_id, r.section, r.n_chars, r.n_tokens) for r in token_counts.token_counts(df, path, pattern, rule).collect()) == want
 
 
+def test_token_counts_of_a_very_long_word_and_line(spark):
+    path, pattern = byte_vocabulary()
+    encode, _ = token_counts._encoder(path, pattern)
+    texts = ["abcdefghij" * 32_000, ("é中x " * 20_000 + "\n") * 2, "\n" * 3000]
+    rows = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), DOCS), path, pattern).collect()
+    for i, t in enumerate(texts):
+        own = [r for r in rows if r.doc_id == i]
+        assert sum(r.n_tokens for r in own) == len(encode(t)) and sum(r.n_chars for r in own) == len(t) and len(own) == (1, 2, 3000)[i]
+
+
+def test_short_texts_without_ids_do_not_gather(spark):
+    docs = spark.createDataFrame([(None, "")] * 50 + [(k, "x" * 300) for k in range(3)], DOCS).repartition(5)
+    out = suffix_dedup.suffix_dedup(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "part#" in plan.split("SortMergeJoin")[1].split("]")[0] if "SortMergeJoin" in plan else "part#" in plan
+    assert out.count() == 53 and out.where("n_removed = 300").count() == 3
+
+
 def test_token_counts_of_fields(spark, empty):
     path, pattern = byte_vocabulary()
     df = spark.createDataFrame([(1, "Ünï title", None, "body text here")], "doc_id long, title string, lang string, text string")
