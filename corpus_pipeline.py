@@ -1,7 +1,9 @@
 """The corpus pipeline: toxic documents go, then near duplicates, repeated passages and benchmark leaks; the rest is packed.
 
 Each stage works on all rows that its predecessor kept and returns the columns of ``documents``; the last returns the
-packed pieces.
+packed pieces. In every stage null ids and texts, empty and very long texts, repeated rows, empty tables and further columns
+of any name are as its operator's docstring says: only near copies, toxic documents and leaks go, whole rows at a time, and
+only repeated passages are cut. Without labels of both kinds no document is toxic; without items none leaks.
 """
 
 from __future__ import annotations
