@@ -302,7 +302,7 @@ def violations(requests: DataFrame, forbidden: DataFrame, allowed: DataFrame) ->
     return shown.join(listed, "form").groupBy("doc_id", "category", "item_id").agg(F.max(F.length("text")).alias("chars"))
 
 
-_SNIPPETS_SQL = """
+_SNIPPETS_SQL = r"""
 , snip AS (SELECT item_id, 'reference' AS category, text FROM benchmark UNION ALL SELECT item_id + 100000, 'oracle', substr(text, 4, 9) FROM benchmark UNION ALL SELECT 300000, 'oracle', 'the' UNION ALL SELECT 300001, 'oracle', 'xq9'),
  form AS (SELECT item_id, category, regexp_replace(text, '^\s+|\s+$', '', 'g') AS v FROM snip)"""
 

@@ -75,6 +75,21 @@ def test_pass_at_k(spark, n, c, k, small, want):
     assert got is None if want is None else got == pytest.approx(want)
 
 
+def test_published_results(spark):
+    """Figures that the evaluation published, from its counts: passes and records of three models."""
+    counts = {"codex": (412, 772), "gpt": (440, 784), "qwen": (191, 604)}
+    percent = lambda c, n: [round(100 * one(spark, x), 1) for x in stats.wilson(F.lit(c), F.lit(n))]
+    assert percent(1043, 2160) == [48.3, 46.2, 50.4]
+    assert percent(*counts["qwen"]) == [31.6, 28.0, 35.4] and percent(*counts["gpt"]) == [56.1, 52.6, 59.6] and percent(*counts["codex"]) == [53.4, 49.8, 56.9]
+    for a, b, ratio, h in (("codex", "gpt", (0.895, 0.733, 1.093), -0.055), ("codex", "qwen", (2.475, 1.981, 3.091), 0.444), ("gpt", "qwen", (2.766, 2.215, 3.453), 0.499)):
+        (x, n), (y, m) = counts[a], counts[b]
+        assert round(one(spark, stats.cohens_h(F.lit(x / n), F.lit(y / m))), 3) == h
+        assert [round(one(spark, v), 3) for v in stats.odds_ratio(*[F.lit(k) for k in (x, n - x, y, m - y)])] == list(ratio)
+    total, passes = 2160, 1043
+    chi = sum((c - n * passes / total) ** 2 / (n * passes / total) + (n - c - n * (1 - passes / total)) ** 2 / (n * (1 - passes / total)) for c, n in counts.values())
+    assert round(chi, 2) == 94.43 and one(spark, stats.chi2_p(F.lit(chi), 2)) < 1e-18
+
+
 def test_ids(spark):
     assert one(spark, ids.kernel_of(F.lit("sx-a-b-cuda"))) == "a-b"
     assert one(spark, ids.kernel_of(F.lit("sx-cuda"))) == "sx-cuda"
