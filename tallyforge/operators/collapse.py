@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The statistical unit.
@@ -32,11 +32,11 @@ def all_pairs(cells: DataFrame) -> DataFrame:
 def leave_one_out(df: DataFrame, by: str, measures: dict) -> DataFrame:
     """AGG-12: the measures over all rows (variant FULL) and without each value of ``by``.
 
-    Rows are aggregated to one for each value first; only those few meet the variants, so the input is not multiplied.
+    Rows are aggregated to one for each value first; a variant is the sum of these few less the one left out.
     ``measures`` maps names to count or sum columns.
     """
     parts = df.groupBy(by).agg(*[m.alias(k) for k, m in measures.items()])
-    variants = parts.select(F.col(by).alias("_out")).unionByName(df.sparkSession.createDataFrame([(None,)], "_out string"))
-    kept = parts.join(F.broadcast(variants), F.col("_out").isNull() | (F.col(by) != F.col("_out")))
-    named = F.coalesce(F.concat(F.lit("minus_"), "_out"), F.lit("FULL")).alias("variant")
-    return kept.groupBy(named).agg(*[F.sum(k).alias(k) for k in measures])
+    every = Window.partitionBy()  # as many rows as values
+    variants = parts.withColumn("_values", F.count("*").over(every)).select(F.concat(F.lit("minus_"), by).alias("variant"), "_values", *[(F.sum(k).over(every) - F.col(k)).alias(k) for k in measures])
+    full = parts.agg(F.lit("FULL").alias("variant"), F.count("*").alias("_values"), *[F.sum(k).alias(k) for k in measures]).where("_values > 0")
+    return variants.where("_values > 1").unionByName(full).drop("_values")

@@ -29,18 +29,29 @@ def strip_reasoning(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d).select("conv_id", "turn", T.strip_reasoning(wrapped).alias("answer"))
 
 
-@query("prj12_fenced_blocks", "SELECT conv_id, turn, 'main.cu' AS name, 'int x' || turn || ';' || chr(10) AS body FROM conversations UNION ALL SELECT conv_id, turn, 'util.h', '#pragma once' || chr(10) FROM conversations")
+@query("prj12_fenced_blocks", """
+SELECT conv_id, turn, 'main.cu' AS name, CASE turn % 4 WHEN 1 THEN 'later' ELSE 'int x' || turn || ';' END || chr(10) AS body FROM conversations WHERE turn % 4 <> 2 UNION ALL SELECT conv_id, turn, 'util.h', '#pragma once' || chr(10) FROM conversations WHERE turn % 4 IN (0, 3)""")
 def fenced(spark: SparkSession, d: str) -> DataFrame:
-    """Files of a response: named fences; of a name given twice the first counts."""
-    said = F.concat(F.lit("Here:\n```cpp filename=src/main.cu\nint x"), "turn", F.lit(";\n```\nand\n```cpp util.h\n#pragma once\n```\n```cpp main.cu\nlater\n```\n"))
+    """Files of a response: named fences, with and without a path or quotes; of a name given twice the first counts, a fence without a name is no file."""
+    k = F.col("turn") % 4
+    head = F.when(k == 0, "cpp filename=src/main.cu").when(k == 3, 'c++ filename="a/b/main.cu"').otherwise("cpp")
+    second = F.when((k == 0) | (k == 3), "cpp util.h").otherwise("")
+    last = F.when(k == 2, "cpp").otherwise("cpp main.cu")
+    said = F.concat(F.lit("Here:\n```"), head, F.lit("\nint x"), "turn", F.lit(";\n```\nand\n```"), second, F.lit("\n#pragma once\n```\n```"), last, F.lit("\nlater\n```\n"))
     return messages(spark, d).select("conv_id", "turn", F.explode(T.fenced_named(said)).alias("name", "body"))
 
 
-@query("prj12_fenced_near_names", "SELECT conv_id, turn, 'k.cl' AS name, 'kernel ' || turn || chr(10) AS body FROM conversations")
+@query("prj12_fenced_near_names", """
+SELECT conv_id, turn, 'k.cl' AS name, 'kernel ' || turn || chr(10) AS body FROM conversations WHERE turn % 4 IN (0, 1, 3) UNION ALL SELECT conv_id, turn, 'host.c', 'main ' || turn || chr(10) FROM conversations WHERE turn % 4 = 3""")
 def fenced_near(spark: SparkSession, d: str) -> DataFrame:
-    """Files of a response whose names stand before their fences, or where one block answers for one target."""
-    said = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("File `k.cl`:\n```\nkernel "), "turn", F.lit("\n```\n"))).otherwise(F.concat(F.lit("```\nkernel "), "turn", F.lit("\n```\n")))
-    rows = messages(spark, d).select("conv_id", "turn", said.alias("said"), F.array(F.lit("dir/k.cl")).alias("targets"))
+    """Files of a response whose names stand before their fences, or where one block answers for one target; a name too far away names nothing."""
+    k, block = F.col("turn") % 4, F.concat(F.lit("\n```\nkernel "), "turn", F.lit("\n```\n"))
+    said = (
+        F.when(k == 0, F.concat(F.lit("File `k.cl`:"), block)).when(k == 1, block).when(k == 2, F.concat(F.lit("k.cl "), F.repeat(F.lit("x"), 600), block))
+        .otherwise(F.concat(F.lit("`host.c`\n```c\nmain "), "turn", F.lit("\n```\n"), F.repeat(F.lit("y"), 600), F.lit(" k.cl"), block))
+    )
+    targets = F.when(k < 2, F.array(F.lit("dir/k.cl"))).otherwise(F.array(F.lit("dir/k.cl"), F.lit("host.c")))
+    rows = messages(spark, d).select("conv_id", "turn", said.alias("said"), targets.alias("targets"))
     return rows.select("conv_id", "turn", F.explode(T.fenced_for_targets("said", "targets")).alias("name", "body"))
 
 
@@ -64,10 +75,11 @@ def strip_comments(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.strip_comments(_code()).alias("code"))
 
 
-@query("prj15_sloc", "SELECT p_partkey, 5 AS non_blank_with_comments, 4 AS physical FROM part")
+@query("prj15_sloc", "SELECT p_partkey, 3 + p_size % 4 + CASE WHEN p_size % 3 = 0 THEN 3 ELSE 1 END AS non_blank_with_comments, 2 + p_size % 4 + CASE WHEN p_size % 3 = 0 THEN 0 ELSE 1 END AS physical FROM part")
 def sloc(spark: SparkSession, d: str) -> DataFrame:
-    """Lines that are not blank, and lines with code outside comments."""
-    code = F.lit('int a; // x\n/* y\n z */ int b;\n\nint c; /* w */ int e;\n  \nint f;\n')
+    """Lines that are not blank, and lines with code outside comments; a block comment may hold what looks like code."""
+    tail = F.when(F.col("p_size") % 3 == 0, "/* open\nint f;\n*/\n").otherwise("int f;\n")
+    code = F.concat(F.lit("int a; // x\n/* y\n z */ int b;\n\n"), F.repeat(F.lit("int c; /* w */ int e;\n"), F.col("p_size") % 4), F.lit("  \n"), tail)
     return table(spark, d, "part").select("p_partkey", T.non_blank_lines(code).alias("non_blank_with_comments"), T.physical_sloc(code).alias("physical"))
 
 
