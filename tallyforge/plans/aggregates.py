@@ -207,17 +207,17 @@ def numeric_summary(spark: SparkSession, d: str) -> DataFrame:
     x, k = F.col("x").cast("double"), F.col("k")
     total = counts.groupBy("model").agg(F.sum("k").alias("n"), F.sum(F.col("x") * k).alias("total"), F.sum(x * x * k).alias("squares"), F.min("x").alias("min"), F.max("x").alias("max"))
     cell = F.least(F.floor((F.col("x") - F.col("min")) * 256 / F.greatest(F.col("max") - F.col("min"), F.lit(1))), F.lit(255))
-    placed = counts.join(F.broadcast(total.select("model", "n", "min", "max")), "model").withColumn("cell", cell)
+    placed = counts.join(total.select("model", "n", "min", "max"), "model").withColumn("cell", cell)
     w = Window.partitionBy("model").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = placed.groupBy("model", "cell", "n").agg(F.sum("k").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0)))
     places = {"low": F.expr("(n - 1) div 2"), "upper_median": F.expr("n div 2"), "p95": F.floor(F.col("n") * 0.95)}
     wanted = F.exists(F.array(*[p.cast("long") for p in places.values()]), lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("m")))
-    few = cells.where(wanted).select("model", "cell", "before")  # three rows a model at most
+    few = cells.where(wanted).select("model", "cell", "before")  # three rows a model at most; Spark broadcasts what proves small
     inside = Window.partitionBy("model", "cell").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    near = placed.join(F.broadcast(few), ["model", "cell"]).withColumn("from", F.col("before") + F.coalesce(F.sum("k").over(inside), F.lit(0)))
+    near = placed.join(few, ["model", "cell"]).withColumn("from", F.col("before") + F.coalesce(F.sum("k").over(inside), F.lit(0)))
     found = near.groupBy("model").agg(*[F.max(F.when((F.col("from") <= p) & (p < F.col("from") + k), F.col("x"))).alias(name) for name, p in places.items()])
     mean = F.col("total") / F.col("n")
-    return total.join(F.broadcast(found), "model").select(
+    return total.join(found, "model").select(
         "model", "n", F.round(mean, 1).alias("mean"), F.round((F.col("low") + F.col("upper_median")) / 2, 1).alias("median"), F.round(F.sqrt(F.col("squares") / F.col("n") - mean * mean), 1).alias("std"),
         "min", "max", "total", "upper_median", "p95",
     )

@@ -135,12 +135,12 @@ def with_rank(values: DataFrame, group: list[str], x: str, k: str, out: str, cel
     """
     ends = values.groupBy(*group).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     cell = F.least(F.floor((F.col(x) - F.col("_lo")) * cells / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1))), F.lit(cells - 1))
-    placed = values.join(F.broadcast(ends), group).withColumn("_cell", cell).drop("_lo", "_hi")  # as many rows as groups
+    placed = values.join(ends, group).withColumn("_cell", cell).drop("_lo", "_hi")
     sizes = placed.groupBy(*group, "_cell").agg(F.sum(k).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(*group, "_cell", before.alias("_first"))
     own = F.coalesce(F.sum(k).over(Window.partitionBy(*group, "_cell").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = placed.withColumn("_own", own).join(F.broadcast(starts), [*group, "_cell"])  # at most ``cells`` rows a group
+    ranked = placed.withColumn("_own", own).join(starts, [*group, "_cell"])
     return ranked.withColumn(out, F.col("_first") + F.col("_own") + (F.col(k) + 1) / 2).drop("_cell", "_own", "_first")
 
 
@@ -301,7 +301,7 @@ def matrix_order(spark: SparkSession, d: str) -> DataFrame:
     cell = rec.groupBy("kernel", "model").agg(*counts())
     top = cell.groupBy("kernel").agg(F.sum("c").alias("total")).orderBy(F.desc("total"), "kernel").limit(20)
     rates = cell.groupBy("model").agg((F.sum("c") / F.sum("n")).alias("rate"))
-    m = cell.join(F.broadcast(top), "kernel").join(F.broadcast(rates), "model")
+    m = cell.join(F.broadcast(top), "kernel").join(rates, "model")
     return m.orderBy(F.desc("total"), "kernel", F.desc("rate"), "model").select("kernel", "model", F.col("c").alias("passes"))
 
 
