@@ -373,11 +373,10 @@ def transformed(code: str, level: int, seed: str) -> tuple[str, list[str]]:
 
 def single(code: str, seed: str) -> tuple[str, list[str]]:
     """UDF-03: all candidates of exactly one transform, chosen by the seed among those that apply."""
-    made = {name: new for name in TRANSFORMS if (new := rewritten(code, name, 1.0, seed)) != code}
-    if not made:
-        return code, []
-    name = min(made, key=lambda x: _by(seed, x))
-    return made[name], [name]
+    for name in sorted(TRANSFORMS, key=lambda x: _by(seed, x)):
+        if (new := rewritten(code, name, 1.0, seed)) != code:
+            return new, [name]
+    return code, []
 
 
 _RESULT = StructType([StructField("code", StringType()), StructField("transforms", ArrayType(StringType())), StructField("valid", BooleanType())])

@@ -190,9 +190,9 @@ def matched_claims(found: DataFrame, known: DataFrame, claims: DataFrame, width:
 
 
 @query("joi14_band_match", """
-WITH found AS (SELECT o_orderkey AS number, CASE WHEN o_orderkey % 4 = 0 THEN 'count' ELSE 'percent' END AS kind, CASE WHEN o_orderkey % 4 = 0 THEN (o_custkey % 700)::DOUBLE ELSE round(o_totalprice / 1000, 2) END AS v FROM orders),
- listed AS (SELECT 0 AS rank, p_partkey AS position, 'part' || p_partkey AS name, CASE WHEN p_partkey % 3 = 0 THEN 'count' ELSE 'percent' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE ELSE round(p_retailprice / 20, 2) END AS v FROM part
-  UNION ALL SELECT 1, s_suppkey, 'supp' || s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'count' ELSE 'ci' END, CASE WHEN s_suppkey % 2 = 0 THEN (s_suppkey + 50)::DOUBLE WHEN abs(round(s_acctbal / 10000, 4)) < 1 THEN abs(round(s_acctbal / 10000, 4)) * 100 ELSE abs(round(s_acctbal / 10000, 4)) END FROM supplier),
+WITH found AS (SELECT o_orderkey AS number, CASE WHEN o_orderkey % 4 = 0 THEN 'count' ELSE 'percent' END AS kind, CASE WHEN o_orderkey % 4 = 0 THEN (o_custkey % 700)::DOUBLE ELSE o_totalprice / 1000 END AS v FROM orders),
+ listed AS (SELECT 0 AS rank, p_partkey AS position, 'part' || p_partkey AS name, CASE WHEN p_partkey % 3 = 0 THEN 'count' ELSE 'percent' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE ELSE p_retailprice / 20 END AS v FROM part
+  UNION ALL SELECT 1, s_suppkey, 'supp' || s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'count' ELSE 'ci' END, CASE WHEN s_suppkey % 2 = 0 THEN (s_suppkey + 50)::DOUBLE WHEN abs(s_acctbal / 10000) < 1 THEN abs(s_acctbal / 10000) * 100 ELSE abs(s_acctbal / 10000) END FROM supplier),
  met AS (SELECT number, rank, position, name FROM found f JOIN listed k ON f.kind <> 'count' AND k.kind <> 'count' AND f.v > k.v - 1 AND f.v < k.v + 1 WHERE abs(f.v - k.v) < 0.15
   UNION ALL SELECT number, rank, position, name FROM found f JOIN listed k ON f.kind = 'count' AND k.kind = 'count' AND f.v = k.v),
  best AS (SELECT number, arg_min((rank, name), (rank, position, name)) AS e FROM met GROUP BY 1)
@@ -201,11 +201,11 @@ def band_match(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of a text matched with the first known value, then with claims; unmatched ones stay."""
     o, p, s = table(spark, d, "orders"), table(spark, d, "part"), table(spark, d, "supplier")
     count = F.col("o_orderkey") % 4 == 0
-    found = o.select(F.col("o_orderkey").alias("number"), F.when(count, "count").otherwise("percent").alias("kind"), F.when(count, (F.col("o_custkey") % 700).cast("double")).otherwise(F.round(F.col("o_totalprice") / 1000, 2)).alias("value"))
+    found = o.select(F.col("o_orderkey").alias("number"), F.when(count, "count").otherwise("percent").alias("kind"), F.when(count, (F.col("o_custkey") % 700).cast("double")).otherwise(F.col("o_totalprice") / 1000).alias("value"))
     count = F.col("p_partkey") % 3 == 0
-    known = p.select(F.col("p_partkey").alias("position"), F.concat(F.lit("part"), "p_partkey").alias("name"), F.when(count, "count").otherwise("percent").alias("kind"), F.when(count, F.col("p_size").cast("double")).otherwise(F.round(F.col("p_retailprice") / 20, 2)).alias("value"))
+    known = p.select(F.col("p_partkey").alias("position"), F.concat(F.lit("part"), "p_partkey").alias("name"), F.when(count, "count").otherwise("percent").alias("kind"), F.when(count, F.col("p_size").cast("double")).otherwise(F.col("p_retailprice") / 20).alias("value"))
     count = F.col("s_suppkey") % 2 == 0
-    claims = s.select(F.col("s_suppkey").alias("position"), F.concat(F.lit("supp"), "s_suppkey").alias("name"), F.when(count, "count").otherwise("ci").alias("kind"), F.when(count, (F.col("s_suppkey") + 50).cast("double")).otherwise(F.abs(F.round(F.col("s_acctbal") / 10000, 4))).alias("value"))
+    claims = s.select(F.col("s_suppkey").alias("position"), F.concat(F.lit("supp"), "s_suppkey").alias("name"), F.when(count, "count").otherwise("ci").alias("kind"), F.when(count, (F.col("s_suppkey") + 50).cast("double")).otherwise(F.abs(F.col("s_acctbal") / 10000)).alias("value"))
     return matched_claims(found, known, claims)
 
 
