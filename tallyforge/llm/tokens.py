@@ -9,7 +9,7 @@ from functools import cache
 
 import numpy as np
 
-#: Words whose ids are remembered, at most.
+#: Words whose ids are remembered, about; as many from before, in case they come again.
 REMEMBERED = 300_000
 #: The vocabulary's own split, for text of the Basic Latin and Latin-1 letters in lower case.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
@@ -32,13 +32,12 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     ending = np.zeros(tokenizer.get_vocab_size() + 1, bool)
     ending[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
     known: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}  # words seen longer ago; those that come again are known again
 
     def ids_of(text: str) -> np.ndarray:
         return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(words: list[str]) -> None:
-        if len(known) + len(words) > REMEMBERED:
-            known.clear()
         for a in range(0, len(words), 4096):
             part = words[a : a + 4096]
             ids = ids_of(" ".join(part))
@@ -50,11 +49,19 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [None if _OTHER.search(t) else _SPLIT.findall(t.lower()) for t in texts]
-        new = {w for words in split if words for w in words if w not in known}
-        if new:
-            every = {w for words in split if words for w in words} if len(known) + len(new) > REMEMBERED else new
-            learn(sorted(every))
-        return [ids_of(t).tobytes() if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split, strict=True)]
+        nonlocal known, before
+        if len(known) > REMEMBERED:
+            known, before = {}, known
+        new = set().union(*filter(None, split)) - known.keys()
+        again = new & before.keys()
+        known.update((w, before[w]) for w in again)
+        learn(sorted(new - again))
+        get = known.__getitem__
+        return [ids_of(t).tobytes() if own is None else b"".join(map(get, own)) for t, own in zip(texts, split, strict=True)]
 
-    encode.forget = known.clear
+    def forget() -> None:
+        nonlocal known, before
+        known, before = {}, {}
+
+    encode.forget = forget
     return encode
