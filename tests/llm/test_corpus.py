@@ -61,6 +61,17 @@ def test_word_encoder_is_exact():
     assert tokens.word_encoder(vocabulary())(texts) == want
 
 
+def test_words_that_are_forgotten_are_learned_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    whole, encode, rng = Tokenizer.from_file(vocabulary()), tokens.word_encoder(vocabulary()), random.Random(4)
+    for _ in range(30):
+        texts = [" ".join(rng.choice("abcde") * rng.randint(1, 9) for _ in range(rng.randint(0, 30))) for _ in range(3)]
+        assert encode(texts) == [b"".join(struct.pack("<I", i) for i in whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    encode.forget()
+
+
 def check_packing(rows, docs, capacity):
     from tokenizers import Tokenizer
 
