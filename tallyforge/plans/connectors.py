@@ -284,6 +284,11 @@ def _program(changed: bool = False) -> Column:
     return F.concat(*body)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """The rows over all tasks: a file of few bytes a row is read in one or two, which rewriting a program for each row would keep busy for hours."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 _STRING = 'printf("total += %d; i < 3 *(a + i) count_t x",'
 
 
@@ -297,7 +302,7 @@ SELECT p_partkey, p_size % 5 AS level, [0, 1, 1, 3, 6][p_size % 5 + 1] AS applie
   || '  }' || chr(10) || '  return 0;' || chr(10) || '}' || chr(10) END AS code FROM part""")
 def code_transforms(spark: SparkSession, d: str) -> DataFrame:
     """Programs at levels 0 (as they are) to 4 (every place of every transform); what levels 1 to 3 choose is told by count."""
-    x = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 5).alias("level"), _program().alias("program"))
+    x = _dealt(table(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", (F.col("p_size") % 5).alias("level"), _program().alias("program"))
     x = x.withColumn("t", transforms.transform_code("program", "level", F.col("p_partkey").cast("string")))
     return x.select("p_partkey", "level", F.size("t.transforms").alias("applied"), F.col("t.code").contains(_STRING).alias("strings_kept"), F.col("t.valid").alias("valid"), F.when(F.col("level").isin(0, 4), F.col("t.code")).alias("code"))
 

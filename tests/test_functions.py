@@ -188,6 +188,25 @@ def test_renaming_leaves_texts_members_and_directives():
     assert len(back.tokens) == len(transforms.Program(PROGRAM).tokens)
 
 
+def test_programs_are_not_read_for_every_row(monkeypatch):
+    read = []
+
+    class Counted(transforms.Program):
+        def __post_init__(self):
+            read.append(self.code)
+            super().__post_init__()
+
+    other = PROGRAM.replace("total", "summed")
+    want = [transforms.transformed(other, 1 + k % 4, str(k)) for k in range(80)], [transforms.single(other, str(k)) for k in range(80)]
+    monkeypatch.setattr(transforms, "Program", Counted)
+    unseen = PROGRAM.replace("total", "counted")
+    got = [transforms.transformed(unseen, 1 + k % 4, str(k)) for k in range(80)], [transforms.single(unseen, str(k)) for k in range(80)]
+    assert [[(c.replace("counted", "summed"), names) for c, names in part] for part in got] == list(want)
+    assert max(map(read.count, read)) <= 7 and len(read) < 320, len(read)  # by six transforms and for its faults; 160 rows of up to six steps took over 1000
+    monkeypatch.setattr(transforms, "REMEMBERED", 500)  # forgets nearly at once
+    assert [transforms.transformed(other, 1 + k % 4, str(k)) for k in range(80)] == want[0]
+
+
 def test_transforms_keep_opaque_text_and_are_deterministic():
     rng, seen = random.Random(1), {k: set() for k in range(1, 5)}
     for _ in range(40):

@@ -40,3 +40,10 @@ def test_query_matches_oracle(name, spark, duck, data):
     assert sorted(names) == columns
     want = sorted((tuple(plain(row[names.index(c)]) for c in columns) for row in result.fetchall()), key=str)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["udf01_02_transforms"])
+def test_programs_are_rewritten_in_many_tasks(name, spark, data):
+    df = catalog.QUERIES[name](spark, data)
+    assert spark.read.parquet(f"{data}/part.parquet").rdd.getNumPartitions() == 1
+    assert sum(n > 0 for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
