@@ -308,7 +308,7 @@ def code_transforms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _singles(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "part").select("p_partkey", _program().alias("program"))
+    x = _dealt(table(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", _program().alias("program"))
     return x.withColumn("t", transforms.one_transform("program", F.col("p_partkey").cast("string")))
 
 

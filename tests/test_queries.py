@@ -42,7 +42,7 @@ def test_query_matches_oracle(name, spark, duck, data):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["udf01_02_transforms"])
+@pytest.mark.parametrize("name", ["udf01_02_transforms", "udf03_single_transform"])
 def test_programs_are_rewritten_in_many_tasks(name, spark, data):
     df = catalog.QUERIES[name](spark, data)
     assert spark.read.parquet(f"{data}/part.parquet").rdd.getNumPartitions() == 1
