@@ -47,3 +47,8 @@ def test_programs_are_rewritten_in_many_tasks(name, spark, data):
     df = catalog.QUERIES[name](spark, data)
     assert spark.read.parquet(f"{data}/part.parquet").rdd.getNumPartitions() == 1
     assert sum(n > 0 for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_programs_of_the_report_are_dealt_before_they_are_rewritten(spark, data):
+    plan = catalog.QUERIES["udf03_validation_report"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan[plan.index("ArrowEvalPython") :]
