@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tallyforge.functions.text import strip_comments, stripped
 from tallyforge.operators.collapse import all_pairs, any_sample, paired
@@ -169,24 +172,98 @@ def inventory_diff(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "doc_id", "full").select("doc_id", found.alias("finding")).where("finding is not null")
 
 
-def matched_claims(found: DataFrame, known: DataFrame, claims: DataFrame, width: float = 0.15) -> DataFrame:
+def _first_near(width: float, at_once: int = 1 << 17):
+    """The first entry less than ``width`` away of every asked value; rows come by group (cell and part), listed values before asked ones, in the order of entries.
+
+    A group's listed values within reach of an asked one are a range of them once sorted, found by bisection with the test itself; its
+    least place is the lesser of two of a table of minima over powers of two. Only listed values of the last group are held.
+    """
+
+    def answered(rows: pa.Table) -> pa.RecordBatch:
+        cell, part, value = (rows.column(c).to_numpy() for c in ("cell", "part", "value"))
+        asked = rows.column("asked").to_numpy()
+        group = np.concatenate(([0], np.cumsum((cell[1:] != cell[:-1]) | (part[1:] != part[:-1]))))
+        listed, of = np.flatnonzero(~asked), np.flatnonzero(asked)
+        order = np.lexsort((value[listed], group[listed]))
+        w, v = value[listed][order], value[of]
+        begin, end = (np.searchsorted(group[listed], group[of], side=side) for side in ("left", "right"))
+
+        def first(reached) -> np.ndarray:
+            low, high = begin.copy(), end.copy()
+            while (open_ := np.flatnonzero(low < high)).size:
+                middle = (low[open_] + high[open_]) // 2
+                yes = reached(v[open_], w[middle])
+                high[open_[yes]] = middle[yes]
+                low[open_[~yes]] = middle[~yes] + 1
+            return low
+
+        low, high = first(lambda x, y: x - y < width), first(lambda x, y: y - x >= width)
+        some = np.flatnonzero(low < high)
+        low, high = low[some], high[some]
+        level = np.frexp(high - low)[1] - 1  # of the greatest power of two in it
+        best, least = np.zeros(len(some), np.int64), order
+        for k in range(level.max(initial=-1) + 1):
+            now = level == k
+            best[now] = np.minimum(least[low[now]], least[high[now] - (1 << k)])
+            least = np.minimum(least[: -(1 << k)], least[1 << k :])
+        found = np.zeros(len(of), np.int64)
+        found[some] = listed[best]
+        missing = np.ones(len(of), bool)
+        missing[some] = False
+        number, entry = (rows.column(c).combine_chunks() for c in ("number", "entry"))
+        return pa.RecordBatch.from_arrays([number.take(pa.array(of)), entry.take(pa.array(found, mask=missing))], names=["number", "entry"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in itertools.chain(parts, [None]):
+            if batch is not None:
+                held.append(batch)
+                size += batch.num_rows
+            if not held or (batch is not None and size < at_once):
+                continue
+            rows = pa.Table.from_batches(held)
+            if not rows.num_rows:
+                continue
+            yield answered(rows)
+            cell, part, asked = (rows.column(c).to_numpy() for c in ("cell", "part", "asked"))
+            held, size = rows.take(pa.array(np.flatnonzero((cell == cell[-1]) & (part == part[-1]) & ~asked))).to_batches(), 0
+
+    return run
+
+
+def matched_claims(found: DataFrame, known: DataFrame, claims: DataFrame, width: float = 0.15, block: int = 1 << 20) -> DataFrame:
     """JOI-14: (number, source, claim) for numbers of a text (number, kind, value) against known values and claims (position, name, kind, value).
 
     A percentage or interval matches the first known one that lies less than ``width`` away, a count an equal one; known
     values come before claims, and a claim below 1 is a rate and counts a hundredfold. What matches neither is unverified.
-    A band join as an equi-join: a value looks into its own and both neighbouring cells of the band's width.
+    No pairs are made: of equal listed values the first stays, each goes to its own and both neighbouring cells, somewhat wider
+    than the band, and an asked value finds its first entry among those of its cell. Cells with more than ``block`` asked values are split.
     """
     listed = known.select(F.lit(0).alias("rank"), "position", "name", "kind", "value").unionByName(
         claims.select(F.lit(1).alias("rank"), "position", "name", "kind", F.when((F.col("kind") != "count") & (F.col("value") < 1), F.col("value") * 100).otherwise(F.col("value")).alias("value"))
     )
-    cell = F.floor(F.col("value") / width)
-    entry = F.struct("rank", "position", "name")
-    banded = listed.where("kind <> 'count'").select(entry.alias("entry"), F.col("value").alias("w"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    near = found.where("kind <> 'count'").withColumn("cell", cell).join(banded, "cell").where(F.abs(F.col("value") - F.col("w")) < width).select("number", "entry")
-    equal = found.where("kind = 'count'").join(listed.where("kind = 'count'").select(F.col("value").alias("w"), entry.alias("entry")), F.col("value") == F.col("w")).select("number", "entry")
-    best = near.unionByName(equal).groupBy("number").agg(F.min("entry").alias("entry"))
+    counted, banded = F.col("kind") == "count", (F.col("kind") != "count") & (F.abs("value") < float("inf"))
+    cell = F.rint(F.col("value") / (1.25 * width)) + 0.0
+    entry = F.struct("rank", "position", "name").alias("entry")
+    values = listed.where(counted | banded).select(counted.alias("counted"), F.col("value").cast("double").alias("value"), entry).groupBy("counted", "value").agg(F.min("entry").alias("entry"))
+
+    asked = found.where("number is not null").select("number", "kind", F.col("value").cast("double").alias("value"))
+    near = asked.where(banded).select("number", "value", cell.alias("cell"))
+    crowded = F.broadcast(near.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block).select("cell", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("number", "value"), F.col("parts")).cast("int"))
+    near = near.join(crowded, "cell", "left").select("cell", part.alias("part"), F.lit(True).alias("asked"), "value", "number", F.lit(None).cast(values.schema["entry"].dataType).alias("entry"))
+    within = values.where("not counted").select("value", "entry", F.explode(F.array_distinct(F.array(cell - 1, cell, cell + 1))).alias("cell"))
+    within = within.join(crowded, "cell", "left").select("cell", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(False).alias("asked"), "value", F.lit(None).cast(found.schema["number"].dataType).alias("number"), "entry")
+    dealt = within.unionByName(near).repartition("cell", "part").sortWithinPartitions("cell", "part", "asked", "entry")
+    near = dealt.mapInArrow(_first_near(width), StructType([StructField("number", found.schema["number"].dataType), StructField("entry", values.schema["entry"].dataType)]))
+
+    equal = asked.where(counted).join(values.where("counted").select("value", "entry"), "value", "left").select("number", "entry")
+    other = asked.where(~F.coalesce(counted | banded, F.lit(False))).select("number", F.lit(None).cast(values.schema["entry"].dataType).alias("entry"))
+    met = near.unionByName(equal).unionByName(other).select("number", F.min("entry").over(Window.partitionBy("number")).alias("entry"))
+    met = met.unionByName(found.where("number is null").select("number", F.lit(None).cast(values.schema["entry"].dataType).alias("entry")))
     source = F.when(F.col("entry.rank") == 0, "known").when(F.col("entry.rank") == 1, "claim").otherwise("unverified")
-    return found.join(best, "number", "left").select("number", source.alias("source"), F.col("entry.name").alias("claim"))
+    return met.select("number", source.alias("source"), F.col("entry.name").alias("claim"))
 
 
 @query("joi14_band_match", """
