@@ -4,6 +4,8 @@ A text is its set of runs of five words (upper-case A-Z count as lower case), ea
 in one order of hashes, rare ones first. Two sets of similarity 0.8 or more share one of the first n // 5 + 1 hashes of
 each, n being its size, so no such pair is missed; the places of the first shared hash bound what two sets can share,
 and so do counts of hashes in 128 cells; the pairs left are checked on all their hashes. The order comes from a sample and decides the cost alone.
+The smaller of two such sets, m of its hashes, has the first shared one among its first m // 9 + 1, so rows of a hash without a set of such
+a place and a fitting size go before anything is paired.
 
 What is wanted is which sets are joined by links, so not all pairs of a group are made. A first round pairs every set with
 the next ``NEAR`` of each hash alone, in the order of sizes, which covers hashes of few sets and joins up groups of near
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm import bytewise as B
@@ -31,7 +33,7 @@ SHARE = (4, 5)
 SAMPLE = 1 << 14
 FREQUENT = 4
 #: Sets of one hash that a set is paired with in the first round, and of how many sets a hash is split among tasks in the second.
-NEAR = 8
+NEAR = 2
 BLOCK = 1 << 15
 #: Slots of the table that tells which sets the pairs may name.
 SLOTS = 1 << 22
@@ -126,6 +128,21 @@ def may_be_alike(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray)
     return (down * np.minimum(m, k) >= up * np.maximum(m, k)) & ((up + down) * shared >= up * (m + k))
 
 
+def fitting(prefixes: DataFrame) -> DataFrame:
+    """The rows of a hash that can be of a pair whose first shared hash it is.
+
+    Of two alike sets, the smaller one's place is at most a ninth of its size and its size at least ``SHARE`` of the larger one's.
+    So by size the larger one's row comes after such a row, the last of which is no smaller, and the smaller one's before a row that fits.
+    """
+    up, down = SHARE
+    order = Window.partitionBy("h").orderBy("n", "name")
+    early = (up + down) * (F.col("n") - F.col("place")).cast("long") >= 2 * up * F.col("n").cast("long")
+    before = F.last(F.when(early, F.col("n")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = prefixes.select("h", "name", "n", "place", before.alias("before"), F.lead("n").over(order).alias("after"))
+    larger, smaller = down * F.col("before").cast("long") >= up * F.col("n").cast("long"), early & (down * F.col("n").cast("long") >= up * F.col("after").cast("long"))
+    return marked.where(F.coalesce(larger, F.lit(False)) | F.coalesce(smaller, F.lit(False))).select("h", "name", "n", "place")
+
+
 def _named_pairs(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
 
@@ -237,7 +254,7 @@ def links(texts: DataFrame, near: int | None = None, block: int | None = None) -
     known = rows.h.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], rows.k.to_numpy(np.int64)[order]))
-    dealt = texts.mapInPandas(_prefixes(frequent), "h long, name long, n int, place int").repartition("h").sortWithinPartitions("h", "n", "name")
+    dealt = fitting(texts.mapInPandas(_prefixes(frequent), "h long, name long, n int, place int").repartition("h")).sortWithinPartitions("h", "n", "name")
     first = written(dealt.mapInPandas(_near(near), "a long, b long, h long, n int, place int"), "near")
     alike = _verified(texts, first.where("place < 0").select("a", "b").distinct())
     root = components(alike)

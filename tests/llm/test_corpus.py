@@ -621,6 +621,27 @@ def test_pairs_of_a_group_grow_with_its_size():
     assert (parts.place < 0).all() and len(parts.drop_duplicates()) == 36
 
 
+def test_rows_that_cannot_pair_go_before_pairing(spark):
+    rng, sets_ = random.Random(5), []
+    for _ in range(60):  # groups of sets on both sides of 0.8, in one order of hashes; late hashes are common
+        base = rng.sample(range(3000), rng.randint(1, 60)) + rng.sample(range(3000, 3040), rng.randint(0, 12))
+        for _ in range(rng.randint(1, 5)):
+            x = set(base)
+            for _ in range(rng.choice([0, 1, 2, len(base) // 5])):
+                x.discard(rng.choice(base))
+                x.add(rng.randrange(3040))
+            sets_.append(sorted(x))
+    rows = [(h, k, len(x), p) for k, x in enumerate(sets_) for p, h in enumerate(x[: len(x) - -(-4 * len(x) // 5) + 1])]
+    got = {(r.h, r.name) for r in similarity.fitting(spark.createDataFrame(rows, "h long, name long, n int, place int")).collect()}
+    alike = [(i, j) for i, x in enumerate(sets_) for j, y in enumerate(sets_[:i]) if 9 * len(set(x) & set(y)) >= 4 * (len(x) + len(y))]
+    for i, j in alike:
+        h = min(set(sets_[i]) & set(sets_[j]))
+        assert (h, i) in got and (h, j) in got
+    assert len(alike) > 50 and got <= {(h, k) for h, k, _, _ in rows} and 3 * len(got) < 2 * len(rows)
+    late = [(7, k, 50, 9) for k in range(100)] + [(8, k, 10 * 2**k, 0) for k in range(20)]  # too late in all, and sizes too far apart
+    assert similarity.fitting(spark.createDataFrame(late, "h long, name long, n int, place int")).count() == 0
+
+
 def test_pipeline_keeps_no_similar_documents(spark, small, data):
     import corpus_pipeline
 
