@@ -3,13 +3,15 @@
 A text is its set of runs of five words (upper-case A-Z count as lower case), each by a 64-bit hash. All sets are put
 in one order of hashes, rare ones first. Two sets of similarity 0.8 or more share one of the first n // 5 + 1 hashes of
 each, n being its size, so no such pair is missed; the places of the first shared hash bound what two sets can share,
-and so do counts of hashes in 128 cells; the pairs left are checked on all their hashes. The order comes from a sample and decides the cost alone.
+and so do counts of hashes in 512 cells; the pairs left are checked on all their hashes. The order comes from a sample and decides the cost alone.
 The smaller of two such sets, m of its hashes, has the first shared one among its first m // 9 + 1, so rows of a hash without a set of such
 a place and a fitting size go before anything is paired.
 
 What is wanted is which sets are joined by links, so not all pairs of a group are made. A first round pairs every set with
 the next ``NEAR`` of each hash alone, in the order of sizes, which covers hashes of few sets and joins up groups of near
-copies; a second pairs the sets of one hash that the first left in different components, and only those.
+copies; later ones pair the sets of one hash that those before left in different components, and only where their cells allow
+it. Copies of one text that differ in places of their own are mostly not alike, so cells are compared where the sets of a hash
+are and rows are made only of what passes: first the nearest ``NEAR`` of each set, then, of what is still apart, every pair.
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ SHARE = (4, 5)
 #: Documents from which the order of hashes is taken, and how often a hash has to be among them to count as frequent.
 SAMPLE = 1 << 14
 FREQUENT = 4
-#: Sets of one hash that a set is paired with in the first round, and of how many sets a hash is split among tasks in the second.
+#: Sets of one hash that a set is paired with in the first two rounds, and of how many sets a hash is split among tasks later.
 NEAR = 2
 BLOCK = 1 << 15
+#: Cells of a set's hashes are told by so many bits.
+CELL_BITS = 9
 #: Slots of the table that tells which sets the pairs may name.
 SLOTS = 1 << 22
 
@@ -85,15 +89,20 @@ def _values(value, wanted):
 
 
 def _cells(h: np.ndarray) -> bytes:
-    """How many of a set's hashes fall into each of 128 cells, and no less where that is over 16 bits."""
-    return np.minimum(np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=128), 65535).astype(np.uint16).tobytes() + len(h).to_bytes(8, "little")
+    """How many of a set's hashes fall into each cell, and no less where that is over 8 bits; then how many there are."""
+    return np.minimum(np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS), 255).astype(np.uint8).tobytes() + len(h).to_bytes(8, "little")
+
+
+def shared_at_most(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many hashes the set of cells x and each set of rows of cells y can share; where a cell is full, any number."""
+    least = np.minimum(x, y)
+    return np.where((least == 255).any(axis=1), np.iinfo(np.int32).max, least.sum(axis=1, dtype=np.int32)).astype(np.int64)
 
 
 def _may_be_alike(x: bytes, y: bytes) -> bool:
-    p, q = np.frombuffer(x[:256], np.uint16).astype(np.int64), np.frombuffer(y[:256], np.uint16).astype(np.int64)
-    m, n = int.from_bytes(x[256:], "little"), int.from_bytes(y[256:], "little")
-    least = np.minimum(p, q)
-    return bool((least == 65535).any()) or sum(SHARE) * int(least.sum()) >= SHARE[0] * (m + n)
+    p, q = np.frombuffer(x[:-8], np.uint8), np.frombuffer(y[:-8], np.uint8)
+    m, n = int.from_bytes(x[-8:], "little"), int.from_bytes(y[-8:], "little")
+    return sum(SHARE) * int(shared_at_most(p, q[None])[0]) >= SHARE[0] * (m + n)
 
 
 def _is_alike(x: bytes, y: bytes) -> bool:
@@ -183,9 +192,11 @@ def _near(near: int, at_once: int = 1 << 16):
     return run
 
 
-def _apart(frames: Iterator[pd.DataFrame], most: int = 1 << 20) -> Iterator[pd.DataFrame]:
-    """Pairs of sets of one hash and block that are in different components and may be alike."""
-    held: pd.DataFrame | None = None
+def _apart(near: int | None, most: int = 1 << 20):
+    """Pairs of sets of one hash and block that are in different components and may be alike by places, sizes and cells.
+
+    With ``near``, of each set outside a block's largest component only those with so many others that can share the most.
+    """
 
     def out(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         key = rows[["h", "block"]].to_numpy()
@@ -194,11 +205,17 @@ def _apart(frames: Iterator[pd.DataFrame], most: int = 1 << 20) -> Iterator[pd.D
         found, size = [], 0
         for begin, end in zip(np.concatenate(([0], edge)), np.concatenate((edge, [len(rows)])), strict=True):
             kinds, of, count = np.unique(root[begin:end], return_inverse=True, return_counts=True)
+            if len(kinds) == 1:
+                continue
+            cells = np.frombuffer(b"".join(x[:-8] for x in rows["value"].iloc[begin:end]), np.uint8).reshape(end - begin, -1)
             few = begin + np.flatnonzero(of != count.argmax())  # every pair wanted has one outside the largest component
-            for i in few if len(kinds) > 1 else ():
+            for i in few:
                 j = np.arange(begin, end)
-                j = j[(root[j] != root[i]) & ((j > i) | (of[j - begin] == count.argmax()))]
+                j = j[(root[j] != root[i]) & (near is not None or (j > i) | (of[j - begin] == count.argmax()))]
                 j = j[may_be_alike(n, place, np.full(len(j), i), j)]
+                shared = shared_at_most(cells[i - begin], cells[j - begin])
+                can = sum(SHARE) * shared >= SHARE[0] * (n[i].astype(np.int64) + n[j])
+                j = j[can] if near is None else j[can][np.argsort(-shared[can], kind="stable")[:near]]
                 found.append((np.full(len(j), name[i]), name[j]))
                 size += len(j)
                 if size > most:
@@ -207,29 +224,37 @@ def _apart(frames: Iterator[pd.DataFrame], most: int = 1 << 20) -> Iterator[pd.D
         if size:
             yield _named_pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
-    for frame in frames:
-        rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        if len(rows):
-            last = (rows.h == rows.h.iloc[-1]) & (rows.block == rows.block.iloc[-1])
-            held = rows[last]
-            yield from out(rows[~last]) if not last.all() else ()
-    if held is not None and len(held):
-        yield from out(held)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for frame in frames:
+            rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if len(rows):
+                last = (rows.h == rows.h.iloc[-1]) & (rows.block == rows.block.iloc[-1])
+                held = rows[last]
+                yield from out(rows[~last]) if not last.all() else ()
+        if held is not None and len(held):
+            yield from out(held)
 
+    return run
 
-def _checked(texts: DataFrame, pairs: DataFrame, value, test) -> DataFrame:
-    """A written table of the pairs whose sets' values pass the test; only sets of pairs, and few others, are dealt."""
-    names = pairs.select(F.explode(F.array("a", "b")).alias("name"))
+
+def _known(texts: DataFrame, names: DataFrame, value) -> DataFrame:
+    """A written table (name, value) of the sets with a name among ``names``, and few others."""
     slots = names.select(F.pmod("name", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()
     bits = np.zeros(SLOTS, bool)
     bits[slots.slot.to_numpy(np.int64)] = True
     wanted = texts.sparkSession.sparkContext.broadcast(bits)
+    return written(texts.mapInPandas(_values(value, wanted), "name long, value binary").dropDuplicates(["name"]), "values")
+
+
+def _checked(texts: DataFrame, pairs: DataFrame, value, test) -> DataFrame:
+    """A written table of the pairs whose sets' values pass the test; only sets of pairs, and few others, are dealt."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame.loc[[test(x, y) for x, y in zip(frame.x, frame.y, strict=True)], ["a", "b"]]
 
-    known = written(texts.mapInPandas(_values(value, wanted), "name long, value binary").dropDuplicates(["name"]), "values")
+    known = _known(texts, pairs.select(F.explode(F.array("a", "b")).alias("name")), value)
     x = known.select(F.col("name").alias("a"), F.col("value").alias("x"))
     y = known.select(F.col("name").alias("b"), F.col("value").alias("y"))
     out = written(pairs.join(x, "a").join(y, "b").mapInPandas(run, "a long, b long"), "alike")
@@ -257,23 +282,28 @@ def links(texts: DataFrame, near: int | None = None, block: int | None = None) -
     dealt = fitting(texts.mapInPandas(_prefixes(frequent), "h long, name long, n int, place int").repartition("h")).sortWithinPartitions("h", "n", "name")
     first = written(dealt.mapInPandas(_near(near), "a long, b long, h long, n int, place int"), "near")
     alike = _verified(texts, first.where("place < 0").select("a", "b").distinct())
-    root = components(alike)
-    crowded = first.where("place >= 0").select("h", F.col("a").alias("name"), "n", "place").dropDuplicates(["h", "name"])
-    rooted = crowded.join(root, crowded.name == root.node, "left").select("h", "name", "n", "place", F.coalesce("root", "name").alias("root"))
-    rooted = written(rooted, "rooted")
-    discard(first)
-    mixed = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y").select("h", "m")
-    parts, own, other = F.ceil(F.col("m") / block).cast("int"), F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"), F.col("other")
-    spread = rooted.join(mixed, "h").withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("h", "name", "n", "place", "root", (F.least("own", other) * F.col("parts") + F.greatest("own", other)).alias("block"))
-    pairs = written(spread.repartition("h", "block").sortWithinPartitions("h", "block").mapInPandas(lambda frames: _apart(frames), "a long, b long").distinct(), "apart")
-    discard(rooted)
-    if pairs.isEmpty():
+    rows = first.where("place >= 0").select("h", F.col("a").alias("name"), "n", "place").dropDuplicates(["h", "name"])
+    own, other, cells, old = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"), F.col("other"), None, first
+    for most in (near, None):
+        root = components(alike)
+        rooted = written(rows.join(root, rows.name == root.node, "left").select("h", "name", "n", "place", F.coalesce("root", "name").alias("root")), "rooted")
+        discard(old)
+        mixed = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y").select("h", "m")
+        old = written(rooted.join(mixed, "h"), "mixed")
+        discard(rooted)
+        rows = old.select("h", "name", "n", "place")
+        cells = _known(texts, rows.select("name"), _cells) if cells is None else cells
+        spread = old.withColumn("parts", F.ceil(F.col("m") / block).cast("int")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        spread = spread.select("h", "name", "n", "place", "root", (F.least("own", other) * F.col("parts") + F.greatest("own", other)).alias("block")).join(cells, "name")
+        pairs = written(spread.repartition("h", "block").sortWithinPartitions("h", "block").mapInPandas(_apart(most), "a long, b long").distinct(), "apart")
+        if pairs.isEmpty():  # what the first of these rounds finds none of, the second does not either
+            break
+        alike = alike.unionByName(_checked(texts, pairs, np.ndarray.tobytes, _is_alike))
         discard(pairs)
-        return root
-    more = _verified(texts, pairs)
-    discard(pairs)
-    return components(alike.unionByName(more))
+    else:
+        root = components(alike)
+    discard(old, cells)
+    return root
 
 
 def without_similar(docs: DataFrame) -> DataFrame:

@@ -621,6 +621,27 @@ def test_pairs_of_a_group_grow_with_its_size():
     assert (parts.place < 0).all() and len(parts.drop_duplicates()) == 36
 
 
+def test_pairs_of_copies_with_changes_of_their_own_grow_with_their_number(spark, monkeypatch):
+    made, check = [], similarity._checked
+
+    def counted(texts, pairs, value, test):
+        made[-1] += pairs.count()
+        return check(texts, pairs, value, test)
+
+    monkeypatch.setattr(similarity, "_checked", counted)
+    for size in (150, 600):  # most are less than 0.8 alike, but share hashes
+        rng, rows = random.Random(13), []
+        for k in range(size):
+            w = [f"w{x}" for x in range(150)]
+            for x in rng.sample(range(150), rng.choice([1, 2, 3, 3, 3, 5])):
+                w[x] = f"x{k}a{x}"
+            rows.append((k, " ".join(w), k))
+        made.append(0)
+        got = {r.doc_id for r in similarity.without_similar(spark.createDataFrame(rows, DOCS + ", th long")).collect()}
+        assert got == {rows[k][0] for k in brute_similar([(i, t) for i, t, _ in rows])} and len(got) > 5
+    assert made[1] <= 8 * made[0]
+
+
 def test_rows_that_cannot_pair_go_before_pairing(spark):
     rng, sets_ = random.Random(5), []
     for _ in range(60):  # groups of sets on both sides of 0.8, in one order of hashes; late hashes are common
