@@ -207,6 +207,31 @@ def test_programs_are_not_read_for_every_row(monkeypatch):
     assert [transforms.transformed(other, 1 + k % 4, str(k)) for k in range(80)] == want[0]
 
 
+def test_whole_rewrites_are_made_once_unless_the_seed_decides(monkeypatch):
+    made, apply = [], transforms.applied
+    monkeypatch.setattr(transforms, "applied", lambda code, edits: made.append(code) or apply(code, edits))
+    unseen = "typedef unsigned int num_t;\nstatic int f(int x) { return x * 2; }\nint main(void) { num_t n = 3; int i = 0; int a[9]; while (i < 3) { n += i; *(a + i) = f(i); i = i + 1; } return 0; }\n"
+    got = {name: transforms.rewritten(unseen, name, 1.0, "s") for name in transforms.TRANSFORMS}
+    first = len(made)
+    for k in range(300):
+        out, names = transforms.single(unseen, str(k))
+        assert [out] == [got[n] for n in names] and transforms.rewritten(unseen, names[0], 1.0, str(k)) == out
+    assert len(made) == first  # before, two for every row
+
+    def clash(p):
+        yield [(4, 5, "b")]
+        yield [(4, 5, "c")]
+
+    def spoils(p):  # z has no declaration; the rest is right
+        yield [(4, 5, "b")]
+        yield [(7, 7, " z;")]
+
+    monkeypatch.setitem(transforms.TRANSFORMS, "SwapCondition", clash)
+    assert {transforms.rewritten("int a; ", "SwapCondition", 1.0, str(k)) for k in range(30)} == {"int b; ", "int c; "}
+    monkeypatch.setitem(transforms.TRANSFORMS, "SwapCondition", spoils)
+    assert {transforms.rewritten("int a; ", "SwapCondition", 1.0, str(k)) for k in range(30)} == {"int b; "}
+
+
 def test_transforms_keep_opaque_text_and_are_deterministic():
     rng, seen = random.Random(1), {k: set() for k in range(1, 5)}
     for _ in range(40):
